@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.ordered import DAY_US, HOUR_US, asof_backward, previous_row
 
@@ -153,10 +153,10 @@ def book_at(rows: DataFrame, book: DataFrame, cols: Sequence[str], row_id: str,
     return asof_backward(rows, book, ["symbol"], list(cols), "ts", row_id, "seq", width_us)
 
 
-def update_share(last_mid: DataFrame, keys: Sequence[str], idx: str = "i") -> DataFrame:
-    """Share of bars whose mid differs from the previous bar's."""
-    from ..core.ordered import block_window, core_rows, halo_blocks
-    d = halo_blocks(last_mid, idx, back=1)
-    d = core_rows(d.withColumn("_p", F.lag("mid").over(block_window(["symbol"], idx))))
-    return d.where("_p IS NOT NULL").groupBy(*keys).agg(
+def update_share(last_mid: DataFrame) -> DataFrame:
+    """Per symbol-day share of bars whose mid differs from the previous bar's.  A symbol-day holds at
+    most one row per bar of the day."""
+    w = Window.partitionBy("symbol", "day").orderBy("i")
+    d = last_mid.withColumn("_p", F.lag("mid").over(w)).where("_p IS NOT NULL")
+    return d.groupBy("symbol", "day").agg(
         F.avg((c("mid") != c("_p")).cast("double")).alias("update_share"), F.count(F.lit(1)).alias("n"))

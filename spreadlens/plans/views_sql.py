@@ -96,3 +96,64 @@ def resolve(body: str) -> str:
     head = "WITH RECURSIVE " if re.match(r"\s*WITH RECURSIVE", body) else "WITH "
     rest = re.match(r"\s*WITH (?:RECURSIVE )?(.*)", body, re.S)
     return f"{head}{ctes},\n{rest.group(1)}" if rest else f"{head}{ctes}\n{body.strip()}"
+
+
+VIEWS["v_tick"] = """
+SELECT * EXCLUDE (sgn), CAST(coalesce(last_value(nullif(sgn, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, trade_id), 0) AS INTEGER) AS tick_sign
+FROM (SELECT *, sign(price - lag(price) OVER (PARTITION BY symbol ORDER BY ts, trade_id)) AS sgn FROM v_trades)"""
+
+VIEWS["v_signed"] = """
+SELECT q.* EXCLUDE (quote_sign), quote_sign,
+  CASE WHEN side = 'buy' THEN 1 WHEN side = 'sell' THEN -1 ELSE quote_sign END AS trade_sign,
+  CASE WHEN side = 'buy' THEN 1 WHEN side = 'sell' THEN -1 ELSE quote_sign END * notional AS signed_notional,
+  CASE WHEN notional < 1000 THEN 'retail' WHEN notional < 10000 THEN 'mid' WHEN notional < 100000 THEN 'large' ELSE 'institutional' END AS bucket
+FROM (SELECT t.*, CASE WHEN t.price > b.mid THEN 1 WHEN t.price < b.mid THEN -1 ELSE t.tick_sign END AS quote_sign
+      FROM v_tick t ASOF LEFT JOIN (SELECT symbol, ts, (bid_px_1 + ask_px_1) / 2e0 AS mid FROM v_book) b
+      ON t.symbol = b.symbol AND t.ts >= b.ts) q"""
+
+VIEWS["v_flow"] = """
+SELECT *, CASE WHEN pbp IS NULL THEN 0e0 ELSE
+    CASE WHEN bid_px_1 > pbp THEN bid_sz_1 WHEN bid_px_1 = pbp THEN bid_sz_1 - pbs ELSE -pbs END
+  + CASE WHEN ask_px_1 < pap THEN -ask_sz_1 WHEN ask_px_1 = pap THEN pas - ask_sz_1 ELSE pas END END AS ofi,
+  CASE WHEN bid_px_1 = pbp THEN greatest(pbs - bid_sz_1, 0) ELSE 0 END AS bid_dec,
+  CASE WHEN ask_px_1 = pap THEN greatest(pas - ask_sz_1, 0) ELSE 0 END AS ask_dec
+FROM (SELECT symbol, CAST(ts AS DATE) AS day, ts, seq, bid_px_1, bid_sz_1, ask_px_1, ask_sz_1,
+        lag(bid_px_1) OVER w AS pbp, lag(bid_sz_1) OVER w AS pbs, lag(ask_px_1) OVER w AS pap, lag(ask_sz_1) OVER w AS pas
+      FROM v_book WINDOW w AS (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, seq))"""
+
+# last mid per minute on a dense grid of every symbol-day
+VIEWS["v_minute"] = """
+SELECT g.symbol, g.day, g.i, make_timestamp(g.i * 60000000) AS ts,
+  last_value(l.mid IGNORE NULLS) OVER w AS mid, last_value(l.spr IGNORE NULLS) OVER w AS spr, last_value(l.imb IGNORE NULLS) OVER w AS imb
+FROM (SELECT symbol, day, date_diff('day', DATE '1970-01-01', day) * 1440 + k AS i
+      FROM (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM v_book), range(1440) r(k)) g
+LEFT JOIN (SELECT symbol, epoch_us(ts) // 60000000 AS i, arg_max((bid_px_1 + ask_px_1) / 2e0, ts) AS mid,
+             arg_max((ask_px_1 - bid_px_1) / ((bid_px_1 + ask_px_1) / 2e0), ts) AS spr,
+             arg_max((bid_sz_1 - ask_sz_1) / (bid_sz_1 + ask_sz_1 + 1e-12), ts) AS imb
+           FROM v_book GROUP BY ALL) l ON l.symbol = g.symbol AND l.i = g.i
+WINDOW w AS (PARTITION BY g.symbol, g.day ORDER BY g.i)"""
+
+VIEWS["v_bars15"] = """
+SELECT symbol, ts, trade_count, trade_notional, buy_notional, sell_notional, signed_notional, s_ret, s_mid, s_lar, s_inst, ib, isl, rb, rs,
+  last_value(microprice IGNORE NULLS) OVER w AS microprice, last_value(midprice IGNORE NULLS) OVER w AS midprice,
+  last_value(spread_bps IGNORE NULLS) OVER w AS spread_bps, last_value(obi IGNORE NULLS) OVER w AS obi
+FROM (SELECT coalesce(b.symbol, f.symbol) AS symbol, coalesce(b.ts, f.ts) AS ts, microprice, midprice, spread_bps, obi,
+        coalesce(n, 0) AS trade_count, coalesce(tn, 0) AS trade_notional, coalesce(bn, 0) AS buy_notional, coalesce(sn, 0) AS sell_notional,
+        coalesce(sg, 0) AS signed_notional, coalesce(f.s_ret, 0) AS s_ret, coalesce(f.s_mid, 0) AS s_mid, coalesce(f.s_lar, 0) AS s_lar,
+        coalesce(f.s_inst, 0) AS s_inst, coalesce(f.ib, 0) AS ib, coalesce(f.isl, 0) AS isl, coalesce(f.rb, 0) AS rb, coalesce(f.rs, 0) AS rs
+      FROM (SELECT symbol, make_timestamp((epoch_us(ts) + 899999999) // 900000000 * 900000000) AS ts,
+              arg_max((bid_sz_1 * ask_px_1 + ask_sz_1 * bid_px_1) / (bid_sz_1 + ask_sz_1), ts) AS microprice,
+              arg_max((bid_px_1 + ask_px_1) / 2e0, ts) AS midprice,
+              arg_max((ask_px_1 - bid_px_1) / ((bid_px_1 + ask_px_1) / 2e0) * 1e4, ts) AS spread_bps,
+              arg_max(CAST(bid_sz_1 + bid_sz_2 + bid_sz_3 + bid_sz_4 + bid_sz_5 - ask_sz_1 - ask_sz_2 - ask_sz_3 - ask_sz_4 - ask_sz_5 AS DOUBLE)
+                / (bid_sz_1 + bid_sz_2 + bid_sz_3 + bid_sz_4 + bid_sz_5 + ask_sz_1 + ask_sz_2 + ask_sz_3 + ask_sz_4 + ask_sz_5), ts) AS obi
+            FROM v_book GROUP BY ALL) b
+      FULL JOIN (SELECT symbol, make_timestamp((epoch_us(ts) + 899999999) // 900000000 * 900000000) AS ts, count(*) AS n, sum(notional) AS tn,
+              sum(notional) FILTER (trade_sign > 0) AS bn, sum(notional) FILTER (trade_sign < 0) AS sn, sum(signed_notional) AS sg,
+              sum(signed_notional) FILTER (bucket = 'retail') AS s_ret, sum(signed_notional) FILTER (bucket = 'mid') AS s_mid,
+              sum(signed_notional) FILTER (bucket = 'large') AS s_lar, sum(signed_notional) FILTER (bucket = 'institutional') AS s_inst,
+              sum(notional) FILTER (bucket = 'institutional' AND trade_sign > 0) AS ib, sum(notional) FILTER (bucket = 'institutional' AND trade_sign < 0) AS isl,
+              sum(notional) FILTER (bucket = 'retail' AND trade_sign > 0) AS rb, sum(notional) FILTER (bucket = 'retail' AND trade_sign < 0) AS rs
+            FROM v_signed GROUP BY ALL) f ON b.symbol = f.symbol AND b.ts = f.ts)
+WINDOW w AS (PARTITION BY symbol ORDER BY ts)
+QUALIFY last_value(microprice IGNORE NULLS) OVER w IS NOT NULL"""
