@@ -34,6 +34,13 @@ def at_least(value: Column, n: Column, k: int) -> Column:
     return F.when(n >= k, value)
 
 
+def window_corr(a: str, b: str, w) -> Column:
+    """Correlation over a frame; null where a side does not vary."""
+    ok = c(a).isNotNull() & c(b).isNotNull()
+    x, y = F.when(ok, c(a)), F.when(ok, c(b))
+    return F.try_divide(F.covar_pop(x, y).over(w), F.stddev_pop(x).over(w) * F.stddev_pop(y).over(w))
+
+
 def rolling_z(x: str, w, k: int) -> Column:
     n = F.count(x).over(w)
     sd = F.stddev_samp(x).over(w)
@@ -90,7 +97,7 @@ def pair_features(legs: DataFrame, cfg: FeatureConfig, market: DataFrame | None
         "volume_z_a": rolling_z("volume_usdt_a", z, 24), "volume_z_b": rolling_z("volume_usdt_b", z, 24),
         "pair_volume_sum": va + vb,
         "pair_volume_gmean": F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0))),
-        "rolling_corr_24": at_least(F.corr("ra", "rb").over(r), F.count(c("ra") + c("rb")).over(r), 12),
+        "rolling_corr_24": at_least(window_corr("ra", "rb", r), F.count(c("ra") + c("rb")).over(r), 12),
         "realized_vol_a_24": at_least(F.stddev_samp("ra").over(s), F.count("ra").over(s), 12),
         "realized_vol_b_24": at_least(F.stddev_samp("rb").over(s), F.count("rb").over(s), 12),
         "target_change": fut - c("spread"), "target_abs_change": F.abs(fut) - F.abs("spread"),

@@ -21,6 +21,14 @@ c = F.col
 EULER_GAMMA = 0.5772156649015329
 
 
+def safe_corr(a: str | Column, b: str | Column) -> Column:
+    """Correlation of complete rows as an aggregate; null (not an error) where a side does not vary."""
+    a, b = (c(x) if isinstance(x, str) else x for x in (a, b))
+    ok = a.isNotNull() & b.isNotNull()
+    x, y = F.when(ok, a), F.when(ok, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def sharpe(value: str | Column, per_year: float) -> Column:
     v = c(value) if isinstance(value, str) else value
     return F.avg(v) / F.nullif(F.stddev_samp(v), F.lit(0.0)) * math.sqrt(per_year)
@@ -30,7 +38,7 @@ def simple_ols(y: str, x: str) -> dict[str, Column]:
     """Slope, t value, R2 and n of a one-regressor fit as aggregate expressions."""
     n = F.regr_count(y, x)
     b = F.regr_slope(y, x)
-    r2 = F.corr(y, x) * F.corr(y, x)
+    r2 = safe_corr(y, x) * safe_corr(y, x)
     se = F.sqrt((F.regr_syy(y, x) - b * F.regr_sxy(y, x)) / (n - 2) / F.regr_sxx(y, x))
     return {"slope": b, "t": b / se, "r2": r2, "n": n}
 
@@ -229,7 +237,7 @@ def two_regressor_r2(y: str, a: str, b: str) -> tuple[Column, Column, Column]:
     """R2 of y on a, on b and on both, from pairwise correlations of complete rows."""
     ok = c(y).isNotNull() & c(a).isNotNull() & c(b).isNotNull()
     v = lambda x: F.when(ok, c(x).cast("double"))
-    ra, rb, rab = F.corr(v(y), v(a)), F.corr(v(y), v(b)), F.corr(v(a), v(b))
+    ra, rb, rab = safe_corr(v(y), v(a)), safe_corr(v(y), v(b)), safe_corr(v(a), v(b))
     joint = (ra * ra + rb * rb - 2 * ra * rb * rab) / F.nullif(1 - rab * rab, F.lit(0.0))
     return ra * ra, rb * rb, joint
 
@@ -307,7 +315,7 @@ def block_bootstrap(series: DataFrame, value: str, block: int, reps: int, seed:
 def market_beta(df: DataFrame, y: str, x: str, keys: Sequence[str] = ()) -> DataFrame:
     """Beta (sample covariance over population variance, as published), alpha and neutralised Sharpe inputs."""
     b = F.covar_samp(x, y) / F.var_pop(x)
-    return df.groupBy(*keys).agg(b.alias("beta"), (F.avg(y) - b * F.avg(x)).alias("alpha"), F.corr(x, y).alias("corr"),
+    return df.groupBy(*keys).agg(b.alias("beta"), (F.avg(y) - b * F.avg(x)).alias("alpha"), safe_corr(x, y).alias("corr"),
                                  F.count(F.lit(1)).alias("n"))
 
 
@@ -392,13 +400,13 @@ def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str], min_n:
     keys = list(keys)
     d = df.where(c(a).isNotNull() & c(b).isNotNull())
     d = d.withColumns({"_ra": average_rank(a, keys), "_rb": average_rank(b, keys)})
-    return d.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n")).where(c("n") >= min_n)
+    return d.groupBy(*keys).agg(safe_corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n")).where(c("n") >= min_n)
 
 
 def partial_rank_correlation(df: DataFrame, a: str, b: str, ctrl: str, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     d = df.where(c(a).isNotNull() & c(b).isNotNull() & c(ctrl).isNotNull())
     d = d.withColumns({f"_r_{x}": average_rank(x, keys) for x in (a, b, ctrl)})
-    g = d.groupBy(*keys).agg(F.corr(f"_r_{a}", f"_r_{b}").alias("_ab"), F.corr(f"_r_{a}", f"_r_{ctrl}").alias("_ac"),
-                             F.corr(f"_r_{b}", f"_r_{ctrl}").alias("_bc"), F.count(F.lit(1)).alias("n"))
+    g = d.groupBy(*keys).agg(safe_corr(f"_r_{a}", f"_r_{b}").alias("_ab"), safe_corr(f"_r_{a}", f"_r_{ctrl}").alias("_ac"),
+                             safe_corr(f"_r_{b}", f"_r_{ctrl}").alias("_bc"), F.count(F.lit(1)).alias("n"))
     return g.select(*keys, "n", ((c("_ab") - c("_ac") * c("_bc")) / F.sqrt((1 - c("_ac") * c("_ac")) * (1 - c("_bc") * c("_bc")))).alias("partial_rho"))

@@ -85,13 +85,25 @@ def close_panel(bars: DataFrame, step_us: int, start=None, end=None, min_coverag
                 fill_chunk_us: int = 366 * DAY_US) -> DataFrame:
     """Close and USDT-volume panel: grid, coverage gate, forward fill, complete cases.
 
-    Columns ``symbol, ts, i, close, lp, volume_usdt``; ``i`` is gap-free from the first complete bar.
+    Coverage, the calendar and the first complete bar all follow from one summary row per symbol:
+    after an unlimited fill a symbol is present from its first close on, so complete cases start at
+    the latest of the first closes.  Columns ``symbol, ts, i, close, lp, volume_usdt``; ``i`` is gap-free.
     """
-    g = drop_thin(reindex(bars, step_us, start, end), min_coverage)
-    g = g.withColumn("volume_usdt", F.coalesce(F.col("close") * F.col("volume"), F.lit(0.0)))
-    g = ffill(g.select("symbol", "ts", "i", "close", "volume_usdt"), ["close"], fill_chunk_us)
-    return complete_case(g).withColumn("lp", F.log("close")).select(
-        "symbol", "ts", "i", "close", "lp", "volume_usdt")
+    inside = bars.where(F.col("close").isNotNull())
+    if start is not None:
+        inside = inside.where((F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    s = inside.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_bars"))
+    w = Window.partitionBy(F.lit(0))
+    lo = bar_index(F.lit(start).cast("timestamp") if start is not None else F.min("first_ts").over(w), step_us)
+    hi = bar_index(F.lit(end).cast("timestamp"), step_us) if end is not None else bar_index(F.max("last_ts").over(w), step_us) + 1
+    s = s.withColumns({"i0": lo, "i1": hi}).where(F.col("n_bars") >= min_coverage * (F.col("i1") - F.col("i0")))
+    s = s.withColumns({"full": F.max(bar_index("first_ts", step_us)).over(w), "n_sym": F.count(F.lit(1)).over(w)})
+    grid = (s.where("n_sym >= 2").select("symbol", "full", F.explode(F.sequence(F.col("i0"), F.col("i1") - 1)).alias("i"))
+            .withColumn("ts", index_ts("i", step_us)))
+    g = grid.join(inside.select("symbol", "ts", "close", "volume"), ["symbol", "ts"], "left")
+    g = g.withColumn("volume_usdt", F.coalesce(F.col("close") * F.col("volume"), F.lit(0.0))).drop("volume")
+    g = ffill(g, ["close"], fill_chunk_us).where(F.col("i") >= F.col("full"))
+    return g.select("symbol", "ts", "i", "close", F.log("close").alias("lp"), "volume_usdt")
 
 
 def keep_one(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:

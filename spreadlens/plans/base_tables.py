@@ -1,7 +1,7 @@
 """Shared DataFrames of the registered queries (the Spark side of the oracle's common CTEs)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..core.ordered import DAY_US
 from ..operators import pairs as P, panel as N
@@ -9,22 +9,17 @@ from ..sources.adapters import Tables
 
 
 def daily_panel(t: Tables) -> DataFrame:
-    return N.close_panel(t.daily, DAY_US, min_coverage=0.5)
+    return t.store("panel", lambda: N.close_panel(t.daily, DAY_US, min_coverage=0.5))
 
 
-def selected_pairs(panel: DataFrame, top_n: int = 10) -> DataFrame:
-    return P.score_candidates(P.pair_moments(panel), 0.2, top_n).select(
-        "pair", "sym_a", "sym_b", "corr", "alpha", "beta", "spread_vol")
+def selected_pairs(t: Tables, top_n: int = 10) -> DataFrame:
+    return t.store(f"pairs_{top_n}", lambda: P.score_candidates(P.pair_moments(daily_panel(t)), 0.2, top_n).select(
+        "pair", "sym_a", "sym_b", "corr", "alpha", "beta", "spread_vol"))
 
 
 def pair_legs(t: Tables, top_n: int = 10) -> DataFrame:
-    panel = daily_panel(t)
-    return P.pair_legs(panel, selected_pairs(panel, top_n), ["close", "lp", "volume_usdt"])
+    return P.pair_legs(daily_panel(t), selected_pairs(t, top_n), ["close", "lp", "volume_usdt"])
 
 
 def spreads(t: Tables, top_n: int = 10) -> DataFrame:
     return P.static_spread(pair_legs(t, top_n)).withColumnRenamed("lp_a", "la").withColumnRenamed("lp_b", "lb")
-
-
-def sql_date(s: str):
-    return F.lit(s).cast("timestamp")

@@ -12,13 +12,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_OPEN: dict[tuple[str, str], Tables] = {}
+
+
+def tables(spark: SparkSession, root: str) -> Tables:
+    """One catalog per application and folder, so that queries share the stored tables."""
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _OPEN:
+        _OPEN[key] = Tables(spark, root)
+    return _OPEN[key]
+
+
+def forget_tables() -> None:
+    """Drop the catalogs; the next query builds its stored tables again (used by the bench)."""
+    _OPEN.clear()
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name`` together with its oracle SQL."""
 
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, root: fn(Tables(spark, root))
+        QUERIES[name] = lambda spark, root: fn(tables(spark, root))
         if sql is not None:
             ORACLES[name] = resolve(sql)
         return fn

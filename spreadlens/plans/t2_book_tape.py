@@ -208,11 +208,11 @@ def _(t):
     return rounded(Q.sweeps(t.trades, 3_600_000), "notional", digits=2)
 
 
-@query("tr9_size_distribution", f"""SELECT symbol, {R('quantile_cont(notional, 5e-1)', 2)} AS p50, {R('quantile_cont(notional, 9e-1)', 2)} AS p90, {R('quantile_cont(notional, 99e-2)', 2)} AS p99, {R('quantile_cont(notional, 999e-3)', 2)} AS p999,
+@query("tr9_size_distribution", f"""SELECT symbol, {R('quantile_cont(notional, 5e-1)', 1)} AS p50, {R('quantile_cont(notional, 9e-1)', 1)} AS p90, {R('quantile_cont(notional, 99e-2)', 1)} AS p99, {R('quantile_cont(notional, 999e-3)', 1)} AS p999,
  {R('sum(CASE WHEN notional >= 1e3 THEN notional ELSE 0 END) / sum(notional)')} AS share_ge_1000, {R('sum(CASE WHEN notional >= 1e4 THEN notional ELSE 0 END) / sum(notional)')} AS share_ge_10000,
  {R('sum(CASE WHEN notional >= 1e5 THEN notional ELSE 0 END) / sum(notional)')} AS share_ge_100000 FROM v_trades GROUP BY symbol""")
 def _(t):
-    d = rounded(Q.size_distribution(t.trades), "p50", "p90", "p99", "p999", digits=2)
+    d = rounded(Q.size_distribution(t.trades), "p50", "p90", "p99", "p999", digits=1)
     return rounded(d, "share_ge_1000", "share_ge_10000", "share_ge_100000")
 
 

@@ -157,3 +157,69 @@ FROM (SELECT coalesce(b.symbol, f.symbol) AS symbol, coalesce(b.ts, f.ts) AS ts,
             FROM v_signed GROUP BY ALL) f ON b.symbol = f.symbol AND b.ts = f.ts)
 WINDOW w AS (PARTITION BY symbol ORDER BY ts)
 QUALIFY last_value(microprice IGNORE NULLS) OVER w IS NOT NULL"""
+
+VIEWS["v_feat"] = """
+SELECT s.*, m.lp - p.lp AS market_return_24 FROM (
+SELECT *, CASE WHEN count(spread) OVER z >= 24 THEN (spread - avg(spread) OVER z) / nullif(stddev_samp(spread) OVER z, 0e0) END AS spread_z,
+  spread - lag(spread, 1) OVER o AS spread_diff_1, spread - lag(spread, 4) OVER o AS spread_diff_4, spread - lag(spread, 24) OVER o AS spread_diff_24,
+  CASE WHEN count(spread) OVER s >= 12 THEN stddev_samp(spread) OVER s END AS spread_vol_24,
+  CASE WHEN count(spread) OVER z >= 24 THEN stddev_samp(spread) OVER z END AS spread_vol_z,
+  vol_a / nullif(vol_b, 0e0) AS volume_ratio,
+  CASE WHEN count(vol_a) OVER z >= 24 THEN (vol_a - avg(vol_a) OVER z) / nullif(stddev_samp(vol_a) OVER z, 0e0) END AS volume_z_a,
+  CASE WHEN count(vol_b) OVER z >= 24 THEN (vol_b - avg(vol_b) OVER z) / nullif(stddev_samp(vol_b) OVER z, 0e0) END AS volume_z_b,
+  vol_a + vol_b AS pair_volume_sum, sqrt(greatest(vol_a, 0e0) * greatest(vol_b, 0e0)) AS pair_volume_gmean,
+  CASE WHEN count(ra + rb) OVER s >= 12 THEN covar_pop(ra, rb) OVER s / nullif(stddev_pop(CASE WHEN rb IS NOT NULL THEN ra END) OVER s * stddev_pop(CASE WHEN ra IS NOT NULL THEN rb END) OVER s, 0e0) END AS rolling_corr_24,
+  CASE WHEN count(ra) OVER s >= 12 THEN stddev_samp(ra) OVER s END AS realized_vol_a_24,
+  CASE WHEN count(rb) OVER s >= 12 THEN stddev_samp(rb) OVER s END AS realized_vol_b_24,
+  lead(spread, 24) OVER o - spread AS target_change, abs(lead(spread, 24) OVER o) - abs(spread) AS target_abs_change,
+  CAST(abs(lead(spread, 24) OVER o) < abs(spread) AS INTEGER) AS target_reversion
+FROM v_spread
+WINDOW o AS (PARTITION BY pair ORDER BY i), z AS (PARTITION BY pair ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW),
+  s AS (PARTITION BY pair ORDER BY i ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)) s
+LEFT JOIN (SELECT i, lp FROM v_panel WHERE symbol = 'P0') m ON m.i = s.i LEFT JOIN (SELECT i + 24 AS i, lp FROM v_panel WHERE symbol = 'P0') p ON p.i = s.i"""
+
+VIEWS["v_ready"] = """
+SELECT *, row_number() OVER (PARTITION BY pair ORDER BY i) AS rn FROM v_feat
+WHERE spread_z IS NOT NULL AND spread_diff_24 IS NOT NULL AND spread_vol_24 IS NOT NULL AND spread_vol_z IS NOT NULL AND volume_ratio IS NOT NULL
+  AND volume_z_a IS NOT NULL AND volume_z_b IS NOT NULL AND market_return_24 IS NOT NULL AND rolling_corr_24 IS NOT NULL
+  AND realized_vol_a_24 IS NOT NULL AND realized_vol_b_24 IS NOT NULL AND target_change IS NOT NULL"""
+
+VIEWS["v_thr"] = """
+SELECT pair, 5e-1 * CASE WHEN count(*) FILTER (ts < TIMESTAMP '1998-01-01') >= 32 THEN stddev_samp(chg) FILTER (ts < TIMESTAMP '1998-01-01') ELSE stddev_samp(chg) FILTER (rn <= 32) END AS threshold
+FROM (SELECT *, abs(spread + target_change) - abs(spread) AS chg FROM v_ready) GROUP BY pair"""
+
+VIEWS["v_samples"] = """
+SELECT * FROM (SELECT r.*, t.threshold, avg(spread_z) OVER w AS mean_spread_z, min(spread_z) OVER w AS min_spread_z, max(spread_z) OVER w AS max_spread_z,
+  regr_slope(spread, rn) OVER w AS spread_slope, avg(volume_ratio) OVER w AS mean_volume_ratio,
+  CAST(coalesce(rn - max(CASE WHEN sc <= 0 THEN rn END) OVER (PARTITION BY r.pair ORDER BY rn ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) + 1, 32) AS DOUBLE) AS time_since_zero_crossing,
+  avg(pair_volume_sum) OVER w AS mean_pair_volume_sum,
+  CASE WHEN abs(spread + target_change) - abs(spread) < -threshold THEN 0 WHEN abs(spread + target_change) - abs(spread) > threshold THEN 2 ELSE 1 END AS y_class
+FROM (SELECT *, sign(spread) * sign(lag(spread) OVER (PARTITION BY pair ORDER BY rn)) AS sc FROM v_ready) r JOIN v_thr t ON t.pair = r.pair
+WINDOW w AS (PARTITION BY r.pair ORDER BY rn ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)) WHERE rn >= 32"""
+
+# predictions with a deterministic class, for signals and P&L
+VIEWS["v_preds"] = """
+SELECT pair, sym_a, sym_b, ts, i, close_a, close_b, la, lb, beta, spread AS current_spread, spread_z AS latest_spread_z,
+  CAST((i // 7) % 3 AS INTEGER) AS pred_class, row_number() OVER (PARTITION BY pair ORDER BY i) AS rn FROM v_feat WHERE spread_z IS NOT NULL"""
+
+VIEWS["v_signal"] = """
+SELECT *, coalesce(lag(signal) OVER (PARTITION BY pair ORDER BY i), 0e0) AS held, coalesce(close_a / lag(close_a) OVER (PARTITION BY pair ORDER BY i) - 1, 0e0) AS ret_a,
+  coalesce(close_b / lag(close_b) OVER (PARTITION BY pair ORDER BY i) - 1, 0e0) AS ret_b FROM (
+SELECT *, CASE WHEN sign(current_spread) = 0 THEN 0e0 WHEN pred_class = 0 THEN -sign(current_spread) WHEN pred_class = 2 THEN sign(current_spread) ELSE 0e0 END AS signal FROM v_preds)"""
+
+VIEWS["v_pnl"] = """
+SELECT *, abs(signal - held) * 1e4 * (1 + abs(beta)) AS turnover, abs(signal - held) * 1e4 * (1 + abs(beta)) * 7e0 / 1e4 AS cost,
+  held * 1e4 * (ret_a - beta * ret_b) AS gross, held * 1e4 * (ret_a - beta * ret_b) - abs(signal - held) * 1e4 * (1 + abs(beta)) * 7e0 / 1e4 AS pnl FROM v_signal"""
+
+# z hysteresis: exits numbered, first entry after each exit
+VIEWS["v_hyst"] = """
+SELECT *, coalesce(first_value(e IGNORE NULLS) OVER (PARTITION BY pair, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS position FROM (
+SELECT *, sum(CASE WHEN x THEN 1 ELSE 0 END) OVER (PARTITION BY pair ORDER BY i) AS g,
+  CASE WHEN x THEN NULL WHEN spread_z >= 2 THEN -1e0 WHEN spread_z <= -2 THEN 1e0 END AS e FROM (
+SELECT pair, ts, i, la, lb, ra, rb, beta, spread, spread_z, (spread_z IS NULL OR abs(spread_z) <= 5e-1 OR abs(spread_z) >= 4) AS x FROM v_feat))"""
+
+VIEWS["v_unit"] = """
+SELECT *, held * sr AS gross, abs(position - held) AS dpos, held * sr - abs(position - held) * 2e0 * 15e0 / 1e4 AS net FROM (
+SELECT *, coalesce(lag(position) OVER (PARTITION BY pair ORDER BY i), 0e0) AS held, coalesce(ra - rb, 0e0) AS sr FROM v_hyst)"""
+
+VIEWS["v_port"] = "SELECT ts, i, avg(net) AS pnl, avg(gross) AS gross FROM v_unit GROUP BY ts, i"

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.ordered import DAY_US, YEAR_US, running_sum
-from ..core.session import prepare
+from ..core.session import checkpointed, prepare
 
 LEVELS = 10
 
@@ -56,6 +56,17 @@ class Tables:
                      (1 + F.pmod(F.col("event_id") * (60 + i), F.lit(89))).cast("long").alias(f"ask_sz_{i}")]
         return e.select(*cols)
 
+    @cached_property
+    def stored(self) -> dict[str, DataFrame]:
+        """Tables written once per (session, folder): what a deployment keeps as stores."""
+        return {}
+
+    def store(self, name: str, build) -> DataFrame:
+        """The stored table ``name``, built and cut from its lineage by a reliable checkpoint at first use."""
+        if name not in self.stored:
+            self.stored[name] = checkpointed(build())
+        return self.stored[name]
+
     @cached_property
     def bars_1h(self) -> DataFrame:
         h = F.date_trunc("hour", "ts")
@@ -66,8 +77,11 @@ class Tables:
             (F.max_by("px_c", "trade_id").cast("double") / 100.0).alias("close"),
             F.sum("amount").cast("double").alias("volume")))
 
-    @cached_property
+    @property
     def daily(self) -> DataFrame:
+        return self.store("daily", self._daily)
+
+    def _daily(self) -> DataFrame:
         l = self.raw("lineitem").select(
             F.concat(F.lit("P"), F.pmod("l_suppkey", F.lit(12)).cast("string")).alias("symbol"),
             F.col("l_shipdate").cast("timestamp").alias("ts"),
