@@ -467,12 +467,12 @@ def _(t):
     return rounded(X.label_thresholds(row_index(ready(t), ["pair"], ["ts"], "rn", YEAR_US), SCFG), "threshold", digits=8)
 
 
-@query("pf16_sequences", f"SELECT pair, ts, 32 AS steps, 16 AS width, {R('(SELECT 0e0) + sum(spread_z) OVER (PARTITION BY pair ORDER BY rn ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)', 3)} AS z_sum FROM v_ready QUALIFY rn >= 32")
+@query("pf16_sequences", f"SELECT pair, ts, 32 AS steps, 16 AS width, {R('(SELECT 0e0) + sum(spread_z) OVER (PARTITION BY pair ORDER BY rn ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)', 1)} AS z_sum FROM v_ready QUALIFY rn >= 32")
 def _(t):
     d = X.samples(ready(t), SCFG, sequences=True)
     z = X.FEATURES.index("spread_z")
     return d.select("pair", "ts", F.size("sequence").alias("steps"), F.size(c("sequence")[0]).alias("width"),
-                    rnd(F.aggregate("sequence", F.lit(0.0), lambda a, r: a + r[z].cast("double")), 3).alias("z_sum"))
+                    rnd(F.aggregate("sequence", F.lit(0.0), lambda a, r: a + r[z].cast("double")), 1).alias("z_sum"))
 
 
 WSQL = win_sql("v_samples", 365, 90, 90)

@@ -223,3 +223,42 @@ SELECT *, held * sr AS gross, abs(position - held) AS dpos, held * sr - abs(posi
 SELECT *, coalesce(lag(position) OVER (PARTITION BY pair ORDER BY i), 0e0) AS held, coalesce(ra - rb, 0e0) AS sr FROM v_hyst)"""
 
 VIEWS["v_port"] = "SELECT ts, i, avg(net) AS pnl, avg(gross) AS gross FROM v_unit GROUP BY ts, i"
+
+VIEWS["v_tb"] = """
+SELECT symbol, make_timestamp((epoch_us(ts) + 59999999) // 60000000 * 60000000) AS ts, count(*) AS trade_count, CAST(sum(amount) AS DOUBLE) AS volume_base, sum(notional) AS volume_quote,
+ CAST(coalesce(sum(amount) FILTER (side = 'buy'), 0) AS DOUBLE) AS buy, CAST(coalesce(sum(amount) FILTER (side = 'sell'), 0) AS DOUBLE) AS sell,
+ CAST(coalesce(sum(amount) FILTER (side = 'buy'), 0) - coalesce(sum(amount) FILTER (side = 'sell'), 0) AS DOUBLE) AS signed FROM v_trades GROUP BY 1, 2"""
+
+VIEWS["v_cancel"] = """
+SELECT *, buy - sell AS trade_ofi, greatest(bid_dec - sell, 0) AS bid_cancel, greatest(ask_dec - buy, 0) AS ask_cancel, greatest(bid_dec - sell, 0) - greatest(ask_dec - buy, 0) AS cancel_imb FROM (
+SELECT coalesce(b.symbol, t.symbol) AS symbol, coalesce(b.day, t.day) AS day, coalesce(b.i, t.i) AS i, coalesce(book_ofi, 0) AS book_ofi, coalesce(bid_dec, 0) AS bid_dec, coalesce(ask_dec, 0) AS ask_dec,
+  coalesce(buy, 0) AS buy, coalesce(sell, 0) AS sell FROM
+ (SELECT symbol, day, epoch_us(ts) // 60000000 AS i, sum(ofi) AS book_ofi, sum(bid_dec) AS bid_dec, sum(ask_dec) AS ask_dec FROM v_flow GROUP BY 1, 2, 3) b FULL JOIN
+ (SELECT symbol, CAST(ts AS DATE) AS day, epoch_us(ts) // 60000000 AS i, sum(amount) FILTER (side = 'buy') AS buy, sum(amount) FILTER (side = 'sell') AS sell FROM v_trades GROUP BY 1, 2, 3) t
+ ON b.symbol = t.symbol AND b.day = t.day AND b.i = t.i)"""
+
+VIEWS["v_dense"] = """
+SELECT *, sum(book_ofi) OVER f AS bofi_tr, sum(trade_ofi) OVER f AS tofi_tr, sum(cancel_imb) OVER f AS cimb_tr, lm - lag(lm) OVER o AS ret, lead(lm, 1) OVER o - lm AS fwd1, lead(lm, 10) OVER o - lm AS fwd10 FROM (
+SELECT m.symbol, m.day, m.i, ln(m.mid) AS lm, CAST(coalesce(book_ofi, 0) AS DOUBLE) AS book_ofi, CAST(coalesce(trade_ofi, 0) AS DOUBLE) AS trade_ofi, CAST(coalesce(cancel_imb, 0) AS DOUBLE) AS cancel_imb,
+  coalesce(buy, 0) AS buy, coalesce(sell, 0) AS sell
+FROM v_minute m LEFT JOIN v_cancel c ON c.symbol = m.symbol AND c.day = m.day AND c.i = m.i)
+WINDOW o AS (PARTITION BY symbol, day ORDER BY i), f AS (PARTITION BY symbol, day ORDER BY i ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)"""
+
+VIEWS["v_episodes"] = """
+SELECT * EXCLUDE (run), greatest(exec_vol - max_disp, 0e0) AS hidden FROM (
+SELECT symbol, day, side, run, min(px) FILTER (kind = 0) AS price, CAST(max(sz) AS DOUBLE) AS max_disp, CAST(coalesce(sum(amt) FILTER (kind = 1 AND abs(tpx - cpx) <= 1e-9 * cpx), 0) AS DOUBLE) AS exec_vol,
+  min(ts) FILTER (kind = 0) AS start_ts, coalesce(lead(min(ts) FILTER (kind = 0)) OVER (PARTITION BY symbol, day, side ORDER BY run), max(ts) FILTER (kind = 1 AND abs(tpx - cpx) <= 1e-9 * cpx)) AS end_ts
+FROM (SELECT *, sum(new) OVER w AS run, last_value(px IGNORE NULLS) OVER w AS cpx FROM (
+  SELECT symbol, day, ts, side, 0 AS kind, seq AS ord, px, sz, NULL AS tpx, NULL AS amt, CASE WHEN pp IS NULL OR abs(px - pp) > 1e-9 * pp THEN 1 ELSE 0 END AS new FROM (
+    SELECT *, lag(px) OVER (PARTITION BY symbol, day, side ORDER BY ts, seq) AS pp FROM (
+      SELECT symbol, CAST(ts AS DATE) AS day, ts, seq, 'ask' AS side, ask_px_1 AS px, ask_sz_1 AS sz FROM v_book UNION ALL SELECT symbol, CAST(ts AS DATE), ts, seq, 'bid', bid_px_1, bid_sz_1 FROM v_book))
+  UNION ALL SELECT symbol, CAST(ts AS DATE), ts, CASE WHEN side = 'buy' THEN 'ask' ELSE 'bid' END, 1, trade_id, NULL, NULL, price, amount, 0 FROM v_trades)
+  WINDOW w AS (PARTITION BY symbol, day, side ORDER BY ts, kind, ord))
+WHERE run > 0 GROUP BY symbol, day, side, run) WHERE exec_vol > 0"""
+
+VIEWS["v_parents"] = """
+SELECT g.*, b.* EXCLUDE (symbol, ts, seq), (b.bid_px_1 + b.ask_px_1) / 2e0 AS m0, CASE side WHEN 'buy' THEN 1e0 ELSE -1e0 END AS sgn,
+  CASE side WHEN 'buy' THEN b.bid_px_1 ELSE b.ask_px_1 END AS post_px, CASE side WHEN 'buy' THEN b.bid_sz_1 ELSE b.ask_sz_1 END AS queue, CAST(notional AS DOUBLE) AS q
+FROM (SELECT symbol, day, t0, make_timestamp(t0) AS ts, CASE WHEN (t0 // 1000000 * 7919 + 7) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, unnest([1e3, 2e4]) AS notional FROM (
+  SELECT symbol, CAST(ts AS DATE) AS day, unnest(generate_series(epoch_us(min(ts)) + 60000000, epoch_us(max(ts)) - 70000000, 7200000000)) AS t0 FROM v_book GROUP BY 1, 2)) g
+ASOF JOIN v_book b ON g.symbol = b.symbol AND g.ts >= b.ts"""
