@@ -262,3 +262,39 @@ SELECT g.*, b.* EXCLUDE (symbol, ts, seq), (b.bid_px_1 + b.ask_px_1) / 2e0 AS m0
 FROM (SELECT symbol, day, t0, make_timestamp(t0) AS ts, CASE WHEN (t0 // 1000000 * 7919 + 7) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, unnest([1e3, 2e4]) AS notional FROM (
   SELECT symbol, CAST(ts AS DATE) AS day, unnest(generate_series(epoch_us(min(ts)) + 60000000, epoch_us(max(ts)) - 70000000, 7200000000)) AS t0 FROM v_book GROUP BY 1, 2)) g
 ASOF JOIN v_book b ON g.symbol = b.symbol AND g.ts >= b.ts"""
+
+VIEWS["v_win"] = """
+SELECT CAST(k AS INTEGER) AS split_id, make_timestamp((lo + k * 90) * 86400000000) AS train_start, make_timestamp((lo + k * 90 + 365) * 86400000000) AS train_end,
+  make_timestamp((lo + k * 90 + 455) * 86400000000) AS test_end
+FROM (SELECT epoch_us(min(ts)) // 86400000000 AS lo, (epoch_us(max(ts)) + 86399999999) // 86400000000 AS hi FROM v_panel), range(10000) r(k) WHERE lo + k * 90 + 455 <= hi"""
+
+VIEWS["v_wfit"] = """
+SELECT f.split_id, f.pair, any_value(f.sym_a) AS sym_a, any_value(f.sym_b) AS sym_b, any_value(f.alpha) AS alpha, any_value(f.beta) AS beta, any_value(f.n) AS n, any_value(f.sd) AS sd,
+  regr_slope(x - p, p) AS b, sqrt(greatest(regr_syy(x - p, p) - regr_sxy(x - p, p) * regr_sxy(x - p, p) / regr_sxx(x - p, p), 0e0) / regr_count(x - p, p)) AS rsd
+FROM (SELECT w.split_id, r.pair, r.i, r.la - f.alpha - f.beta * r.lb AS x, lag(r.la - f.alpha - f.beta * r.lb) OVER (PARTITION BY w.split_id, r.pair ORDER BY r.i) AS p, f.* EXCLUDE (split_id, pair)
+  FROM v_pair_rows r JOIN v_win w ON r.ts >= w.train_start AND r.ts < w.train_end
+  JOIN (SELECT w.split_id, r.pair, any_value(r.sym_a) AS sym_a, any_value(r.sym_b) AS sym_b, regr_intercept(la, lb) AS alpha, regr_slope(la, lb) AS beta, count(*) AS n,
+      sqrt(greatest(regr_syy(la, lb) - regr_sxy(la, lb) * regr_sxy(la, lb) / regr_sxx(la, lb), 0e0) / count(*)) AS sd
+    FROM v_pair_rows r JOIN v_win w ON r.ts >= w.train_start AND r.ts < w.train_end GROUP BY 1, 2) f ON f.split_id = w.split_id AND f.pair = r.pair) f
+GROUP BY f.split_id, f.pair"""
+
+VIEWS["v_ou"] = """
+SELECT *, CAST(row_number() OVER (PARTITION BY split_id ORDER BY half_life, resid_ratio, pair) AS INTEGER) AS rank FROM (
+SELECT *, -ln(2e0) / ln(1 + b) AS half_life, rsd / sd AS resid_ratio FROM v_wfit WHERE b > -1 AND b < 0 AND beta > 0 AND n >= 365 * 9e-1 AND rsd > 0 AND sd > 0)
+WHERE half_life BETWEEN 2 AND 90 QUALIFY row_number() OVER (PARTITION BY split_id ORDER BY half_life, resid_ratio, pair) <= 5"""
+
+VIEWS["v_walk"] = """
+SELECT o.split_id, o.pair, o.half_life, r.ts, r.i, r.la, r.lb, r.la - o.alpha - o.beta * r.lb AS spread, (r.la - o.alpha - o.beta * r.lb) / o.sd AS z,
+  coalesce(r.la - lag(r.la) OVER w - (r.lb - lag(r.lb) OVER w), 0e0) AS sr
+FROM v_ou o JOIN v_win x ON x.split_id = o.split_id JOIN v_pair_rows r ON r.pair = o.pair AND r.ts >= x.train_end AND r.ts < x.test_end WINDOW w AS (PARTITION BY o.split_id, o.pair ORDER BY r.i)"""
+
+VIEWS["v_wpos"] = """
+SELECT *, coalesce(first_value(e IGNORE NULLS) OVER (PARTITION BY split_id, pair, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS position FROM (
+SELECT *, sum(CASE WHEN x THEN 1 ELSE 0 END) OVER (PARTITION BY split_id, pair ORDER BY i) AS g, CASE WHEN x THEN NULL WHEN z >= 2 THEN -1e0 WHEN z <= -2 THEN 1e0 END AS e
+FROM (SELECT *, (abs(z) <= 5e-1 OR abs(z) >= 4) AS x FROM v_walk))"""
+
+VIEWS["v_wunit"] = """
+SELECT *, held * sr AS gross, abs(position - held) AS dpos, held * sr - abs(position - held) * 2e0 * 15e0 / 1e4 AS net FROM (
+SELECT *, coalesce(lag(position) OVER (PARTITION BY split_id, pair ORDER BY i), 0e0) AS held FROM v_wpos)"""
+
+VIEWS["v_wport"] = "SELECT ts, i, split_id, avg(net) AS pnl, avg(gross) AS gross FROM v_wunit GROUP BY ts, i, split_id"
