@@ -87,35 +87,44 @@ def pair_moments(panel: DataFrame, value: str = "lp", idx: str = "i", keys: list
     return total.join(a, [*keys, "sym_a"]).join(b, [*keys, "sym_b"])
 
 
-def pair_fit(moments: DataFrame) -> DataFrame:
-    """OLS hedge, residual spread, return correlation and AR(1) of the residual, all in closed form."""
-    c = F.col
-    sxx = c("sbb") - c("sb") * c("sb") / c("n")
-    sxy = c("sab") - c("sa") * c("sb") / c("n")
-    syy = c("saa") - c("sa") * c("sa") / c("n")
-    crr = (c("rab") - c("ra") * c("rb") / c("m")) / F.sqrt(
-        (c("raa") - c("ra") * c("ra") / c("m")) * (c("rbb") - c("rb") * c("rb") / c("m")))
-    d = moments.withColumns({"corr": crr, "beta": sxy / sxx, "_ssr": F.greatest(syy - sxy * sxy / sxx, F.lit(0.0))})
-    d = d.withColumn("_al", (c("sa") - c("beta") * c("sb")) / c("n"))
+FIT = ["corr", "alpha", "beta", "spread_vol", "spread_sd0", "phi", "ar_b", "ar_resid_sd"]
+
+
+def _closed_forms(p: pd.DataFrame) -> dict[str, np.ndarray]:
+    n, m = p["n"], p["m"]
+    sxx, sxy, syy = p["sbb"] - p["sb"] ** 2 / n, p["sab"] - p["sa"] * p["sb"] / n, p["saa"] - p["sa"] ** 2 / n
+    corr = (p["rab"] - p["ra"] * p["rb"] / m) / np.sqrt((p["raa"] - p["ra"] ** 2 / m) * (p["rbb"] - p["rb"] ** 2 / m))
+    b = sxy / sxx
+    al = (p["sa"] - b * p["sb"]) / n
+    ssr = np.maximum(syy - sxy * sxy / sxx, 0.0)
     # residual r = a - alpha - beta*b: sums of r_t, r_{t-1} and their products over rows with a predecessor
-    al, be = c("_al"), c("beta")
-    sl = c("la") - c("m") * al - be * c("lb")
-    sp = c("pa") - c("m") * al - be * c("pb")
-    spp = (c("paa") + c("m") * al * al + be * be * c("pbb") - 2 * al * c("pa") - 2 * be * c("pab") + 2 * al * be * c("pb"))
-    sll = (c("laa") + c("m") * al * al + be * be * c("lbb") - 2 * al * c("la") - 2 * be * c("lab") + 2 * al * be * c("lb"))
-    slp = (c("lapa") - be * c("lapb") - al * c("la") - al * c("pa") + al * be * c("pb") + c("m") * al * al
-           - be * c("lbpa") + be * be * c("lbpb") + al * be * c("lb"))
-    d = d.withColumns({"_sl": sl, "_sp": sp, "_spp": spp, "_sll": sll, "_slp": slp})
-    vpp = c("_spp") - c("_sp") * c("_sp") / c("m")
-    vlp = c("_slp") - c("_sl") * c("_sp") / c("m")
-    vll = c("_sll") - c("_sl") * c("_sl") / c("m")
-    d = d.withColumns({"phi": vlp / vpp, "_e2": F.greatest(vll - vlp * vlp / vpp, F.lit(0.0))})
-    return (d.withColumns({
-        "pair": F.concat_ws("_", "sym_a", "sym_b"),
-        "alpha": c("_al") + c("a0") - c("beta") * c("b0"),
-        "spread_vol": F.sqrt(c("_ssr") / (c("n") - 1)), "spread_sd0": F.sqrt(c("_ssr") / c("n")),
-        "ar_b": c("phi") - 1, "ar_resid_sd": F.sqrt(c("_e2") / c("m"))})
-        .drop(*[x for x in ("_ssr", "_al", "_sl", "_sp", "_spp", "_sll", "_slp", "_e2")], *MOMENTS[1:], "a0", "b0"))
+    sl, sp = p["la"] - m * al - b * p["lb"], p["pa"] - m * al - b * p["pb"]
+    spp = p["paa"] + m * al * al + b * b * p["pbb"] - 2 * al * p["pa"] - 2 * b * p["pab"] + 2 * al * b * p["pb"]
+    sll = p["laa"] + m * al * al + b * b * p["lbb"] - 2 * al * p["la"] - 2 * b * p["lab"] + 2 * al * b * p["lb"]
+    slp = (p["lapa"] - b * p["lapb"] - al * p["la"] - al * p["pa"] + al * b * p["pb"] + m * al * al
+           - b * p["lbpa"] + b * b * p["lbpb"] + al * b * p["lb"])
+    vpp, vlp, vll = spp - sp * sp / m, slp - sl * sp / m, sll - sl * sl / m
+    phi = vlp / vpp
+    return {"corr": corr, "alpha": al + p["a0"] - b * p["b0"], "beta": b, "spread_vol": np.sqrt(ssr / (n - 1)), "spread_sd0": np.sqrt(ssr / n),
+            "phi": phi, "ar_b": phi - 1, "ar_resid_sd": np.sqrt(np.maximum(vll - vlp * vlp / vpp, 0.0) / m)}
+
+
+def pair_fit(moments: DataFrame) -> DataFrame:
+    """OLS hedge, residual spread, return correlation and AR(1) of the residual, all in closed form from
+    one row of moments per pair; undefined values are null."""
+    keys = [x for x in moments.columns if x not in (*MOMENTS, "a0", "b0")]
+    types = dict(moments.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            with np.errstate(all="ignore"):
+                cols = _closed_forms(pdf)
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "pair": pdf["sym_a"] + "_" + pdf["sym_b"], "n": pdf["n"], **cols})
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "pair string", "n double", *(f"{x} double" for x in FIT)])
+    d = moments.mapInPandas(run, schema)
+    ok = lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.col(x))
+    return d.withColumns({x: ok(x) for x in FIT})
 
 
 def half_life_ar(b: Column) -> Column:
