@@ -341,24 +341,48 @@ def average_rank(value: str, keys: Sequence[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
+def value_positions(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """Per key and distinct value: its count ``_c`` and the number of rows below it ``_before``.
+
+    Equal values collapse map-side first.  The distinct values of a key are then cut at approximate
+    quantiles into buckets, counted inside each bucket, and bucket totals are scanned; so neither a hot
+    key nor a hot value puts an ordering of many rows into one task.
+    """
+    keys = list(keys)
+    v = df.where(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cuts = v.groupBy(*keys).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000).alias("_q"))
+    v = v.join(cuts, keys) if keys else v.join(F.broadcast(cuts))
+    v = v.withColumn("_b", F.size(F.filter("_q", lambda q: q < c(value)))).drop("_q")
+    total = v.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    part = [c(k) for k in keys] or [F.lit(0)]
+    scan = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(*keys, "_b", F.coalesce(F.sum("_n").over(scan), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (v.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(total, [*keys, "_b"])
+            .select(*keys, value, "_c", (c("_off") + c("_in")).alias("_before")))
+
+
 def tie_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Average ranks without sorting a whole group in one task: rank the distinct values by running
-    counts over value ranges, then join back."""
+    """Average ranks of large groups: positions of the distinct values joined back."""
     keys = list(keys)
-    if keys:
-        return df.withColumn(out, average_rank(value, keys))
-    # one group: bucket the value axis first, carry bucket counts forward
-    q = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(q))
-    width = F.greatest(c("_hi") - c("_lo"), F.lit(1e-300))
-    counts = counts.withColumn("_b", F.least(F.lit(999), F.floor((c(value) - c("_lo")) / width * 1000).cast("int")))
-    per = counts.groupBy("_b").agg(F.sum("_c").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    r = (counts.withColumn("_cum", F.sum("_c").over(inside)).join(per, "_b")
-         .select(value, (c("_off") + c("_cum") - (c("_c") - 1) / 2.0).alias(out)))
-    return df.join(r, value)
+    r = value_positions(df, value, keys).select(*keys, value, (c("_before") + (c("_c") + 1) / 2.0).alias(out))
+    return df.join(r, [*keys, value])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Exact interpolated quantiles of large groups, read off the value positions."""
+    keys = list(keys)
+    names = list(names or [f"q{k}" for k in range(len(probs))])
+    v = value_positions(df, value, keys)
+    n = v.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    v = v.join(n, keys) if keys else v.join(F.broadcast(n))
+    at = lambda r: F.max(F.when((c("_before") <= r) & (r < c("_before") + c("_c")), c(value)))
+    aggs = []
+    for p, name in zip(probs, names):
+        pos = (c("_n") - 1) * p
+        aggs += [at(F.floor(pos)).alias(f"_l_{name}"), at(F.ceil(pos)).alias(f"_h_{name}"), F.max(pos - F.floor(pos)).alias(f"_f_{name}")]
+    g = v.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[(c(f"_l_{x}") + (c(f"_h_{x}") - c(f"_l_{x}")) * c(f"_f_{x}")).alias(x) for x in names])
 
 
 def standardise(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -377,23 +401,15 @@ def demean(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame
 
 
 def winsorise(df: DataFrame, cols: Sequence[str], upper: float | None = None, lower: float | None = None) -> DataFrame:
-    """Clip at quantiles of the whole sample (one aggregate row broadcast back)."""
-    aggs = []
-    for x in cols:
-        if upper is not None:
-            aggs.append(F.percentile(x, upper).alias(f"_u_{x}"))
-        if lower is not None:
-            aggs.append(F.percentile(x, lower).alias(f"_l_{x}"))
-    d = df.join(F.broadcast(df.agg(*aggs)))
-    out = {}
+    """Clip at exact quantiles of the whole sample (one row broadcast back per column)."""
+    d = df
     for x in cols:
-        e = c(x)
-        if upper is not None:
-            e = F.when(e.isNotNull(), F.least(e, c(f"_u_{x}")))
-        if lower is not None:
-            e = F.when(c(x).isNotNull(), F.greatest(e, c(f"_l_{x}")))
-        out[x] = e
-    return d.withColumns(out).drop(*[f"_{p}_{x}" for p in "ul" for x in cols])
+        for p, name in ((upper, "_u"), (lower, "_l")):
+            if p is not None:
+                d = d.join(F.broadcast(exact_quantiles(df, x, [p], names=[name])))
+                e = F.least(c(x), c(name)) if name == "_u" else F.greatest(c(x), c(name))
+                d = d.withColumn(x, F.when(c(x).isNotNull(), e)).drop(name)
+    return d
 
 
 def rank_correlation(df: DataFrame, a: str, b: str, keys: Sequence[str], min_n: int = 10) -> DataFrame:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core.ordered import block_window, core_rows, halo_blocks
+from ..core.session import checkpointed
 from ..functions.tails import chi2_sf, unit_root_p
 
 c = F.col
@@ -188,13 +189,15 @@ def forward_hedge(test: DataFrame, fitted: DataFrame, keys: Sequence[str] = ("pa
 def train_test_screen(legs: DataFrame, cut, lags: int = 24, min_train: int = 200, min_test: int = 100, burn_in: int = 50) -> DataFrame:
     """Static against dynamic hedge, in and out of sample, per pair: one row with four tests."""
     t = F.lit(cut).cast("timestamp")
+    # the legs and the fits feed several tests each: cut their lineage once, reliably
+    legs = checkpointed(legs.select("pair", "ts", "i", "la", "lb"))
     tr, te = legs.where(c("ts") < t), legs.where(c("ts") >= t)
     ok = legs.groupBy("pair").agg(F.count_if(c("ts") < t).alias("n_tr"), F.count_if(c("ts") >= t).alias("n_te"),
                                   F.min("i").alias("_i0")).where((c("n_tr") >= min_train) & (c("n_te") >= min_test))
     tr, te = tr.join(ok, "pair", "left_semi"), te.join(ok, "pair", "left_semi")
     fit = tr.groupBy("pair").agg(F.regr_intercept("la", "lb").alias("_a"), F.regr_slope("la", "lb").alias("static_beta"))
     res = lambda d: d.join(fit, "pair").withColumn("_s", c("la") - c("_a") - c("static_beta") * c("lb"))
-    kf = fit_dynamic_hedge(tr)
+    kf = checkpointed(fit_dynamic_hedge(tr))
     inn_in = forward_hedge(tr, kf, from_prior=True).join(ok.select("pair", "_i0"), "pair").where(c("i") >= c("_i0") + burn_in)
     inn_out = forward_hedge(te, kf)
     parts = [adf(res(tr), ["pair"], "_s", lags=lags, prefix="static_in").drop("n"), adf(res(te), ["pair"], "_s", lags=lags, prefix="static_out").drop("n"),

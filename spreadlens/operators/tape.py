@@ -81,12 +81,12 @@ def sweeps(trades: DataFrame, max_gap_ms: int = 50, width_us: int = DAY_US) -> D
 
 def size_distribution(trades: DataFrame, thresholds: Sequence[float] = (1e3, 1e4, 1e5)) -> DataFrame:
     """Quantiles of trade notional and the share of volume above thresholds, per symbol."""
-    q = F.percentile("notional", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.99, 0.999)]))
-    shares = [(F.sum(F.when(c("notional") >= x, c("notional")).otherwise(0.0)) / F.sum("notional")).alias(f"share_ge_{int(x)}")
-              for x in thresholds]
-    return trades.groupBy("symbol").agg(q.alias("_q"), *shares).select(
-        "symbol", *[c("_q")[k].alias(n) for k, n in enumerate(("p50", "p90", "p99", "p999"))],
-        *[f"share_ge_{int(x)}" for x in thresholds])
+    from .inference import exact_quantiles
+    q = exact_quantiles(trades, "notional", (0.5, 0.9, 0.99, 0.999), ["symbol"], ("p50", "p90", "p99", "p999"))
+    s = trades.groupBy("symbol").agg(*[
+        (F.sum(F.when(c("notional") >= x, c("notional")).otherwise(0.0)) / F.sum("notional")).alias(f"share_ge_{int(x)}")
+        for x in thresholds])
+    return q.join(s, "symbol")
 
 
 def class_shares(trades: DataFrame) -> DataFrame:

@@ -358,6 +358,6 @@ def _(t):
     return d.select("trade_id", c("bseq").alias("seq"))
 
 
-@query("stream_batch_trade_bars", "SELECT symbol, make_timestamp((epoch_us(ts) + 59999999) // 60000000 * 60000000) AS ts, count(*) AS trade_count, CAST(sum(amount) AS DOUBLE) AS volume_base FROM v_trades GROUP BY 1, 2")
+@query("bar1_trade_bars_1m", "SELECT symbol, make_timestamp((epoch_us(ts) + 59999999) // 60000000 * 60000000) AS ts, count(*) AS trade_count, CAST(sum(amount) AS DOUBLE) AS volume_base FROM v_trades GROUP BY 1, 2")
 def _(t):
     return B.trade_bars(t.trades, MINUTE_US).select("symbol", "ts", "trade_count", "volume_base")

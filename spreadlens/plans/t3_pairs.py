@@ -292,11 +292,12 @@ def _(t):
 
 
 @query("agg2_moments", f"""WITH m AS (SELECT symbol, avg(amount) AS mu, stddev_pop(amount) AS sp FROM v_trades GROUP BY symbol)
-SELECT t.symbol, {R('stddev_samp(amount)')} AS s1, {R('stddev_pop(amount)')} AS s0, {R('median(amount)')} AS med, {R('quantile_cont(amount, 9e-1)', 4)} AS q90, {R('corr(amount, price)')} AS r, {R('covar_samp(amount, price)')} AS cv,
+SELECT t.symbol, {R('stddev_samp(amount)')} AS s1, {R('stddev_pop(amount)')} AS s0, {R('median(amount)')} AS med, {R('quantile_cont(amount, 9e-1)')} AS q90, {R('corr(amount, price)')} AS r, {R('covar_samp(amount, price)')} AS cv,
  {R('avg(((amount - mu) / sp) ** 3)')} AS skew, {R('avg(((amount - mu) / sp) ** 4)')} AS kurt FROM v_trades t JOIN m ON m.symbol = t.symbol GROUP BY t.symbol""")
 def _(t):
-    return t.trades.groupBy("symbol").agg(rnd(F.stddev_samp("amount")).alias("s1"), rnd(F.stddev_pop("amount")).alias("s0"), rnd(F.median("amount")).alias("med"), rnd(F.percentile("amount", 0.9), 4).alias("q90"),
-                                          rnd(F.corr("amount", "price")).alias("r"), rnd(F.covar_samp("amount", "price")).alias("cv"), rnd(F.skewness("amount")).alias("skew"), rnd(F.kurtosis("amount") + 3).alias("kurt"))
+    return t.trades.groupBy("symbol").agg(rnd(F.stddev_samp("amount")).alias("s1"), rnd(F.stddev_pop("amount")).alias("s0"),
+                                          rnd(F.corr("amount", "price")).alias("r"), rnd(F.covar_samp("amount", "price")).alias("cv"), rnd(F.skewness("amount")).alias("skew"), rnd(F.kurtosis("amount") + 3).alias("kurt")).join(
+                                              rounded(I.exact_quantiles(t.trades, "amount", (0.5, 0.9), ["symbol"], ("med", "q90")), "med", "q90"), "symbol")
 
 
 @query("agg3_distinct", "SELECT side, count(DISTINCT symbol) AS symbols, count(DISTINCT price) AS prices FROM v_trades GROUP BY side")
