@@ -27,7 +27,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
-    catalog.QUERIES["src1_load_symbol"](spark, root).count()  # start the JVM and the Python workers
+    catalog.QUERIES["st2_ols_hedge"](spark, root).count()  # start the JVM and the Python workers
     times: dict[str, float] = {}
     for name in sys.argv[1:] or HEADLINE:
         forget_tables()

@@ -100,7 +100,7 @@ def flow_events(book: DataFrame, width_us: int = HOUR_US) -> DataFrame:
 
 
 def walk(notional: Column, side_levels: Column, leftover: bool) -> Column:
-    """Fold a notional over level structs: ``(remaining, spent, base, used, last_px)``.
+    """Fold a notional over level structs: ``(filled, levels_used, vwap)``.
 
     ``leftover=True`` fills what the book cannot at the last valid level.
     """
@@ -118,16 +118,17 @@ def walk(notional: Column, side_levels: Column, leftover: bool) -> Column:
 
     def finish(s):
         extra = F.when(s["rem"] > 1e-9, s["rem"]).otherwise(0.0) if leftover else F.lit(0.0)
-        return F.struct((s["usd"] + extra).alias("filled"),
-                        (s["base"] + F.coalesce(extra / s["last"], F.lit(0.0))).alias("base"), s["used"].alias("levels_used"))
+        base = s["base"] + F.coalesce(extra / s["last"], F.lit(0.0))
+        return F.struct((s["usd"] + extra).alias("filled"), s["used"].alias("levels_used"),
+                        ((s["usd"] + extra) / F.nullif(base, F.lit(0.0))).alias("vwap"))
 
     return F.aggregate(side_levels, zero, step, finish)
 
 
 def walk_vwap(notional: Column, side: Column, n: int = 10, leftover: bool = True) -> Column:
     """VWAP of a marketable order; null when nothing can be filled."""
-    f = lambda s: (lambda r: r["filled"] / F.nullif(r["base"], F.lit(0.0)))(walk(notional, levels(s, n), leftover))
-    return F.when(side == "buy", f("ask")).otherwise(f("bid"))
+    lv = F.when(side == "buy", levels("ask", n)).otherwise(levels("bid", n))
+    return walk(notional, lv, leftover)["vwap"]
 
 
 def slippage_bps(notional: Column, side: Column, n: int = 10) -> Column:
@@ -140,8 +141,7 @@ def fill_columns(df: DataFrame, notional: Column, side: Column, n: int = 10) ->
     """Partial-fill walk: ``vwap``, ``filled``, ``levels_used``."""
     lv = F.when(side == "buy", levels("ask", n)).otherwise(levels("bid", n))
     return (df.withColumn("_w", walk(notional, lv, False))
-            .withColumns({"vwap": c("_w.filled") / F.nullif(c("_w.base"), F.lit(0.0)),
-                          "filled": c("_w.filled"), "levels_used": c("_w.levels_used")}).drop("_w"))
+            .withColumns({k: c(f"_w.{k}") for k in ("vwap", "filled", "levels_used")}).drop("_w"))
 
 
 def book_columns(n: int = 10) -> list[str]:

@@ -5,7 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..core.ordered import DAY_US, SECOND_US, asof_backward, int_div
+from ..core.ordered import DAY_US, SECOND_US, int_div
+from ..core.session import checkpointed
 from . import book as K
 from .inference import hash_unit, safe_corr
 
@@ -58,6 +59,7 @@ def passive_outcome(orders: DataFrame, trades: DataFrame, book: DataFrame, horiz
     w = Window.partitionBy("order_id").orderBy("_tu", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
     fills = (hits.withColumn("_cum", F.sum("_ta").over(w)).where(c("_cum") >= c("_need"))
              .groupBy("order_id").agg(F.min("_tu").alias("fill_us")))
+    fills = checkpointed(fills)   # one row per filled order, read by both branches below
     d = o.join(fills, "order_id", "left").drop("_b0")
     late = d.where("fill_us IS NULL").withColumn("ts", F.timestamp_micros(c("t0") + horizon_us))
     late = K.book_at(late.select("symbol", "ts", "order_id", "side", "notional"), book, K.book_columns(), "order_id", width_us)

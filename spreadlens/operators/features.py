@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.ordered import YEAR_US, block_window, core_rows, halo_blocks, row_index
+from ..core.session import checkpointed
 
 c = F.col
 
@@ -109,11 +110,13 @@ def pair_features(legs: DataFrame, cfg: FeatureConfig, market: DataFrame | None
 
 
 def finish_features(features: DataFrame, min_rows: int, columns: list[str] | None = None) -> DataFrame:
-    """Infinite values become null, incomplete rows go, pairs with too few rows go."""
+    """Infinite values become null, incomplete rows go, pairs with too few rows go.  Runs a job: the
+    feature rows are written once before they are counted."""
     need = [*(columns or FEATURES), "target_change", "target_reversion"]
     dbl = [f.name for f in features.schema.fields if f.dataType.simpleString() == "double" and f.name in need]
     d = features.withColumns({f: F.when(F.abs(f) != float("inf"), F.nanvl(c(f), F.lit(None).cast("double"))) for f in dbl})
-    d = d.dropna(subset=need)
+    # the row count per pair and the rows themselves come from one evaluation
+    d = checkpointed(d.dropna(subset=need))
     keep = d.groupBy("pair").agg(F.count(F.lit(1)).alias("_n")).where(c("_n") >= min_rows).select("pair")
     return d.join(keep, "pair", "left_semi")
 

@@ -75,11 +75,11 @@ def _(t):
 @query("inr25_hidden_regressions")
 def _(t):
     d = hidden_panel(t).where(c("contig")).dropna(subset=["rv", "rv_next", "ret_next", "trade_count", "rel_spread"])
-    d = I.winsorise(d, ["rv", "rv_next"], upper=0.999)
+    d = t.store("hidden_winsorised", lambda d=d: I.winsorise(d, ["rv", "rv_next"], upper=0.999))
     d = I.standardise(d, ["hidden_fraction", "iceberg_rate", "signed_hidden", "rv", "trade_count", "ofi_norm", "ret", "rv_next", "ret_next"], ["symbol"])
     from ..core.ordered import row_index
     from ..operators.panel import index_ts
-    d = row_index(d.withColumn("ts", index_ts("hour", HOUR_US)), [], ["ts", "symbol"], "i")
+    d = t.store("hidden_regressors", lambda d=d: row_index(d.withColumn("ts", index_ts("hour", HOUR_US)), [], ["ts", "symbol"], "i"))
     runs = {"vol_base": ("rv_next_z", ["rv_z", "trade_count_z"]), "vol_full": ("rv_next_z", ["rv_z", "trade_count_z", "hidden_fraction_z", "iceberg_rate_z"]),
             "ret_now": ("ret_z", ["signed_hidden_z", "ofi_norm_z"]), "ret_next": ("ret_next_z", ["signed_hidden_z", "ofi_norm_z"])}
     out = None
@@ -275,7 +275,7 @@ def _(t):
     d = dense(t).select("symbol", "day", "i", "fwd1", "fwd10").join(last.select("symbol", "day", "i", "_s.*"), ["symbol", "day", "i"])
     from ..core.ordered import row_index
     from ..operators.panel import index_ts
-    d = row_index(d.withColumn("ts", index_ts("i", MINUTE_US)), ["symbol"], ["ts"], "k")
+    d = t.store("deep_book_rows", lambda d=d: row_index(d.withColumn("ts", index_ts("i", MINUTE_US)), ["symbol"], ["ts"], "k"))
     out = None
     for name, xs in (("top", ["top"]), ("joint", ["tilt", "deep_only", "slope", "top"])):
         r = I.ols_hac(d, ["symbol"], "fwd10", xs, 10, idx="k").withColumn("model", F.lit(name))
@@ -415,9 +415,9 @@ p AS (SELECT *, CASE WHEN posted THEN cost_passive ELSE cost_agg END AS cost_tim
 
 def study(t):
     def build():
-        o = E.immediate_cost(E.parent_orders(t.book, 2 * H1, (1e3, 2e4), 7), t.book)
-        d = E.passive_outcome(o, t.trades, t.book, H1)
-        return E.policies(E.window_signals(d, K.flow_events(t.book), H1))
+        o = t.store("orders_priced", lambda: E.immediate_cost(E.parent_orders(t.book, 2 * H1, (1e3, 2e4), 7), t.book))
+        o = t.store("orders_signalled", lambda o=o: E.window_signals(o, K.flow_events(t.book), H1))
+        return E.policies(E.passive_outcome(o, t.trades, t.book, H1))
     return t.store("order_study", build)
 
 

@@ -131,7 +131,7 @@ def _(t):
     d = d.withColumns({"rx": I.average_rank("x", ["pair"]), "ry": I.average_rank("y", ["pair"])})
     d = I.standardise(d, ["rx", "ry"], ["pair"]).withColumn("prod", c("rx_z") * c("ry_z"))
     from ..core.ordered import YEAR_US, row_index
-    d = row_index(d.select("pair", "ts", "prod"), ["pair"], ["ts"], "k", YEAR_US)
+    d = t.store("rank_products", lambda d=d: row_index(d.select("pair", "ts", "prod"), ["pair"], ["ts"], "k", YEAR_US))
     out = None
     for lag in (6, 12, 24):
         v = I.hac_variance(d, ["pair"], "prod", lag, "k")

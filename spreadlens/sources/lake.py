@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ..core.session import scratch_folder  # noqa: F401
 from ..operators.panel import keep_last
 
 OHLCV = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("ts", T.TimestampType()),
@@ -35,16 +34,6 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder all executors can reach: below the cluster's checkpoint folder, or /tmp locally."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = os.path.join(os.environ.get("TMPDIR", "/tmp"), "spark-spreadlens")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def load_symbol(store: DataFrame, symbol: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One symbol's rows with a column projection; on a partitioned store only its folder is read."""
     d = store.where(F.col("symbol") == symbol)
