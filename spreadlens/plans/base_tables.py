@@ -9,7 +9,7 @@ from ..sources.adapters import Tables
 
 
 def daily_panel(t: Tables) -> DataFrame:
-    return t.store("panel", lambda: N.close_panel(t.daily, DAY_US, min_coverage=0.5))
+    return t.store("panel", lambda: N.close_panel(t.daily, DAY_US, min_coverage=0.1))
 
 
 def selected_pairs(t: Tables, top_n: int = 10) -> DataFrame:
