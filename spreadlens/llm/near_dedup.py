@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     live = checkpointed(banded.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("component")))
     members = checkpointed(live.select("node").distinct())
     sigs = checkpointed(heads.join(members, "node", "left_semi").select("node", "sig"))
-    sets = checkpointed(own.join(members, F.col("id") == F.col("node"), "left_semi").mapInArrow(
+    sets = checkpointed(own.join(members.hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi").mapInArrow(
         _sets(size), "node bigint, items array<bigint>").dropDuplicates(["node", "items"]))
 
     pivots = live.groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("p")).select("bucket", "p.*")

@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, near_dedup
-from .common import documents
+from . import decontaminate, exact_dedup, near_dedup, repeats, secrets, sentencepiece_codec, sharding, warc
+from .common import documents, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,13 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are, on the driver and on every executor alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 SQL_WORDS = """d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
        'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents)"""
 
@@ -50,3 +57,93 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 def op9(spark: SparkSession, root: str) -> DataFrame:
     """Exact copies: identical texts but for white space."""
     return exact_dedup.exact_groups(documents(spark, root)).withColumnRenamed("id", "doc_id")
+
+
+def _sql_matches(kind: int, pattern: str, group: int, least: int) -> str:
+    """Matches of one pattern with their places: lengths between and of them, added up."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {kind} AS kind, pos AS start, pos + len(m) AS end_, m FROM (
+  SELECT doc_id, unnest(m) AS m, unnest(v) AS v, unnest(list_transform(generate_series(1, len(m)), lambda i:
+    coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0))) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v, regexp_split_to_array(t, '{p}') AS g FROM d))
+  WHERE len(v) >= {least}"""
+
+
+def _sql_secrets() -> str:
+    names = [k[0] for k in secrets.BASE_KINDS] + [c.kind for c in secrets.CLASSES]
+    base = " UNION ALL ".join(f"({_sql_matches(k, *rest)})" for k, (_, *rest) in enumerate(secrets.BASE_KINDS))
+    allow = "|".join(f"(?:{p})" for p in secrets.ALLOW)
+    added = " UNION ALL ".join(f"""(SELECT doc_id, kind, start + min(i) AS start, start + max(i) + {c.width} AS end_ FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, start ORDER BY i) AS k FROM (
+   SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, start ORDER BY i) + {c.width} THEN 0 ELSE 1 END AS fresh FROM (
+    SELECT doc_id, kind, start, m, unnest(generate_series(0, len(m) - {c.width})) AS i FROM ({_sql_matches(len(secrets.BASE_KINDS) + n, f"{c.pattern}{{{c.least},}}", 0, c.least)})
+    WHERE NOT regexp_matches(m, '{allow}'))
+   WHERE list_aggregate(string_split(substr(m, i::BIGINT + 1, {c.width}), ''), 'entropy') >= {c.bits} - 1e-9))
+  GROUP BY doc_id, kind, start, k)""" for n, c in enumerate(secrets.CLASSES))
+    name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names)) + " END"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), base AS (SELECT doc_id, kind, start, end_ FROM ({base})),
+ every AS (SELECT * FROM base UNION ALL SELECT * FROM ({added}) a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b.end_ >= a.end_)),
+ named AS (SELECT *, {name} || ':' || start::BIGINT || ':' || end_::BIGINT AS s FROM every)
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind > 2) AS n_entropy,
+ sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind <= 2), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN named n USING (doc_id) GROUP BY d.doc_id"""
+
+
+@query("op1_secret_scan", _sql_secrets())
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    """Secrets in every document: the fixed kinds, and spans of high entropy."""
+    found = secrets.find_secrets(documents(spark, root))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(F.col("id").alias("doc_id"), of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.size("added").cast("bigint").alias("n_entropy"),
+                        F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+@query("op2_sentencepiece_codec")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of the 32k piece model for every document, and the text that they decode to."""
+    return sentencepiece_codec.encode_and_decode(documents(spark, root), tokenizer_file("piece_bpe_32k.model"), keep=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op4_suffix_repeats", """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ p AS (SELECT doc_id, unnest(generate_series(0, len(h) // 2 - 50)) AS i, h FROM t WHERE len(h) >= 100),
+ w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS g FROM p),
+ f AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+ r AS (SELECT w.doc_id, w.i FROM w JOIN f USING (g) WHERE f.low < w.doc_id),
+ s AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN 1 ELSE 0 END AS fresh FROM r),
+ q AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s),
+ u AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM q GROUP BY doc_id, k),
+ v AS (SELECT u.doc_id, u.k, u.a, u.b, coalesce(lag(u.b) OVER o, 0) AS since, lead(u.a) OVER o IS NULL AS final FROM u WINDOW o AS (PARTITION BY u.doc_id ORDER BY u.k)),
+ x AS (SELECT v.doc_id, count(*) AS n_spans, sum(v.b - v.a) AS n_removed,
+   string_agg(substr(t.h, (2 * v.since + 1)::BIGINT, (2 * (v.a - v.since))::BIGINT) || CASE WHEN v.final THEN substr(t.h, (2 * v.b + 1)::BIGINT) ELSE '' END, '' ORDER BY v.k) AS kept
+   FROM v JOIN t USING (doc_id) GROUP BY v.doc_id)
+SELECT t.doc_id, len(t.h) // 2 AS n_bytes, coalesce(x.n_removed, 0)::BIGINT AS n_removed, coalesce(x.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(x.kept, t.h))) AS kept_sha256 FROM t LEFT JOIN x USING (doc_id)""")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without the 50-byte strings that stand in a document of a smaller id."""
+    return repeats.remove_repeats(documents(spark, root), keep_text=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return warc.round_trip(documents(spark, root, "pages"))
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    """All documents in 24 shards whose row counts differ by one at most."""
+    docs = documents(spark, root).select("doc_id", (F.octet_length(whole_text()) + 8).cast("bigint").alias("size"), F.crc32(whole_text()).alias("text_crc32"))
+    return sharding.shard_rows(docs, 24).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query("op6_decontamination", """WITH i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
+ d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ x AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM i),
+ y AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k:k + 4], ' '))) AS g FROM d),
+ n AS (SELECT item_id, count(*) AS n_item FROM x GROUP BY item_id),
+ f AS (SELECT doc_id, item_id, count(*) AS n_found FROM x JOIN y USING (g) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_item, n_found FROM f JOIN n USING (item_id) WHERE n_found * 100 >= n_item * 80""")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold a benchmark item: 80 % of its 5-word shingles or more."""
+    found = decontaminate.contained_items(documents(spark, root), documents(spark, root, "benchmark"))
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
