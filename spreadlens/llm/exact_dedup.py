@@ -94,7 +94,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     suspects = rows.filter("suspect")
     ids = suspects.select(F.col("id").alias("sid")).distinct()
-    same = (own.join(ids, F.col("id").eqNullSafe(F.col("sid")), "left_semi")
+    same = (own.join(ids.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("sid")), "left_semi")
             .groupBy(F.translate(whole_text(), WHITE, "").alias("bytes")).agg(F.count("*").alias("group_size"))
             .select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size").filter("group_size > 1"))
     keepers = suspects.groupBy("sha").agg(F.min(F.struct(-F.col("chars"), F.col("id").isNull().alias("no_id"), "id", "place")).alias("k"))
