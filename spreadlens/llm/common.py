@@ -3,7 +3,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..core.session import checkpointed  # noqa: F401  (a table in the shared folder; see there)
+from ..core.session import scratch_folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder, which survives lost executors; ``discard`` deletes it."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete checkpointed tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, root: str, name: str = "documents") -> DataFrame:

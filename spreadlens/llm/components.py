@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,9 +25,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of integer nodes -> (node, component), the component being its smallest node."""
-    seen = None
+    seen = last = None
     while True:
         edges = checkpointed(_small_star(_large_star(edges)))
+        if last is not None:
+            discard(last)
+        last = edges
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

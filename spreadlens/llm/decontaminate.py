@@ -82,4 +82,4 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: i
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
     gone = contained_items(docs, items, size, percent, id_col, text_col).select(F.col("doc").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

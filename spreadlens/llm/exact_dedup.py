@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window as W
 
 from . import golomb
 from .common import checkpointed, shares, whole_text
@@ -107,9 +107,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.translate(whole_text(text_col), WHITE, ""), 256)
-    once = docs.withColumn("_sha_own", sha)
-    out = once.join(kept, F.col("_sha_own").eqNullSafe(F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates([id_col, "_sha_own"]).select(docs.columns)
+    """The rows that stay, with all their columns. Of rows that repeat an id and a text one stays."""
+    gone = checkpointed(exact_groups(docs, id_col, text_col).filter("not kept").select(
+        F.col("id").alias("_id"), F.unhex("text_sha256").alias("_sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("again")))
+    sha = F.unhex(F.sha2(F.translate(whole_text(text_col), WHITE, ""), 256))
+    is_row = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    moved = gone.filter("not again").distinct().hint("shuffle_hash")
+    left = docs.join(moved, is_row, "left_anti")
+    again = gone.filter("again").select("_id", "_sha").distinct()
+    if again.isEmpty():
+        return left
+    # identical rows apart: an id whose own text differs in white space alone keeps its longest text
+    twice = left.join(again.hint("shuffle_hash"), is_row, "left_semi")
+    longest = W.partitionBy(id_col, sha).orderBy(F.length(text_col).desc_nulls_last(), text_col)
+    once = twice.withColumn("_nth", F.row_number().over(longest)).filter("_nth = 1").drop("_nth")
+    return left.join(again.hint("shuffle_hash"), is_row, "left_anti").unionByName(once)

@@ -138,4 +138,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with all its columns."""
     gone = near_duplicates(docs, size, percent, id_col, text_col).filter("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")

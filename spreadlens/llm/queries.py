@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, repeats, secrets, sentencepiece_codec, sharding, warc
+from . import decontaminate, exact_dedup, language_model, near_dedup, quality, repeats, secrets, sentencepiece_codec, sharding, warc
 from .common import documents, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,15 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     """Documents that hold a benchmark item: 80 % of its 5-word shingles or more."""
     found = decontaminate.contained_items(documents(spark, root), documents(spark, root, "benchmark"))
     return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+@query("op5_language_model")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    """Log10 probabilities of every document by counts and by the log-bilinear model."""
+    return language_model.score_documents(documents(spark, root)).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    """Quality of every document: weak labels, their posterior, the scorer's score and the decision."""
+    return quality.score_quality(documents(spark, root)).withColumnRenamed("id", "doc_id")
