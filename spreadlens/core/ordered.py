@@ -35,21 +35,6 @@ def chunk_of(ts: str | Column, width_us: int) -> Column:
     return int_div(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts), width_us)
 
 
-def max_rows_per_chunk(df: DataFrame, keys: Sequence[str], ts: str, width_us: int) -> int:
-    """Largest chunk a width would give; one small job used to pick a width for hot keys."""
-    n = df.groupBy(*keys, chunk_of(ts, width_us).alias("_chunk")).count()
-    return n.agg(F.max("count")).first()[0] or 0
-
-
-def fit_chunk_width(df: DataFrame, keys: Sequence[str], ts: str = "ts", limit: int = 5_000_000,
-                    ladder: Sequence[int] = (DAY_US, HOUR_US, 10 * MINUTE_US, MINUTE_US, SECOND_US)) -> int:
-    """Widest chunk of the ladder whose fullest ``(keys, chunk)`` holds at most ``limit`` rows."""
-    for width in ladder:
-        if max_rows_per_chunk(df, keys, ts, width) <= limit:
-            return width
-    return ladder[-1]
-
-
 def _order(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc() for c in cols]
 

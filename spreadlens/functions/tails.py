@@ -60,7 +60,3 @@ def chi2_sf(x: float, df: int) -> float:
         if abs(d * c - 1) < 1e-15:
             break
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
-
-
-def solve_sym(g: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(g, v, rcond=None)[0]

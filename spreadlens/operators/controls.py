@@ -2,6 +2,7 @@
 task gives the same rows."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -45,7 +46,7 @@ def phase_randomised(series: DataFrame, keys: Sequence[str], value: str, seed: i
         pdf = pdf.sort_values(idx)
         x = pdf[value].to_numpy(dtype=float)
         label = "|".join(str(pdf[k].iloc[0]) for k in keys) + f"|{seed}"
-        rng = np.random.default_rng(int.from_bytes(label.encode(), "little") % (2 ** 63))
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(label.encode()).digest()[:8], "little"))
         f = np.fft.rfft(x - x.mean())
         ph = np.exp(2j * np.pi * rng.random(len(f)))
         ph[0] = 1.0

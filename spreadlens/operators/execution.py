@@ -15,12 +15,12 @@ c = F.col
 
 def parent_orders(book: DataFrame, cadence_us: int, notionals: Sequence[float], seed: int, warmup_us: int = 60 * SECOND_US,
                   tail_us: int = 70 * SECOND_US) -> DataFrame:
-    """A fixed-cadence grid per symbol-day between its first and last snapshot; side by keyed hash."""
+    """A fixed-cadence grid per symbol-day between its first and last snapshot; the side of each order by a digest of symbol, time and seed."""
     d = book.groupBy("symbol", F.to_date("ts").alias("day")).agg(
         (F.unix_micros(F.min("ts")) + warmup_us).alias("_a"), (F.unix_micros(F.max("ts")) - tail_us).alias("_b")).where(c("_b") >= c("_a"))
     d = d.withColumn("t0", F.explode(F.sequence("_a", "_b", F.lit(cadence_us)))).drop("_a", "_b")
-    u = F.pmod(int_div(c("t0"), SECOND_US) * 7919 + F.lit(seed), F.lit(2))
-    d = d.withColumns({"side": F.when(u == 0, "buy").otherwise("sell"), "ts": F.timestamp_micros("t0")})
+    digit = F.substring(F.md5(F.concat_ws("|", c("symbol"), c("t0").cast("string"), F.lit(str(seed)))), 1, 1)
+    d = d.withColumns({"side": F.when(digit < "8", "buy").otherwise("sell"), "ts": F.timestamp_micros("t0")})
     return (d.withColumn("notional", F.explode(F.array(*[F.lit(float(x)) for x in notionals])))
             .withColumn("order_id", F.xxhash64("symbol", "t0", "notional")))
 
@@ -116,6 +116,6 @@ def random_policy(d: DataFrame, reps: int, seed: int, keys: Sequence[str] = ())
     rate = d.groupBy(*keys).agg(F.avg(c("posted").cast("double")).alias("_p"))
     e = d.join(rate, list(keys)) if keys else d.join(F.broadcast(rate))
     e = e.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    e = e.withColumn("_c", F.when(hash_unit("order_id", "rep", F.lit(seed)) < c("_p"), c("cost_passive")).otherwise(c("cost_agg")))
+    e = e.withColumn("_c", F.when(hash_unit("symbol", "t0", c("notional").cast("bigint"), "rep", F.lit(seed)) < c("_p"), c("cost_passive")).otherwise(c("cost_agg")))
     r = e.groupBy(*keys, "rep").agg(F.avg("_c").alias("m"))
     return r.groupBy(*keys).agg(F.avg("m").alias("placebo_mean"), F.stddev_pop("m").alias("placebo_sd"))

@@ -221,11 +221,6 @@ def chronological_split(samples_: DataFrame, test_days: int) -> DataFrame:
             .drop("_end"))
 
 
-def latest_rows(samples_: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """Cap a set to its latest rows: a distributed top-k."""
-    return samples_.orderBy(*[c(x).desc() for x in order]).limit(n)
-
-
 def impute_and_scale(train: DataFrame, rows: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     """Median-impute and standardise with train-only statistics (one aggregate row per key)."""
     keys = list(keys or [])

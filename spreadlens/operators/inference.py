@@ -80,22 +80,18 @@ def hac_sharpe(df: DataFrame, keys: Sequence[str], value: str, lag: int, per_yea
                           "inflation": F.sqrt("hac_var") / c("sd")})
 
 
-def rule_lag(n: int) -> int:
-    return max(1, int(math.floor(4 * (n / 100.0) ** (2 / 9))))
-
-
-def sharpe_with_se(df: DataFrame, keys: Sequence[str], value: str, per_year: float, idx: str = "i",
-                   max_lag: int = 64) -> DataFrame:
+def sharpe_with_se(df: DataFrame, keys: Sequence[str], value: str, per_year: float, idx: str = "i") -> DataFrame:
     """Annualised Sharpe with a HAC standard error; the lag follows from each key's length.
 
-    Keys are split by their lag (a handful of values on a count table), all in one plan: the moving
-    sum frame is ``max_lag`` wide and masks lags past the key's own.
+    The longest lag of all keys is taken from the count table first; products are formed up to it and
+    mask lags past the key's own.
     """
     keys = list(keys)
     m = (df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
                                F.var_pop(value).alias("g0"))
          .where((c("n") >= 30) & (c("g0") > 0))
          .withColumn("lag", F.greatest(F.lit(1), F.floor(4 * F.pow(c("n") / 100.0, F.lit(2 / 9)))).cast("int")))
+    max_lag = m.agg(F.max("lag")).first()[0] or 1
     d = df.join(m.select(*keys, "mean", "lag"), keys).withColumn("_x", c(value) - c("mean"))
     h = halo_blocks(d, idx, back=max_lag)
     w = block_window(keys, idx)
@@ -245,9 +241,10 @@ def two_regressor_r2(y: str, a: str, b: str) -> tuple[Column, Column, Column]:
 # ---- bootstraps by replication -----------------------------------------------------------------------
 
 def hash_unit(*parts: Column | str) -> Column:
-    """Uniform number in [0, 1) from keys only: the same on every cluster layout and after a retry."""
-    h = F.xxhash64(*[c(p) if isinstance(p, str) else p for p in parts])
-    return F.pmod(h, F.lit(1 << 40)).cast("double") / float(1 << 40)
+    """Uniform number in [0, 1) from keys only: the same on every cluster layout, after a retry and in any engine
+    (the first 40 bits of the digest of the parts joined by bars)."""
+    h = F.md5(F.concat_ws("|", *[(c(p) if isinstance(p, str) else p).cast("string") for p in parts]))
+    return F.conv(F.substring(h, 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
 def hash_normal(*parts: Column | str) -> Column:
@@ -323,11 +320,11 @@ def sign_test_p(k: Column, n: Column) -> Column:
     """Exact two-sided sign test from a win count, by a fold over binomial terms in logs."""
     lo = F.when(2 * k >= n, k).otherwise(F.lit(0).cast("long"))
     hi = F.when(2 * k >= n, n).otherwise(k)
-    # C(n, i) / 2^n by the product recurrence from i = 0
-    first = F.exp(-n * math.log(2.0))
-    zero = F.struct(first.alias("p"), F.lit(0.0).alias("tot"))
+    # log of C(n, i) / 2^n by recurrence from i = 0; the last step's log of zero is not used
+    zero = F.struct((-n * math.log(2.0)).alias("lp"), F.lit(0.0).alias("tot"))
     fold = F.aggregate(F.sequence(F.lit(0).cast("long"), n), zero, lambda a, i: F.struct(
-        (a["p"] * (n - i) / (i + 1)).alias("p"), (a["tot"] + F.when(i.between(lo, hi), a["p"]).otherwise(0.0)).alias("tot")))
+        (a["lp"] + F.log(F.greatest(n - i, F.lit(1)).cast("double") / (i + 1))).alias("lp"),
+        (a["tot"] + F.when(i.between(lo, hi), F.exp(a["lp"])).otherwise(0.0)).alias("tot")))
     return F.least(F.lit(1.0), 2.0 * fold["tot"])
 
 

@@ -81,9 +81,9 @@ def trading_scores(pred: DataFrame, keys: Sequence[str] = ("model",)) -> DataFra
     return g.join(dd, keys)
 
 
-def walk_forward(samples: DataFrame, windows: DataFrame, features: Sequence[str], assign, max_splits: int | None = None) -> DataFrame:
-    """Train and score window by window: a loop over a few calendar windows, each fit distributed."""
-    rows = windows.select("split_id").orderBy("split_id").limit(max_splits or 10_000).toLocalIterator()
+def walk_forward(samples: DataFrame, windows: DataFrame, features: Sequence[str], assign) -> DataFrame:
+    """Train and score every window: a loop over the calendar windows, each fit distributed."""
+    rows = windows.select("split_id").orderBy("split_id").toLocalIterator()
     tagged = assign(samples)
     out = None
     for r in rows:
@@ -110,11 +110,3 @@ def regimes(train: DataFrame, rows: DataFrame, features: Sequence[str], vol: str
 def mask_regime(pred: DataFrame) -> DataFrame:
     """Rows outside the mean-reverting state become class 1."""
     return pred.withColumn("pred_class", F.when(c("mean_reverting_state"), c("pred_class")).otherwise(1))
-
-
-def sticky(states: DataFrame, keys: Sequence[str], span: int, idx: str = "i") -> DataFrame:
-    """Smooth a state by the majority of the last ``span`` bars."""
-    from ..core.ordered import block_window, core_rows, halo_blocks
-    h = halo_blocks(states, idx, back=span)
-    w = block_window(list(keys), idx).rowsBetween(-(span - 1), 0)
-    return core_rows(h.withColumn("mean_reverting_state", F.avg(c("mean_reverting_state").cast("double")).over(w) >= 0.5))

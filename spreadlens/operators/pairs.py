@@ -142,10 +142,10 @@ def ou_kappa(phi: Column) -> Column:
     return F.when(phi >= 1, 0.0).when(phi <= 0, 5.0).otherwise(-F.log(phi))
 
 
-def score_candidates(moments: DataFrame, min_corr: float = 0.2, max_pairs: int = 200) -> DataFrame:
-    """Correlation gate first, best ``max_pairs`` by rank, then the regression columns."""
-    return (pair_fit(moments).where(F.col("corr") >= min_corr)
-            .orderBy(F.col("corr").desc(), "pair").limit(max_pairs))
+def score_candidates(moments: DataFrame, min_corr: float = 0.2, max_pairs: int | None = None) -> DataFrame:
+    """Pairs that pass the correlation gate with their regression columns; the best ``max_pairs`` where ranking is asked for."""
+    d = pair_fit(moments).where(F.col("corr") >= min_corr)
+    return d if max_pairs is None else d.orderBy(F.col("corr").desc(), "pair").limit(max_pairs)
 
 
 def rank_by_correlation(panel: DataFrame, top_n: int = 20, min_corr: float = 0.2, idx: str = "i") -> DataFrame:

@@ -106,13 +106,6 @@ def close_panel(bars: DataFrame, step_us: int, start=None, end=None, min_coverag
     return g.select("symbol", "ts", "i", "close", F.log("close").alias("lp"), "volume_usdt")
 
 
-def keep_one(df: DataFrame, keys: Sequence[str], by: Sequence[Column]) -> DataFrame:
-    """One row per key, the first in ``by`` order; an aggregate, so duplicates combine map-side
-    when ``by`` is a single ascending/descending struct, else a small per-key window."""
-    w = Window.partitionBy(*keys).orderBy(*by)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_s"))
@@ -180,12 +173,6 @@ def top_by_daily_notional(trades: DataFrame, start, end, top_n: int) -> DataFram
         .orderBy(F.col("mean_daily_notional").desc(), "symbol").limit(top_n))
 
 
-def walk_windows(spark, start, end, train_days: int, test_days: int, step_days: int) -> DataFrame:
-    """Windows table: as many rows as fit; a fixed calendar, not data."""
-    s, e = F.to_timestamp(F.lit(start)), F.to_timestamp(F.lit(end))
-    return windows_over(spark.range(1).select(s.alias("lo"), e.alias("hi")), train_days, test_days, step_days)
-
-
 def windows_over(bounds: DataFrame, train_days: int, test_days: int, step_days: int) -> DataFrame:
     """Windows table from a one-row frame with ``lo`` and ``hi`` (floored / ceiled to days)."""
     lo = int_div(F.unix_micros("lo"), DAY_US)

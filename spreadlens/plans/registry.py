@@ -53,3 +53,8 @@ def rnd_sql(expr: str, digits: int = 6) -> str:
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: rnd(c, digits) for c in cols})
+
+
+def unit_sql(text: str) -> str:
+    """The oracle's form of the hashed uniform number; ``text`` joins the parts by bars."""
+    return f"(CAST('0x' || substr(md5({text}), 1, 10) AS BIGINT) / 1099511627776e0)"

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..core.ordered import DAY_US, HOUR_US, MINUTE_US
 from ..operators import bars as B, book as K, execution as E, inference as I, info as N, tape as Q
 from ..operators.panel import bar_index
-from .registry import query, rnd, rnd_sql as R, rounded
+from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t2_book_tape import PRICE_FEATS, VAR_SQL, walk_sql
 
 c = F.col
@@ -459,6 +459,7 @@ def _(t):
     return rounded(E.signal_correlations(study(t)), "ofi_vs_cost", "cancel_vs_cost", "ofi_vs_fill").select("ofi_vs_cost", "cancel_vs_cost", "ofi_vs_fill", "n")
 
 
-@query("sur7_random_policy")
+@query("sur7_random_policy", _EXB + f""", x AS (SELECT rep, avg(CASE WHEN {U("symbol || '|' || t0 || '|' || CAST(notional AS BIGINT) || '|' || rep || '|11'")} < (SELECT avg(CAST(posted AS DOUBLE)) FROM p) THEN cost_passive ELSE cost_agg END) AS m FROM p, range(1, 201) r(rep) GROUP BY rep)
+SELECT {R('avg(m)')} AS placebo_mean, {R('stddev_pop(m)')} AS placebo_sd FROM x""")
 def _(t):
-    return E.random_policy(study(t), 200, 11)
+    return rounded(E.random_policy(study(t), 200, 11), "placebo_mean", "placebo_sd")

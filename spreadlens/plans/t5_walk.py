@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..core.ordered import DAY_US
 from ..operators import backtest as T, events as V, features as X, inference as I, ml as M, pairs as P, panel as N, walk as W
 from .base_tables import daily_panel, pair_legs, spreads
-from .registry import query, rnd, rnd_sql as R, rounded
+from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t1_sources import windows
 from .t3_pairs import FCFG, SCFG, WSQL, hac_sql, preds, ready, zscored
 
@@ -307,7 +307,7 @@ def _(t):
 _WR = "WITH r AS (SELECT split_id, sum(pnl) AS x FROM v_wport GROUP BY split_id)"
 
 
-@query("inr19_sign_and_t", _WR + f", k AS (SELECT count(*) AS n, count(*) FILTER (x > 0) AS k, avg(x) AS m, stddev_samp(x) AS s FROM r) SELECT n, k, {R('m / (s / sqrt(n))')} AS t, {R('(SELECT least(1e0, 2 * sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2e0)))) FROM range(200) u(j) WHERE j <= n AND ((2 * k >= n AND j >= k) OR (2 * k < n AND j <= k)))')} AS p_sign FROM k")
+@query("inr19_sign_and_t", _WR + f", k AS (SELECT count(*) AS n, count(*) FILTER (x > 0) AS k, avg(x) AS m, stddev_samp(x) AS s FROM r) SELECT n, k, {R('m / (s / sqrt(n))')} AS t, {R('(SELECT least(1e0, 2 * sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) - n * ln(2e0)))) FROM range(1000000) u(j) WHERE j <= n AND ((2 * k >= n AND j >= k) OR (2 * k < n AND j <= k)))')} AS p_sign FROM k")
 def _(t):
     g = W.window_returns(unit(t)).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("ret") > 0).alias("k"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
     return g.select("n", "k", rnd(I.t_stat(c("m"), c("s"), c("n"))).alias("t"), rnd(I.sign_test_p(c("k"), c("n"))).alias("p_sign"))
@@ -342,9 +342,9 @@ def _(t):
 # ---- inference on the stitched series ------------------------------------------------------------------------
 
 _LAG = "greatest(1, CAST(floor(4 * pow(n / 100e0, 2 / 9e0)) AS INTEGER))"
-_G = ", ".join(f"avg(x * l{j}) AS q{j}" for j in range(1, 17))
-_L = ", ".join(f"lag(x, {j}) OVER (ORDER BY i) AS l{j}" for j in range(1, 17))
-_INF = " + ".join(f"CASE WHEN {j} <= lag THEN 2 * (1 - {j} / (lag + 1e0)) * q{j} ELSE 0 END" for j in range(1, 17))
+_G = ", ".join(f"avg(x * l{j}) AS q{j}" for j in range(1, 41))
+_L = ", ".join(f"lag(x, {j}) OVER (ORDER BY i) AS l{j}" for j in range(1, 41))
+_INF = " + ".join(f"CASE WHEN {j} <= lag THEN 2 * (1 - {j} / (lag + 1e0)) * q{j} ELSE 0 END" for j in range(1, 41))
 
 
 @query("inr4_sharpe_hac_se", f"""WITH m AS (SELECT count(*) AS n, avg(pnl) AS mu, stddev_samp(pnl) AS sd, var_pop(pnl) AS g0 FROM v_wport), x AS (SELECT i, pnl - mu AS x FROM v_wport, m), l AS (SELECT x, {_L} FROM x), g AS (SELECT {_G} FROM l),
@@ -352,7 +352,7 @@ h AS (SELECT m.*, {_LAG} AS lag, g.* FROM m, g), k AS (SELECT *, (g0 + {_INF}) /
 SELECT n, lag, {R('mu / sd * sqrt(365e0)')} AS sharpe_ann, {R('sqrt((1 + 5e-1 * (mu / sd) ** 2) * infl / n) * sqrt(365e0)')} AS se_ann, {R('infl')} AS inflation FROM k""")
 def _(t):
     d = W.stitched(unit(t)).withColumn("k", F.lit("all"))
-    return rounded(I.sharpe_with_se(d, ["k"], "pnl", 365.0, max_lag=16).drop("k"), "sharpe_ann", "se_ann", "inflation")
+    return rounded(I.sharpe_with_se(d, ["k"], "pnl", 365.0).drop("k"), "sharpe_ann", "se_ann", "inflation")
 
 
 @query("inr5_deflated_sharpe")
@@ -371,11 +371,24 @@ def _(t):
     return rounded(g, "sr", "skew", "kurt").select("split_id", "sr", "skew", "kurt", "n")
 
 
-@query("inr6_block_bootstrap")
+def _blocks_sql(kind, span, stat, point, wrap):
+    return f"""(SELECT '{kind}' AS kind, (SELECT {point} FROM v_wport) AS point, (SELECT count(*) FROM v_wport) AS n, quantile_cont(st, 25e-3) AS lo, quantile_cont(st, 975e-3) AS hi, stddev_samp(st) AS se, count(st) AS reps FROM (
+ SELECT rep, CASE WHEN '{stat}' = 'mean' THEN sum(s) / (count(*) * 20) ELSE coalesce(sum(s) / (count(*) * 20) / nullif(sqrt(greatest((sum(q) - sum(s) * sum(s) / (count(*) * 20)) / (count(*) * 20 - 1), 0e0)), 0e0) * sqrt(365e0), 0e0) END AS st
+ FROM (SELECT rep, CAST(floor({U("rep || '|' || d || '|5'")} * ({span})) AS BIGINT) AS p FROM range(1, 501) r(rep), range(1, 100000) v(d), (SELECT count(*) AS n FROM v_wport) m WHERE d <= ceil(n / 20e0)) dr
+ JOIN (SELECT p, n, sum(x) OVER w AS s, sum(x * x) OVER w AS q, count(x) OVER w AS c FROM {wrap} WINDOW w AS (ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) st USING (p) WHERE st.p < st.n AND st.c = 20 GROUP BY rep))"""
+
+
+_BB = "WITH z AS (SELECT i - min(i) OVER () AS p, pnl AS x, count(*) OVER () AS n FROM v_wport), zz AS (SELECT * FROM z UNION ALL SELECT p + n, x, n FROM z WHERE p < 19), o AS (" + _blocks_sql(
+    "circular mean", "n", "mean", "avg(pnl)", "zz") + " UNION ALL " + _blocks_sql("moving sharpe", "n - 19", "sharpe", "coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0e0) * sqrt(365e0), 0e0)", "z") + f""")
+SELECT kind, {R('point')} AS point, n, {R('lo')} AS lo, {R('hi')} AS hi, {R('se')} AS se, reps FROM o"""
+
+
+@query("inr6_block_bootstrap", _BB)
 def _(t):
     p = W.stitched(unit(t)).select("i", "pnl")
     a = I.block_bootstrap(p, "pnl", 20, 500, 5).withColumn("kind", F.lit("circular mean"))
-    return a.unionByName(I.block_bootstrap(p, "pnl", 20, 500, 5, "sharpe", per_year=365.0, circular=False).withColumn("kind", F.lit("moving sharpe")))
+    a = a.unionByName(I.block_bootstrap(p, "pnl", 20, 500, 5, "sharpe", per_year=365.0, circular=False).withColumn("kind", F.lit("moving sharpe")))
+    return rounded(a, "point", "lo", "hi", "se")
 
 
 @query("inr7_market_beta", f"""WITH m AS (SELECT i, avg(r) AS x FROM (SELECT i, lp - lag(lp) OVER (PARTITION BY symbol ORDER BY i) AS r FROM v_panel) WHERE r IS NOT NULL GROUP BY i)
@@ -388,10 +401,14 @@ def _(t):
     return rounded(rounded(rounded(d, "beta", digits=8), "alpha", digits=9), "corr")
 
 
-@query("inr8_cluster_bootstrap")
+@query("inr8_cluster_bootstrap", _EV + f""", s AS (SELECT e.pair, sum(-sign(e.z) * (e.z1 - e.z)) AS s, count(*) AS n FROM rec JOIN e ON e.pair = rec.pair AND e.i = rec.i GROUP BY e.pair),
+k AS (SELECT *, row_number() OVER (ORDER BY pair) - 1 AS k, count(*) OVER () AS m FROM s), d AS (SELECT rep, CAST(floor({U("rep || '|' || k || '|3'")} * m) AS BIGINT) AS pick FROM k, range(1, 1001) r(rep)),
+b AS (SELECT rep, sum(k.s) / sum(k.n) AS stat FROM d JOIN k ON k.k = d.pick GROUP BY rep)
+SELECT (SELECT {R('sum(s) / sum(n)')} FROM s) AS point, (SELECT count(*) FROM s) AS n_clusters, {R('quantile_cont(stat, 25e-3)')} AS lo, {R('quantile_cont(stat, 975e-3)')} AS hi, {R('stddev_samp(stat)')} AS se,
+ {R('2 * least(avg(CAST(stat <= 0 AS DOUBLE)), avg(CAST(stat >= 0 AS DOUBLE)))')} AS p FROM b""")
 def _(t):
     s = events(t).groupBy("pair").agg(F.sum("reversion").alias("s"), F.count(F.lit(1)).alias("n"))
-    return I.cluster_bootstrap(s, "pair", 1000, 3)
+    return rounded(I.cluster_bootstrap(s, "pair", 1000, 3), "point", "lo", "hi", "se", "p")
 
 
 @query("inr21_cost_saving", f"""WITH f AS (SELECT pair, sum(cost) AS c FROM v_pnl GROUP BY pair), g AS (SELECT pair, sum(abs(signal - held) * 1e4 * (1 + abs(beta)) * 55e-1 / 1e4) AS c FROM v_pnl GROUP BY pair)

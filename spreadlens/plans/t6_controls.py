@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from ..core.ordered import DAY_US, block_window, core_rows, halo_blocks
 from ..operators import backtest as T, controls as C, events as V, features as X, inference as I, ml as M, pairs as P, panel as N, screens as S, walk as W
 from .base_tables import daily_panel, pair_legs, selected_pairs, spreads
-from .registry import query, rnd, rounded
+from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t1_sources import windows
 from .t3_pairs import FCFG, ready
-from .t5_walk import events, picks, samples, tagged, unit, walk, wins
+from .t5_walk import _EV, _SEL, events, picks, samples, tagged, unit, walk, wins
 
 c = F.col
 CUT = "2000-01-01"
+HELD_FROM = "1996-01-01"
 
 
 @query("st8_adf")
@@ -77,8 +78,9 @@ def _(t):
 
 def screen(t):
     def build():
-        s = S.train_test_screen(spreads(t), CUT)
-        return s.join(selected_pairs(t).select("pair", "sym_a", "sym_b", "corr"), "pair")
+        """Every pair that passes the correlation gate."""
+        s = S.train_test_screen(spreads(t, None), CUT)
+        return s.join(selected_pairs(t, None).select("pair", "sym_a", "sym_b", "corr"), "pair")
     return t.store("screen", build)
 
 
@@ -101,11 +103,11 @@ def _(t):
 def _(t):
     """The static screen repeated per anchor: the train window ends at the anchor, the test follows."""
     w = wins(t)
-    d = spreads(t).select("pair", "ts", "i", "la", "lb").join(F.broadcast(w), (c("ts") >= c("train_start")) & (c("ts") < c("test_end")))
+    d = spreads(t, None).select("pair", "ts", "i", "la", "lb").join(F.broadcast(w), (c("ts") >= c("train_start")) & (c("ts") < c("test_end")))
     k = ["split_id", "pair"]
     f = d.where(c("ts") < c("train_end")).groupBy(*k).agg(F.regr_intercept("la", "lb").alias("_a"), F.regr_slope("la", "lb").alias("_b"))
     r = d.where(c("ts") >= c("train_end")).join(f, k).withColumn("r", c("la") - c("_a") - c("_b") * c("lb"))
-    p = S.adf(r, k, "r", lags=6)
+    p = S.adf(r, k, "r")
     lo, hi = P.wilson(c("k"), c("n"))
     return p.groupBy("split_id").agg(F.count_if(c("adf_pvalue") < 0.05).alias("k"), F.count(F.lit(1)).alias("n")).withColumns({"lo": lo, "hi": hi})
 
@@ -132,11 +134,16 @@ def increments(t):
     return core_rows(h.withColumn("d", c("spread") - F.lag("spread").over(block_window(["pair"], "i"))))
 
 
-@query("sur1_random_walk")
+_RW = "d.pair || '|1|' || d.i || '|1|"
+
+
+@query("sur1_random_walk", f"""WITH d AS (SELECT pair, i, spread - lag(spread) OVER (PARTITION BY pair ORDER BY i) AS d FROM v_spread), s AS (SELECT pair, stddev_pop(d) AS sd FROM d GROUP BY pair),
+e AS (SELECT d.pair, d.i, s.sd * sqrt(-2e0 * ln(greatest({U(_RW + "u'")}, 1e-12))) * cos(2 * pi() * {U(_RW + "v'")}) AS e FROM d JOIN s ON s.pair = d.pair)
+SELECT pair, i, {R('sum(e) OVER (PARTITION BY pair ORDER BY i)')} AS walk FROM e""")
 def _(t):
     d = increments(t)
     s = d.groupBy("pair").agg(F.stddev_pop("d").alias("sd"))
-    return C.random_walks(d.select("pair", "i").join(s, "pair"), ["pair"], c("sd"), 1, DAY_US).select("pair", "i", "walk")
+    return rounded(C.random_walks(d.select("pair", "i").join(s, "pair"), ["pair"], c("sd"), 1, DAY_US).select("pair", "i", "walk"), "walk")
 
 
 _SH = """WITH b AS (SELECT pair, i, lb, i - min(i) OVER (PARTITION BY pair) AS k, min(i) OVER (PARTITION BY pair) AS i0, count(*) OVER (PARTITION BY pair) AS n FROM v_spread),
@@ -159,20 +166,35 @@ def _(t):
     return C.cointegrated(spreads(t).select("pair", "i"), ["pair"], 1.2, 10.0, 0.02, 0.01, 9, DAY_US)
 
 
-@query("sur6_label_permutation")
+_PERM = f""", r AS (SELECT sel.*, rep FROM sel, range(1, 21) u(rep)), a AS (SELECT *, row_number() OVER (PARTITION BY split_id, rep ORDER BY pair) AS n1,
+ row_number() OVER (PARTITION BY split_id, rep ORDER BY {U("pair || '|' || split_id || '|' || rep || '|4'")}, pair) AS n2 FROM r),
+p AS (SELECT a.split_id, a.rep, a.pair, a.tr, b.oos_speed FROM a JOIN a b ON b.split_id = a.split_id AND b.rep = a.rep AND b.n2 = a.n1),
+k AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY split_id, rep ORDER BY tr, pair) AS rt, row_number() OVER (PARTITION BY split_id, rep ORDER BY tr DESC, pair) AS rb FROM p WINDOW w AS (PARTITION BY split_id, rep)),
+q AS (SELECT split_id, rep, avg(oos_speed) FILTER (rt <= greatest(1, n // 5)) - avg(oos_speed) FILTER (rb <= greatest(1, n // 5)) AS spread FROM k WHERE n >= 10 GROUP BY split_id, rep)
+SELECT {R('avg(spread)')} AS mean, {R('stddev_pop(spread)')} AS sd, count(*) AS n FROM q"""
+
+
+@query("sur6_label_permutation", _SEL + _PERM)
 def _(t):
     from .t5_walk import selectability
     d = C.permute_labels(selectability(t), ["split_id"], "oos_speed", 4, reps=20)
     q = V.quintile_spread(d.withColumn("k", c("split_id") * 1000 + c("rep")), "tr", "oos_speed", True, split="k")
-    return q.agg(F.avg("spread").alias("mean"), F.stddev_pop("spread").alias("sd"), F.count(F.lit(1)).alias("n"))
+    return rounded(q.agg(F.avg("spread").alias("mean"), F.stddev_pop("spread").alias("sd"), F.count(F.lit(1)).alias("n")), "mean", "sd")
 
 
-@query("sur8_break_injection")
+_BRK = "split_id || '|' || pair || '|2|"
+
+
+@query("sur8_break_injection", f"""WITH s AS (SELECT split_id, pair, min(i) AS i0, count(*) AS n FROM v_walk GROUP BY ALL),
+h AS (SELECT *, floor(n * 1e-1) + floor({U(_BRK + "t'")} * (floor(n * 7e-1) - floor(n * 1e-1) + 1)) AS tb, {U(_BRK + "p'")} < 5e-1 AND n >= 40 AS hit FROM s),
+d AS (SELECT w.split_id, w.pair, w.spread, w.i - h.i0 AS k, tb, hit, greatest(2, floor((n - tb) * 3e-1)) AS len FROM v_walk w JOIN h ON h.split_id = w.split_id AND h.pair = w.pair),
+a AS (SELECT split_id, pair, CASE WHEN hit AND k >= tb AND max(CASE WHEN k = tb THEN 1 END) OVER (PARTITION BY split_id, pair) = 1 THEN least(1e0, (k - tb) / (len - 1)) * 3e-1 ELSE 0e0 END AS x FROM d)
+SELECT split_id, pair, {R('max(x)')} AS shift, count(*) AS bars FROM a GROUP BY ALL""")
 def _(t):
     d = walk(t).withColumn("mu", F.lit(0.0))
     b = C.inject_breaks(d, W.KEYS, 0.3, 0.5, 2)
-    return b.join(d.select(*W.KEYS, "i", c("la").alias("la0")), [*W.KEYS, "i"]).groupBy(*W.KEYS).agg(
-        F.max(F.abs(c("la") - c("la0"))).alias("shift"), F.count(F.lit(1)).alias("bars"))
+    return rounded(b.join(d.select(*W.KEYS, "i", c("la").alias("la0")), [*W.KEYS, "i"]).groupBy(*W.KEYS).agg(
+        F.max(F.abs(c("la") - c("la0"))).alias("shift"), F.count(F.lit(1)).alias("bars")), "shift")
 
 
 def floors(t, reps=20, window=60, horizon=10, gap=10, threshold=2.0):
@@ -186,15 +208,27 @@ def floors(t, reps=20, window=60, horizon=10, gap=10, threshold=2.0):
     return e.groupBy("pair", "rep").agg(F.avg("reversion").alias("m")).groupBy("pair").agg(F.avg("m").alias("floor"), F.stddev_samp("m").alias("floor_sd"), F.count(F.lit(1)).alias("reps"))
 
 
-@query("sur9_mechanical_floor")
+_RF = "d.pair || '|' || rep || '|' || d.i || '|21|"
+_FLOOR = f"""fd AS (SELECT pair, i, spread - lag(spread) OVER (PARTITION BY pair ORDER BY i) AS d FROM v_spread), fs AS (SELECT pair, stddev_pop(d) AS sd FROM fd GROUP BY pair),
+fw AS (SELECT d.pair, rep, d.i, sum(s.sd * sqrt(-2e0 * ln(greatest({U(_RF + "u'")}, 1e-12))) * cos(2 * pi() * {U(_RF + "v'")})) OVER (PARTITION BY d.pair, rep ORDER BY d.i) AS x FROM fd d JOIN fs s ON s.pair = d.pair, range(1, 21) r(rep)),
+fz AS (SELECT pair, rep, i, CASE WHEN count(x) OVER v >= 60 THEN (x - avg(x) OVER v) / nullif(stddev_samp(x) OVER v, 0e0) END AS z FROM fw WINDOW v AS (PARTITION BY pair, rep ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+fv AS (SELECT pair, rep, i, z, lead(z, 10) OVER w AS z1, lead(i, 10) OVER w AS more FROM fz WHERE z IS NOT NULL WINDOW w AS (PARTITION BY pair, rep ORDER BY i)),
+fe AS MATERIALIZED (SELECT pair, rep, i, z, z1 FROM fv WHERE abs(z) > 2 AND more IS NOT NULL), fx AS MATERIALIZED (SELECT a.pair, a.rep, a.i, b.i AS ni FROM fe a ASOF JOIN fe b ON a.pair = b.pair AND a.rep = b.rep AND a.i + 10 <= b.i),
+fr AS (SELECT pair, rep, min(i) AS i FROM fe GROUP BY pair, rep UNION ALL SELECT r.pair, r.rep, fx.ni FROM fr r JOIN fx ON fx.pair = r.pair AND fx.rep = r.rep AND fx.i = r.i),
+fm AS (SELECT fe.pair, fe.rep, avg(-sign(z) * (z1 - z)) AS m FROM fr JOIN fe ON fe.pair = fr.pair AND fe.rep = fr.rep AND fe.i = fr.i GROUP BY fe.pair, fe.rep),
+fl AS (SELECT pair, avg(m) AS floor, stddev_samp(m) AS floor_sd, count(*) AS reps FROM fm GROUP BY pair)"""
+
+
+@query("sur9_mechanical_floor", f"WITH RECURSIVE {_FLOOR} SELECT pair, {R('floor')} AS floor, {R('floor_sd')} AS floor_sd, reps FROM fl")
 def _(t):
-    return floors(t)
+    return rounded(floors(t), "floor", "floor_sd")
 
 
-@query("ev3_excess_over_floor")
+@query("ev3_excess_over_floor", _EV + f", {_FLOOR}, ob AS (SELECT e.pair, avg(-sign(e.z) * (e.z1 - e.z)) AS observed, count(*) AS n_events FROM rec JOIN e ON e.pair = rec.pair AND e.i = rec.i GROUP BY e.pair HAVING count(*) >= 10) "
+       f"SELECT ob.pair, {R('observed')} AS observed, n_events, {R('floor')} AS floor, {R('floor_sd')} AS floor_sd, reps, {R('observed - floor')} AS excess FROM ob JOIN fl ON fl.pair = ob.pair")
 def _(t):
     o = events(t).groupBy("pair").agg(F.avg("reversion").alias("observed"), F.count(F.lit(1)).alias("n_events")).where("n_events >= 10")
-    return o.join(floors(t), "pair").withColumn("excess", c("observed") - c("floor"))
+    return rounded(o.join(floors(t), "pair").withColumn("excess", c("observed") - c("floor")), "observed", "floor", "floor_sd", "excess")
 
 
 @query("ev9_sensitivity")
@@ -246,7 +280,7 @@ def _(t):
 @query("bt27_locked_evaluation")
 def _(t):
     """A fixed configuration on the held-out windows with its index beta."""
-    held = unit(t, None).where(c("split_id") >= 12)
+    held = unit(t, None).where(c("test_end") > F.lit(HELD_FROM).cast("timestamp"))
     p = daily_panel(t)
     prev = p.select("symbol", (c("i") + 1).alias("i"), c("lp").alias("_p"))
     m = p.join(prev, ["symbol", "i"]).groupBy("i").agg(F.avg(c("lp") - c("_p")).alias("x"))
@@ -269,7 +303,7 @@ def _(t):
     s = samples(t)
     w = windows(s, 730, 365, 365)
     assign = lambda d: N.assign_windows(d, w, 730, 365, 365)
-    return M.scores(M.walk_forward(s, w, X.TABULAR, assign, 2), ["model", "split_id"])
+    return M.scores(M.walk_forward(s, w, X.TABULAR, assign), ["model", "split_id"])
 
 
 @query("ml5_feature_ablation")
@@ -277,7 +311,7 @@ def _(t):
     s, cut = samples(t), F.lit(CUT).cast("timestamp")
     tr, te = s.where(c("ts") < cut).cache(), s.where(c("ts") >= cut)
     out = None
-    for drop in ("none", "spread_slope", "mean_spread_z"):
+    for drop in ("none", *X.TABULAR):
         p, _m = M.forest_classes(tr, te, [f for f in X.TABULAR if f != drop], trees=5, depth=4)
         g = M.scores(p).withColumn("dropped", F.lit(drop))
         out = g if out is None else out.unionByName(g)

@@ -259,7 +259,7 @@ WHERE run > 0 GROUP BY symbol, day, side, run) WHERE exec_vol > 0"""
 VIEWS["v_parents"] = """
 SELECT g.*, b.* EXCLUDE (symbol, ts, seq), (b.bid_px_1 + b.ask_px_1) / 2e0 AS m0, CASE side WHEN 'buy' THEN 1e0 ELSE -1e0 END AS sgn,
   CASE side WHEN 'buy' THEN b.bid_px_1 ELSE b.ask_px_1 END AS post_px, CASE side WHEN 'buy' THEN b.bid_sz_1 ELSE b.ask_sz_1 END AS queue, CAST(notional AS DOUBLE) AS q
-FROM (SELECT symbol, day, t0, make_timestamp(t0) AS ts, CASE WHEN (t0 // 1000000 * 7919 + 7) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, unnest([1e3, 2e4]) AS notional FROM (
+FROM (SELECT symbol, day, t0, make_timestamp(t0) AS ts, CASE WHEN substr(md5(symbol || '|' || t0 || '|7'), 1, 1) < '8' THEN 'buy' ELSE 'sell' END AS side, unnest([1e3, 2e4]) AS notional FROM (
   SELECT symbol, CAST(ts AS DATE) AS day, unnest(generate_series(epoch_us(min(ts)) + 60000000, epoch_us(max(ts)) - 70000000, 7200000000)) AS t0 FROM v_book GROUP BY 1, 2)) g
 ASOF JOIN v_book b ON g.symbol = b.symbol AND g.ts >= b.ts"""
 
