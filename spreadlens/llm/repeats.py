@@ -4,37 +4,46 @@
    in it, and neighbouring windows with the same trigger make one phrase. Phrases overlap by ``WIDTH - 1`` bytes, so no
    phrase is needed to read past another's end (they are prefix-free), and every window lies in exactly one phrase.
    Equal windows have equal triggers wherever they stand.
-2. Dictionary. Phrase occurrences go to the owner of their trigger as three numbers (trigger, phrase fingerprint, id),
-   not as bytes. Equal phrases are one dictionary entry with the smallest id that has it. A trigger with one phrase needs
-   nothing more: later occurrences repeat whole, first ones do not.
-3. Only where a trigger has several phrases from several ids are their windows put in order: the windows of the
-   dictionary's phrases, keyed by two fingerprints, in corpus order of first id, as suffixes of the phrase. Entries of
-   the parse get the result of their phrase.
-4. Each text collects its phrases and windows that stand in a text of a smaller id, and drops the bytes they cover.
-
-Fingerprints are 64-bit (128 together with the trigger or the second one); triggers, phrases and windows are compared
-by fingerprint, never cut. A text is parsed in stretches of ``STRETCH`` windows, so that long texts need no more memory
-than their bytes; a phrase cut by a stretch only moves work from step 2 to step 3.
+2. Dictionary. Blocks of documents send their distinct phrases to the owners of their triggers, as numbers and not as
+   bytes: sorted triggers, Golomb-Rice coded, phrase fingerprints, and which document. Equal phrases are one dictionary
+   entry with the smallest id that has it. A trigger with one phrase needs nothing more: in later documents the phrase
+   repeats whole, in the first it does not.
+3. Only where a trigger has several phrases in several documents are the suffixes of the phrases, their windows, sorted:
+   they are sent in the same way, keyed by fingerprints, and put in order with the first id of each.
+4. The answers are bits in the order of what was sent. Every block parses its texts again, gives each phrase and window
+   its answer, and drops the bytes that the repeated ones cover.
+
+Blocks are stored once, compressed, in a table bucketed by block, so that texts are never shuffled. Triggers and window
+keys have 48 bits (shared ones only mean more sorting), fingerprints 48 more. A text is parsed in stretches of
+``STRETCH`` windows, so that long texts need little more memory than their bytes; a phrase cut by a stretch only moves
+work from step 2 to step 3.
 
 Null texts count as empty; shorter texts than ``WIDTH`` keep all bytes. Rows with the same id count as one document: none
 of them is earlier than the other. Rows with a null id are compared with nothing and keep all bytes. An empty table
-gives an empty result.
+gives an empty result; further columns are left alone.
 """
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ..core.session import scratch_folder
+from . import golomb
 from .common import checkpointed, shares
 from .text_arrays import BASE, BYTE, U, mix, powers, text_bytes
 
 WIDTH, GRAM = 50, 20
 STRETCH = 1 << 19
-BYTES_A_RUN = 16
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 50_000
+BYTES_A_PHRASE = 16
+KEY_BITS = 48
 
 
 def _power(n: int) -> np.uint64:
@@ -81,147 +90,220 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         total[0] = 0
         np.cumsum(values * p[:len(piece)], out=total[1:])
         print_ = mix((total[first + count + WIDTH - 1] - total[first]) * q[first] + count.astype(np.uint64))
-        parts.append((trigger[first], print_, first + at, count))
+        parts.append((mix(trigger[first]), print_, first + at, count))  # mixed: the smallest of many crowd at zero
     if not parts:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _texts(batch: pa.RecordBatch):
-    data, offsets = text_bytes(batch.column("text"))
-    for r in range(len(offsets) - 1):
-        yield r, data[offsets[r]:offsets[r + 1]]
+REPEATED, SEVERAL = 1, 2
+BLOCK = "block string, ids array<bigint>, sizes array<bigint>, bytes bigint, data binary"
+SENT = "block string, ids binary, sent array<struct<owner:int,keys:binary,marks:binary,docs:binary>>"
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, k = TaskContext.get().partitionId(), 0
+    for b in batches:
+        data, offsets = text_bytes(b.column("text"))
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = min(max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_BYTES, side="right")) - 1), i + BLOCK_ROWS)
+            own = data[offsets[i]:offsets[j]]
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([f"{task}-{k}"]), "ids": pa.array([b.column("id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
+                "sizes": pa.array([np.diff(offsets[i:j + 1])], pa.list_(pa.int64())), "bytes": pa.array([len(own)], pa.int64()),
+                "data": pa.array([pa.Codec("zstd", 6).compress(own.tobytes(), asbytes=True)], pa.binary())})
+            i, k = j, k + 1
+
+
+class Sorted:
+    """Distinct (key, mark, document) in order, and the place of every given one in it."""
+
+    def __init__(self, key: np.ndarray, mark: np.ndarray, doc: np.ndarray):
+        shift = U(64 - KEY_BITS)
+        key, mark = key >> shift, mark >> shift
+        order = np.lexsort((doc, mark, key))
+        key, mark, doc = key[order], mark[order], doc[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1])
+        self.place = np.empty(len(order), dtype=np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.key, self.mark, self.doc = key[new], mark[new], doc[new]
+
+    def cuts(self, owners: int) -> np.ndarray:
+        return np.searchsorted((self.key * U(owners)) >> U(KEY_BITS), np.arange(owners + 1, dtype=np.uint64))
+
+    def sent(self, owners: int) -> list[dict]:
+        cut, out = self.cuts(owners), []
+        marks = self.mark[:, None].view(np.uint8)[:, :KEY_BITS // 8]
+        for o in np.flatnonzero(np.diff(cut)):
+            i, j = cut[o], cut[o + 1]
+            out.append({"owner": int(o), "keys": golomb.encode(self.key[i:j]), "marks": marks[i:j].tobytes(), "docs": self.doc[i:j].astype(np.uint16).tobytes()})
+        return out
+
+    def answered(self, answers, owners: int) -> np.ndarray:
+        """The answer to every given one."""
+        cut, state = self.cuts(owners), np.zeros(len(self.key), dtype=np.int8)
+        for a in answers or []:
+            i, j = cut[a["owner"]], cut[a["owner"] + 1]
+            bits = np.unpackbits(np.frombuffer(a["bits"], np.uint8))
+            state[i:j] = bits[:j - i] * REPEATED + bits[len(bits) // 2:][:j - i] * SEVERAL
+        return state[self.place] if len(self.key) else np.zeros(0, np.int8)
+
+
+def _owner(group: pd.DataFrame) -> pd.DataFrame:
+    """All that was sent of a key is here: which marks stand in a smaller id, which keys have several marks and ids."""
+    keys = [golomb.decode(x) for x in group["keys"]]
+    width = KEY_BITS // 8
+    marks = np.zeros((sum(map(len, keys)), 8), dtype=np.uint8)
+    marks[:, :width] = np.frombuffer(b"".join(group["marks"]), np.uint8).reshape(-1, width)
+    mark = marks.view(np.uint64)[:, 0]
+    of = np.concatenate([golomb.decode(i)[np.frombuffer(d, np.uint16)] for i, d in zip(group["ids"], group["docs"])])
+    key = np.concatenate(keys)
+    order = np.lexsort((of, mark, key))
+    k, m, d = key[order], mark[order], of[order]
+    new_k = np.concatenate([[True], k[1:] != k[:-1]])
+    new_m = new_k.copy()
+    new_m[1:] |= m[1:] != m[:-1]
+    at = np.flatnonzero(new_k)
+    several = (np.add.reduceat(new_m.astype(np.int64), at) > 1) & (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at))
+    repeated = d > d[np.flatnonzero(new_m)][np.cumsum(new_m) - 1]
+    back = np.empty((2, len(k)), dtype=np.uint8)
+    back[0, order] = repeated
+    back[1, order] = several[np.cumsum(new_k) - 1] & ~repeated
+    ends = np.cumsum([0, *map(len, keys)])
+    bits = [np.packbits(back[0, i:j]).tobytes() + np.packbits(back[1, i:j]).tobytes() for i, j in zip(ends, ends[1:])]
+    return pd.DataFrame({"block": group["block"].to_numpy(), "owner": group["owner"].to_numpy(), "bits": bits})
+
+
+class Block:
+    """A block's texts with their phrases, and the windows of the phrases that are several."""
+
+    def __init__(self, row: dict, owners: int):
+        data = pa.Codec("zstd").decompress(row["data"], decompressed_size=row["bytes"]) if row["bytes"] else b""
+        ends = np.concatenate([[0], np.cumsum(row["sizes"], dtype=np.int64)])
+        data = np.frombuffer(data, dtype=np.uint8)
+        self.texts = [data[i:j] for i, j in zip(ends, ends[1:])]
+        self.ids, self.owners, self.name = row["ids"], owners, row["block"]
+        self.known = np.unique(np.array([i for i in self.ids if i is not None], dtype=np.int64))
+        none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        parts = [phrases(t) if i is not None else none for i, t in zip(self.ids, self.texts)]
+        self.counts = [len(p[0]) for p in parts]
+        self.trigger, self.mark, self.first, self.count = (np.concatenate(x) for x in zip(*parts))
+        rank = np.searchsorted(self.known, np.array([i if i is not None else 0 for i in self.ids], dtype=np.int64))
+        self.doc = np.repeat(rank, self.counts)
+
+    def ids_code(self) -> bytes:
+        return golomb.encode((self.known.view(np.uint64) ^ U(1 << 63)))
+
+    def phrases_sent(self) -> Sorted:
+        return Sorted(self.trigger, self.mark, self.doc)
+
+    def windows_sent(self, state: np.ndarray) -> tuple[list[np.ndarray], Sorted]:
+        """Per text the places of its open windows, and all of them as they are sent."""
+        places, keys, marks, docs, i = [], [], [], [], 0
+        for text, n in zip(self.texts, self.counts):
+            open_ = np.flatnonzero(state[i:i + n] == SEVERAL) + i
+            width = self.count[open_]
+            at = np.repeat(self.first[open_] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum()) if len(open_) else np.zeros(0, np.int64)
+            key, mark = window_keys(text, at)
+            places.append(at)
+            keys.append(key)
+            marks.append(mark)
+            docs.append(np.full(len(at), self.doc[i] if n else 0))
+            i += n
+        return places, Sorted(np.concatenate(keys), np.concatenate(marks), np.concatenate(docs))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], owners: int):
     for b in batches:
-        ids = b.column("id").to_pylist()
-        parts = []
-        for r, data in _texts(b):
-            trigger, mark, _, _ = phrases(data)
-            both = np.unique(np.stack([trigger, mark], axis=1), axis=0) if len(trigger) > 4096 else np.stack([trigger, mark], axis=1)
-            parts.append((both, np.full(len(both), ids[r], dtype=np.int64)))
-        if parts:
-            both, of = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-            for i in range(0, len(of), 100_000):
-                yield pa.RecordBatch.from_pydict({"trigger": pa.array(both[i:i + 100_000, 0].view(np.int64)), "phrase": pa.array(both[i:i + 100_000, 1].view(np.int64)), "id": pa.array(of[i:i + 100_000])})
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
+            yield row, Block(row, owners)
 
 
-REPEATED, SEVERAL = 1, 2
+def _send(owners: int, windows: bool):
+    kind = pa.list_(pa.struct([("owner", pa.int32()), ("keys", pa.binary()), ("marks", pa.binary()), ("docs", pa.binary())]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, block in _rows(batches, owners):
+            sent = block.phrases_sent()
+            if windows:
+                sent = block.windows_sent(sent.answered(row["phrase_answers"], owners))[1]
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block.name]), "ids": pa.array([block.ids_code()], pa.binary()), "sent": pa.array([sent.sent(owners)], kind)})
 
-def _owner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All occurrences of a trigger are in this task: which phrases repeat, which must be compared by windows."""
-    read = [b for b in batches if b.num_rows]
-    if not read:
-        return
-    trigger, phrase, of = (np.concatenate([b.column(n).to_numpy() for b in read]) for n in ("trigger", "phrase", "id"))
-    order = np.lexsort((of, phrase, trigger))
-    trigger, phrase, of = trigger[order], phrase[order], of[order]
-    new_t = np.concatenate([[True], trigger[1:] != trigger[:-1]])
-    new_p = new_t.copy()
-    new_p[1:] |= phrase[1:] != phrase[:-1]
-    group = np.cumsum(new_t) - 1
-    at = np.flatnonzero(new_t)
-    lone = (np.add.reduceat(new_p.astype(np.int64), at) == 1) | (np.minimum.reduceat(of, at) == np.maximum.reduceat(of, at))
-    repeated = of > of[np.flatnonzero(new_p)][np.cumsum(new_p) - 1]
-    state = np.where(repeated, REPEATED, np.where(lone[group], 0, SEVERAL)).astype(np.int8)
-    keep = np.flatnonzero(state)
-    for i in range(0, len(keep), 100_000):
-        k = keep[i:i + 100_000]
-        yield pa.RecordBatch.from_pydict({"id": pa.array(of[k]), "phrase": pa.array(phrase[k] ^ trigger[k]), "state": pa.array(state[k])})
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text: its windows' removal so far, and the windows that are still open."""
-    for b in batches:
-        rows = {n: b.column(n).to_pylist() for n in ("id", "marks", "states")}
-        out = {n: [] for n in ("id", "text", "first", "count", "at", "key", "key2")}
-        for r, data in _texts(b):
-            known = np.array(rows["marks"][r] or [], dtype=np.int64)
-            state = np.array(rows["states"][r] or [], dtype=np.int8)
-            first = count = at = key = key2 = np.zeros(0, np.int64)
-            if len(known):
-                trigger, mark, start, width = phrases(data)
-                own = (trigger ^ mark).view(np.int64)
-                order = np.argsort(known)
-                known, state = known[order], state[order]
-                i = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                found = np.where(known[i] == own, state[i], 0)
-                first, count = start[found == REPEATED], width[found == REPEATED]
-                s, w = start[found == SEVERAL], width[found == SEVERAL]
-                if len(s):
-                    at = np.repeat(s - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
-                    key, key2 = window_keys(data, at)
-            out["id"].append(rows["id"][r])
-            out["text"].append(data.tobytes())
-            for n, x in (("first", first), ("count", count), ("at", at), ("key", key), ("key2", key2)):
-                out[n].append(x)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(out["id"], pa.int64()), "text": pa.array(out["text"], pa.binary())}
-                                         | {n: pa.array(out[n], pa.list_(pa.int64())) for n in ("first", "count", "at", "key", "key2")})
+    return run
 
 
 def window_keys(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two fingerprints of the windows that start at the positions ``at``."""
-    a, b = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    a, b = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
     for lo in range(0, len(data) - WIDTH + 1, STRETCH):
         i, j = np.searchsorted(at, [lo, lo + STRETCH])
         if i < j:
             piece = data[lo:lo + STRETCH + WIDTH - 1]
-            a[i:j] = mix(gram_hashes(BYTE[piece], WIDTH)[at[i:j] - lo]).view(np.int64)
-            b[i:j] = mix(gram_hashes(BYTE[255 - piece] | U(1), WIDTH)[at[i:j] - lo]).view(np.int64)
+            a[i:j] = mix(gram_hashes(BYTE[piece], WIDTH)[at[i:j] - lo])
+            b[i:j] = mix(gram_hashes(BYTE[255 - piece] | U(1), WIDTH)[at[i:j] - lo])
     return a, b
 
 
-def _cut(keep_text: bool):
+def cover_of(size: int, first: np.ndarray, count: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Which bytes the repeated phrases (first window, number of windows) and windows cover."""
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + count + WIDTH - 1, -1)
+    np.add.at(edge, gone, 1)
+    np.add.at(edge, gone + WIDTH, -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _cut(owners: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = {n: b.column(n).to_pylist() for n in ("text", "first", "count", "gone")}
-            size, removed, spans, sha, kept_text, begin, end = [], [], [], [], [], [], []
-            for data, first, count, gone in zip(*rows.values()):
-                raw = np.frombuffer(data, dtype=np.uint8)
-                edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                first, count = np.array(first or [], np.int64), np.array(count or [], np.int64)
-                gone = np.array(gone or [], np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + count + WIDTH - 1, -1)
-                np.add.at(edge, gone, 1)
-                np.add.at(edge, gone + WIDTH, -1)
-                cover = np.cumsum(edge[:-1]) > 0
+        for row, block in _rows(batches, owners):
+            state = block.phrases_sent().answered(row["phrase_answers"], owners)
+            places, sent = block.windows_sent(state)
+            again = sent.answered(row["window_answers"], owners) == REPEATED
+            out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "ends")}
+            i = w = 0
+            for text, n, at in zip(block.texts, block.counts, places):
+                own = np.flatnonzero(state[i:i + n] == REPEATED) + i
+                cover = cover_of(len(text), block.first[own], block.count[own], at[again[w:w + len(at)]])
                 step = np.diff(cover.astype(np.int8), prepend=0, append=0)
-                kept = raw[~cover].tobytes()
-                size.append(len(raw))
-                removed.append(int(cover.sum()))
-                spans.append(int((step == 1).sum()))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                if keep_text:
-                    kept_text.append(kept)
-                    begin.append(np.flatnonzero(step == 1))
-                    end.append(np.flatnonzero(step == -1))
-            out = {"id": b.column("id"), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
-                   "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-            if keep_text:
-                out |= {"kept": pa.array(kept_text, pa.binary()), "starts": pa.array(begin, pa.list_(pa.int64())), "ends": pa.array(end, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_pydict(out)
+                kept = text[~cover].tobytes()
+                for name, value in (("n_bytes", len(text)), ("n_removed", int(cover.sum())), ("n_spans", int((step == 1).sum())), ("kept_sha256", hashlib.sha256(kept).hexdigest()),
+                                    ("kept", kept), ("starts", np.flatnonzero(step == 1)), ("ends", np.flatnonzero(step == -1))):
+                    out[name].append(value)
+                i, w = i + n, w + len(at)
+            numbers = {n: pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")}
+            more = {"kept": pa.array(out["kept"], pa.binary()), "starts": pa.array(out["starts"], pa.list_(pa.int64())), "ends": pa.array(out["ends"], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict({"id": pa.array(block.ids, pa.int64()), **numbers, "kept_sha256": pa.array(out["kept_sha256"], pa.string())} | (more if keep_text else {}))
 
     return run
 
 
+def _answers(sent: DataFrame, name: str) -> DataFrame:
+    """(block, answers of all owners)."""
+    each = sent.select("block", "ids", F.explode("sent").alias("s")).select("block", "ids", "s.*")
+    bits = each.groupBy("owner").applyInPandas(_owner, "block string, owner int, bits binary")
+    return checkpointed(bits.groupBy("block").agg(F.collect_list(F.struct("owner", "bits")).alias(name)))
+
+
+def _bucketed(blocks: DataFrame, buckets: int) -> DataFrame:
+    """The blocks as a table bucketed by block in the shared folder: joins on the block don't move it."""
+    name = f"text_blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(buckets, "block").option("path", scratch_folder(blocks.sparkSession)).option("compression", "none").format("parquet").saveAsTable(name)
+    return blocks.sparkSession.table(name)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_text`` also the kept bytes and the removed spans."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = own.filter("id is not null").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = shares(spark, size // BYTES_A_RUN, 1_500_000)
-    parsed = own.filter("id is not null").mapInArrow(_parse, "trigger bigint, phrase bigint, id bigint")
-    states = parsed.repartition(n, "trigger").mapInArrow(_owner, "id bigint, phrase bigint, state tinyint")
-    states = checkpointed(states.groupBy("id").agg(F.collect_list("phrase").alias("marks"), F.collect_list("state").alias("states")))
-    texts = checkpointed(own.join(states, "id", "left").mapInArrow(
-        _packed, "id bigint, text binary, first array<bigint>, count array<bigint>, at array<bigint>, key array<bigint>, key2 array<bigint>"))
-    windows = texts.select("id", F.explode(F.arrays_zip("at", "key", "key2")).alias("w")).select("id", "w.at", "w.key", "w.key2")
-    first = windows.groupBy("key", "key2").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
-    gone = windows.join(first, ["key", "key2"]).filter("id > low").groupBy("id").agg(F.collect_list("at").alias("gone"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    owners = shares(spark, size // BYTES_A_PHRASE, 1_500_000)
+    blocks = _bucketed(own.mapInArrow(_blocks, BLOCK), shares(spark, size, 16 * BLOCK_BYTES))
+    first = _answers(blocks.mapInArrow(_send(owners, False), SENT), "phrase_answers")
+    second = _answers(blocks.join(first, "block", "left").mapInArrow(_send(owners, True), SENT), "window_answers")
     kind = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     more = ", kept binary, starts array<bigint>, ends array<bigint>" if keep_text else ""
-    return texts.select("id", "text", "first", "count").join(gone, "id", "left").select("id", "text", "first", "count", "gone").mapInArrow(
-        _cut(keep_text), kind + more)
+    return blocks.join(first, "block", "left").join(second, "block", "left").mapInArrow(_cut(owners, keep_text), kind + more)
