@@ -4,8 +4,9 @@
 2. Texts of equal words are one class; only its smallest id goes on.
 3. A bucket is a band key shared by two classes or more. It is compared with its smallest member first, never all
    against all. Members that end in one component need no more comparing; while a bucket still holds several
-   components, further members are taken as pivots, four times as many each time, until every pair of different
-   components has been compared. So no bucket is capped and no pair that shares a bucket is lost.
+   components, further members are taken as pivots, 64 times as many each time and those of its largest component
+   first, until every pair of different components has been compared, in one of the buckets that it shares. So no
+   bucket is capped and no pair that shares a bucket is lost.
 4. A pair goes on if its sizes and its signatures allow the similarity, and is a link if its full shingle sets do.
 5. Components by alternating large-star and small-star.
 
@@ -20,9 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from .common import checkpointed, shares
+from .common import checkpointed, discard
 from .components import connected_components
 from .text_arrays import U, each_text, mix, shingles_of
 
@@ -31,7 +32,7 @@ _rng = np.random.Generator(np.random.PCG64(77))
 MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 #: A pair is dropped unverified if fewer minima agree than at this many standard deviations below the threshold.
-SIGMAS = 6
+SIGMAS = 5
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -61,10 +62,10 @@ def _signatures(size: int):
                 cls.append(xxhash.xxh3_128_digest(words.tobytes()) if len(s) else None)
                 low = minima(s) if len(s) else None
                 bands.append(band_keys(low) if len(s) else None)
-                sig.append((low >> U(48)).astype(np.uint16).view(np.int16) if len(s) else None)
+                sig.append((low >> U(56)).astype(np.uint8).view(np.int8) if len(s) else None)
             yield pa.RecordBatch.from_pydict({
                 "id": b.column("id"), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()),
-                "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int16()))})
+                "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int8()))})
 
     return run
 
@@ -78,21 +79,40 @@ def _sets(size: int):
     return run
 
 
-def _candidates(live: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of each bucket's pivots with its other members, if their sizes allow the similarity."""
-    p = pivots.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    both = live.join(p, "bucket").filter("node <> a and component <> ca")
-    return both.filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent).select(
-        F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+def _first_pairs(live: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of each bucket's smallest member with the others, if their sizes allow the similarity."""
+    pivots = live.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    both = live.join(pivots, "bucket").filter("node <> a").filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
+    return both.select("a", F.col("node").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _agree(x: str, y: str, percent: int) -> Column:
+    """Whether enough minima of two signatures agree."""
     k, s = BANDS * ROWS, percent / 100
-    least = int(k * s - SIGMAS * (k * s * (1 - s)) ** 0.5)
-    side = lambda t, c, key: t.select(F.col("node").alias(key), F.col(c).alias(f"{c}_{key}"))
-    near = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").filter(
-        F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same)) >= least).select("a", "b")
-    full = near.join(side(sets, "items", "a"), "a").join(side(sets, "items", "b"), "b")
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same)) >= int(k * s - SIGMAS * (k * s * (1 - s)) ** 0.5)
+
+
+def _short(key: Column) -> Column:
+    """31 bits of a band key, enough to tell whether two texts share a band."""
+    return key.bitwiseAND(2**31 - 1).cast("int")
+
+
+def _later_pairs(live: DataFrame, pivots: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of pivots with members of other components. A pair is made in one of the buckets that it shares, that of the
+    first band, and only if sizes and signatures allow the similarity."""
+    p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("sig").alias("sig_a"))
+    x = live.join(traits, "node")
+    allowed = (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
+    allowed = allowed & (F.get("bands", F.array_position(F.zip_with("bands", "bands_a", lambda a, b: a == b), True).cast("int") - 1) == _short(x["bucket"])) & _agree("sig", "sig_a", percent)
+    return x.join(p, (x["bucket"] == p["bucket"]) & allowed).select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+
+
+def _side(table: DataFrame, column: str, key: str) -> DataFrame:
+    return table.select(F.col("node").alias(key), F.col(column).alias(f"{column}_{key}"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    full = pairs.join(_side(sets, "items", "a"), "a").join(_side(sets, "items", "b"), "b")
     shared = F.size(F.array_intersect("items_a", "items_b"))
     return full.filter(shared * 100 >= (F.size("items_a") + F.size("items_b") - shared) * percent).select("a", "b")
 
@@ -101,33 +121,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """Per row: id, n_shingles, component_id (smallest linked id, itself included), kept."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpointed(own.mapInArrow(_signatures(size), "id bigint, n bigint, cls binary, bands array<bigint>, sig array<smallint>"))
+    rows = checkpointed(own.mapInArrow(_signatures(size), "id bigint, n bigint, cls binary, bands array<bigint>, sig array<tinyint>"))
     known = rows.filter("cls is not null and id is not null")
     classes = checkpointed(known.groupBy("cls").agg(F.min("id").alias("node")))
     heads = known.join(classes, "cls").filter("id = node").dropDuplicates(["cls"])
     banded = heads.select("node", "n", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    live = checkpointed(banded.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("component")))
+    live = checkpointed(banded.join(shared, "bucket").select("bucket", "node", "n"))
     members = checkpointed(live.select("node").distinct())
-    sigs = checkpointed(heads.join(members, "node", "left_semi").select("node", "sig"))
+    traits = checkpointed(heads.join(members, "node", "left_semi").select(
+        "node", F.transform("bands", _short).alias("bands"), "sig"))
     sets = checkpointed(own.join(members.hint("shuffle_hash"), F.col("id") == F.col("node"), "left_semi").mapInArrow(
         _sets(size), "node bigint, items array<bigint>").dropDuplicates(["node", "items"]))
 
-    pivots = live.groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("p")).select("bucket", "p.*")
-    many, links, labels = 1, None, None
+    first = _first_pairs(live, percent).join(_side(traits, "sig", "a"), "a").join(_side(traits, "sig", "b"), "b").filter(_agree("sig_a", "sig_b", percent))
+    links = checkpointed(_verified(first.select("a", "b"), sets, percent))
+    labels = connected_components(links)
+    pivots, many = live.groupBy("bucket").agg(F.min("node").alias("node")), 1
     while True:
-        found = _verified(_candidates(live, pivots, percent), sigs, sets, percent)
-        links = checkpointed(found if labels is None else found.union(labels.select("node", "component")))
-        labels = checkpointed(connected_components(links))
-        rest = live.drop("component").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").join(
+        rest = live.select("bucket", "node", "n").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").join(
             labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        live = checkpointed(rest.join(several, "bucket").select("bucket", "node", "n", "component"))
+        before, live = live, checkpointed(rest.join(several, "bucket").select("bucket", "node", "n", "component"))
+        discard(before)
         if live.isEmpty():
             break
-        many *= 4
-        order = W.partitionBy("bucket").orderBy(F.xxhash64("node"), "node")
-        pivots = checkpointed(live.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= many).drop("rank"))
+        # members of the bucket's largest component first: those that are left have few others to be compared with
+        many *= 64
+        sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+        order = W.partitionBy("bucket").orderBy(F.desc("m"), "component", F.xxhash64("node"), "node")
+        ranked = live.join(sizes, ["bucket", "component"]).withColumn("rank", F.row_number().over(order))
+        pivots = checkpointed(ranked.filter(F.col("rank") <= many).select("bucket", "node", "n", "component"))
+        found = checkpointed(_verified(_later_pairs(live, pivots, traits, percent), sets, percent).union(labels.select("node", "component")))
+        labels = connected_components(found)
 
     named = rows.select("id", "n", "cls").join(classes, "cls", "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
