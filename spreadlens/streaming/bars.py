@@ -16,4 +16,5 @@ def stream_trade_bars(ticks: DataFrame, step_us: int, late: str = "10 seconds")
         F.sum("notional").alias("volume_quote"),
         sum_if(c("amount"), c("side") == "buy").cast("double").alias("buy_volume_base"),
         sum_if(c("amount"), c("side") == "sell").cast("double").alias("sell_volume_base")
-    ).select("symbol", c("_w.start").alias("ts"), "trade_count", "volume_base", "volume_quote", "buy_volume_base", "sell_volume_base")
+    ).select("symbol", c("_w.start").alias("ts"), "trade_count", "volume_base", "volume_quote", "buy_volume_base", "sell_volume_base",
+             (c("buy_volume_base") - c("sell_volume_base")).alias("signed_volume_base"), (c("volume_quote") / F.nullif(c("volume_base"), F.lit(0.0))).alias("vwap"))
