@@ -321,6 +321,6 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = own.mapInArrow(_score(vocabulary, model), "id bigint, print bigint, held_out boolean, n_tokens bigint, others bigint, class_logs double, class_score double")
     both = scored.alias("s").join(logs.alias("l"), F.col("s.id").eqNullSafe(F.col("l.id")) & (F.col("s.print") == F.col("l.print")))
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(tokens + kinds + 1)))
-    inside = F.col("logs") - F.col("class_logs") - F.col("others") * F.lit(float(np.log10(vocabulary.other_total)))
+    inside = F.col("logs") - F.col("class_logs") - F.col("others") * F.lit(float(np.log10(max(1, vocabulary.other_total))))
     return both.select("s.id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("bigint").alias("train_tokens"),
                        base.alias("base_score"), (F.col("class_score") + inside).alias("score"))
