@@ -99,11 +99,12 @@ def _short(key: Column) -> Column:
 
 def _later_pairs(live: DataFrame, pivots: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Pairs of pivots with members of other components. A pair is made in one of the buckets that it shares, that of the
-    first band, and only if sizes and signatures allow the similarity."""
-    p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("sig").alias("sig_a"))
+    first band, and only if its shingles, cut to 31 bits, agree but for two that the cut may have merged."""
+    p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("items").alias("items_a"))
     x = live.join(traits, "node")
     allowed = (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
-    allowed = allowed & (F.get("bands", F.array_position(F.zip_with("bands", "bands_a", lambda a, b: a == b), True).cast("int") - 1) == _short(x["bucket"])) & _agree("sig", "sig_a", percent)
+    allowed = allowed & (F.get("bands", F.array_position(F.zip_with("bands", "bands_a", lambda a, b: a == b), True).cast("int") - 1) == _short(x["bucket"]))
+    allowed = allowed & ((F.size(F.array_intersect("items", "items_a")) + 2) * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
     return x.join(p, (x["bucket"] == p["bucket"]) & allowed).select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
 
 
@@ -137,7 +138,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     first = _first_pairs(live, percent).join(_side(traits, "sig", "a"), "a").join(_side(traits, "sig", "b"), "b").filter(_agree("sig_a", "sig_b", percent))
     links = checkpointed(_verified(first.select("a", "b"), sets, percent))
     labels = connected_components(links)
-    pivots, many = live.groupBy("bucket").agg(F.min("node").alias("node")), 1
+    pivots, many, short = live.groupBy("bucket").agg(F.min("node").alias("node")), 1, None
     while True:
         rest = live.select("bucket", "node", "n").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").join(
             labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -146,13 +147,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         discard(before)
         if live.isEmpty():
             break
+        if short is None:
+            shared_nodes = live.select("node").distinct()
+            short = checkpointed(traits.select("node", "bands").join(sets, "node").join(shared_nodes, "node", "left_semi").select(
+                "node", "bands", F.transform("items", _short).alias("items")))
         # members of the bucket's largest component first: those that are left have few others to be compared with
         many *= 64
         sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("m"))
         order = W.partitionBy("bucket").orderBy(F.desc("m"), "component", F.xxhash64("node"), "node")
         ranked = live.join(sizes, ["bucket", "component"]).withColumn("rank", F.row_number().over(order))
         pivots = checkpointed(ranked.filter(F.col("rank") <= many).select("bucket", "node", "n", "component"))
-        found = checkpointed(_verified(_later_pairs(live, pivots, traits, percent), sets, percent).union(labels.select("node", "component")))
+        found = checkpointed(_verified(_later_pairs(live, pivots, short, percent), sets, percent).union(labels.select("node", "component")))
         labels = connected_components(found)
 
     named = rows.select("id", "n", "cls").join(classes, "cls", "left").join(labels, "node", "left")
