@@ -7,11 +7,18 @@
    scorer on hashed features (byte trigrams, levels of the measures) in one task.
 4. Every whole text gets its score; it is kept at ``THRESHOLD`` or above.
 
+Toxicity is judged apart, as form does not show it, when ``ToxicTerms`` are given: ``TERMS``, and beginnings of words learned
+from labels, each with the share of toxic documents among those that hold it. A text's toxicity is the highest share of its
+words' terms; at ``TOXIC`` or above it is rejected, however well formed. Terms that stand in few labelled documents are not
+learned, so small or missing labels leave languages other than English without terms.
+
 Null texts count as empty; texts without words are rejected with score 0. Every row is scored by itself: repeated rows
 get equal scores, null ids and further columns do not matter. An empty table gives an empty result.
 """
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +51,15 @@ LABELLERS = (
 )
 LEAST_WORDS = 40
 
+#: Words that make a text toxic wherever no labels say so.
+TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+TOXIC = 0.85
+#: Labelled documents that terms are learned from, about at most; drawn by the hash of their ids over all labels.
+LABEL_ROWS = 6000
+BEGINNINGS = (4, 5, 6, 7, 8)
+_WORD = re.compile(r"[^\W\d_]+")
+KNOWN_WORDS = 1 << 18
+
 
 def measures(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The labellers' measures of a text with words; higher is worse."""
@@ -125,6 +141,50 @@ def features(data: np.ndarray, words: np.ndarray, m: np.ndarray) -> tuple[np.nda
     return np.append(at, BUCKETS), np.append(x, 0.3)
 
 
+class ToxicTerms:
+    """Terms, a word's beginning or a whole word with ``$``, and the share of toxic documents among those that hold one."""
+
+    def __init__(self, learned: dict[str, float]):
+        self.shares = learned | {f"{w}$": 1.0 for w in TERMS}
+
+    @staticmethod
+    def of(word: str) -> list[str]:
+        return [word + "$"] + [word[:n] for n in BEGINNINGS if len(word) >= n]
+
+    def toxicity(self, texts: list[str | None]) -> np.ndarray:
+        known, out = {}, np.zeros(len(texts))
+        for k, t in enumerate(texts):
+            for w in set(_WORD.findall((t or "").lower())):
+                x = known.get(w)
+                if x is None:
+                    if len(known) == KNOWN_WORDS:
+                        known.clear()
+                    x = known[w] = max(self.shares.get(g, 0.0) for g in self.of(w))
+                if x > out[k]:
+                    out[k] = x
+        return out
+
+
+def _learn_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    holds = {True: Counter(), False: Counter()}
+    for b in batches:
+        for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+            holds[toxic].update({g for w in set(_WORD.findall((text or "").lower())) for g in ToxicTerms.of(w)})
+    # one document less, so that a term of few documents is none
+    share = {g: (n - 1) / (n + holds[False][g]) for g, n in holds[True].items()}
+    found = sorted(g for g, x in share.items() if x >= TOXIC)
+    yield pa.RecordBatch.from_pydict({"term": pa.array(found, pa.string()), "share": pa.array([share[g] for g in found], pa.float64())})
+
+
+def learn_terms(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_rows: int = LABEL_ROWS) -> ToxicTerms:
+    """Terms of the documents whose label ``toxic`` is 1; labels of null are left out, distinct texts count once."""
+    own = labels.filter(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max("toxic") > 0).alias("toxic"))
+    drawn = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.lit(int(min(1.0, label_rows / max(1, labels.count())) * 1_000_000) + 1)
+    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(own.filter(drawn)), id_col)
+    sample = texts.select("text", "toxic").distinct().repartition(1)
+    return ToxicTerms({r["term"]: r["share"] for r in sample.mapInArrow(_learn_terms, "term string, share double").collect()})
+
+
 def _rows(batch: pa.RecordBatch):
     data, offsets = text_bytes(batch.column("text"))
     for r in range(len(offsets) - 1):
@@ -162,7 +222,7 @@ def _train(model: WeakLabels):
     return run
 
 
-def _score(model: WeakLabels, weight: np.ndarray):
+def _score(model: WeakLabels, weight: np.ndarray, toxic: ToxicTerms | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pattern, score = [], []
@@ -172,18 +232,23 @@ def _score(model: WeakLabels, weight: np.ndarray):
                 score.append(1 / (1 + np.exp(-np.clip(weight[at] @ x, -40, 40))) if len(w) else 0.0)
             p = model.posterior(np.array(pattern, dtype=np.int64).reshape(-1)) if pattern else np.zeros(0)
             columns = {n: b.column(n) for n in b.schema.names if n != "text"}
+            if toxic is not None:
+                columns["toxicity"] = pa.array(toxic.toxicity(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_pydict(columns | {"pattern": pa.array(pattern, pa.int32()), "posterior": pa.array(p), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def _keep(model: WeakLabels, weight: np.ndarray, text_col: str):
-    score = _score(model, weight)
+def _keep(model: WeakLabels, weight: np.ndarray, text_col: str, toxic: ToxicTerms | None):
+    score = _score(model, weight, toxic)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             (scored,) = score([pa.RecordBatch.from_pydict({"text": b.column(text_col)})])
-            yield b.filter(pa.array(scored.column("score").to_numpy() >= THRESHOLD))
+            kept = scored.column("score").to_numpy() >= THRESHOLD
+            if toxic is not None:
+                kept &= scored.column("toxicity").to_numpy() < TOXIC
+            yield b.filter(pa.array(kept))
 
     return run
 
@@ -200,14 +265,17 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
     return model, np.frombuffer(found[0]["weights"]) if found else np.zeros(BUCKETS + 1)
 
 
-def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """Per row: id, pattern (votes), posterior (of the weak labels), score (of the linear scorer), kept."""
+def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, toxic: ToxicTerms | None = None) -> DataFrame:
+    """Per row: id, pattern (votes), posterior (of the weak labels), score (of the linear scorer), kept; with terms also
+    toxicity, and kept then asks for both."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
-    scored = own.mapInArrow(_score(*fit(docs, text_col, train_rows)), f"id {kind}, pattern int, posterior double, score double")
-    return scored.withColumn("kept", F.col("score") >= THRESHOLD)
+    more = "" if toxic is None else "toxicity double, "
+    scored = own.mapInArrow(_score(*fit(docs, text_col, train_rows), toxic), f"id {kind}, {more}pattern int, posterior double, score double")
+    kept = F.col("score") >= THRESHOLD
+    return scored.withColumn("kept", kept if toxic is None else kept & (F.col("toxicity") < TOXIC))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS, toxic: ToxicTerms | None = None) -> DataFrame:
     """The rows whose text is kept, with all their columns; nothing is shuffled for it."""
-    return docs.mapInArrow(_keep(*fit(docs, text_col, train_rows), text_col), docs.schema)
+    return docs.mapInArrow(_keep(*fit(docs, text_col, train_rows), text_col, toxic), docs.schema)

@@ -157,5 +157,6 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, root: str) -> DataFrame:
-    """Quality of every document: weak labels, their posterior, the scorer's score and the decision."""
-    return quality.score_quality(documents(spark, root)).withColumnRenamed("id", "doc_id")
+    """Quality and toxicity of every document: weak labels, their posterior, the scorer's score, toxic terms and the decision."""
+    docs = documents(spark, root)
+    return quality.score_quality(docs, toxic=quality.learn_terms(docs, documents(spark, root, "labels"))).withColumnRenamed("id", "doc_id")
