@@ -52,6 +52,11 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
+def signature(low: np.ndarray) -> np.ndarray:
+    """A byte of each minimum; mixed, as the smallest of many crowd at zero."""
+    return (mix(low) >> U(56)).astype(np.uint8).view(np.int8)
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -62,7 +67,7 @@ def _signatures(size: int):
                 cls.append(xxhash.xxh3_128_digest(words.tobytes()) if len(s) else None)
                 low = minima(s) if len(s) else None
                 bands.append(band_keys(low) if len(s) else None)
-                sig.append((low >> U(56)).astype(np.uint8).view(np.int8) if len(s) else None)
+                sig.append(signature(low) if len(s) else None)
             yield pa.RecordBatch.from_pydict({
                 "id": b.column("id"), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64())), "sig": pa.array(sig, pa.list_(pa.int8()))})
@@ -99,11 +104,12 @@ def _short(key: Column) -> Column:
 
 def _later_pairs(live: DataFrame, pivots: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Pairs of pivots with members of other components. A pair is made in one of the buckets that it shares, that of the
-    first band, and only if its shingles, cut to 31 bits, agree but for two that the cut may have merged."""
-    p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("items").alias("items_a"))
+    first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for two that the cut may have merged."""
+    p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
     x = live.join(traits, "node")
     allowed = (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
     allowed = allowed & (F.get("bands", F.array_position(F.zip_with("bands", "bands_a", lambda a, b: a == b), True).cast("int") - 1) == _short(x["bucket"]))
+    allowed = allowed & _agree("sig", "sig_a", percent)
     allowed = allowed & ((F.size(F.array_intersect("items", "items_a")) + 2) * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
     return x.join(p, (x["bucket"] == p["bucket"]) & allowed).select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
 
@@ -149,8 +155,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             break
         if short is None:
             shared_nodes = live.select("node").distinct()
-            short = checkpointed(traits.select("node", "bands").join(sets, "node").join(shared_nodes, "node", "left_semi").select(
-                "node", "bands", F.transform("items", _short).alias("items")))
+            short = checkpointed(traits.join(sets, "node").join(shared_nodes, "node", "left_semi").select(
+                "node", "bands", "sig", F.transform("items", _short).alias("items")))
         # members of the bucket's largest component first: those that are left have few others to be compared with
         many *= 64
         sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("m"))
