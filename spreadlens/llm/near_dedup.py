@@ -102,15 +102,22 @@ def _short(key: Column) -> Column:
     return key.bitwiseAND(2**31 - 1).cast("int")
 
 
+def _merged(n: Column) -> Column:
+    """How many values of a set of n the cut to 31 bits may merge, but for a chance of about 1e-9. Poisson, of mean n^2 / 2^32:
+    up to 2,000 values three merges are rarer than that, beyond it the bound is the mean, seven deviations and twelve."""
+    mean = n.cast("double") * n / 2.0**32
+    return F.when(n <= 2000, 2.0).otherwise(F.ceil(mean + 7 * F.sqrt(mean) + 12))
+
+
 def _later_pairs(live: DataFrame, pivots: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Pairs of pivots with members of other components. A pair is made in one of the buckets that it shares, that of the
-    first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for two that the cut may have merged."""
+    first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for those that the cut may have merged."""
     p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
     x = live.join(traits, "node")
     allowed = (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
     allowed = allowed & (F.get("bands", F.array_position(F.zip_with("bands", "bands_a", lambda a, b: a == b), True).cast("int") - 1) == _short(x["bucket"]))
     allowed = allowed & _agree("sig", "sig_a", percent)
-    allowed = allowed & ((F.size(F.array_intersect("items", "items_a")) + 2) * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
+    allowed = allowed & ((F.size(F.array_intersect("items", "items_a")) + _merged(F.least("n", "na"))) * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
     return x.join(p, (x["bucket"] == p["bucket"]) & allowed).select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
 
 

@@ -23,3 +23,19 @@ def test_later_pairs_need_like_signatures(spark):
     same, items = np.zeros(200, int), list(range(100))
     assert later(spark, 100, [items, items], [same, same]) == [(1, 2)]
     assert later(spark, 100, [items, items], [same, same + 1]) == []
+
+
+def test_later_pairs_allow_for_merges_of_large_sets(spark):
+    """2,667 of 3,000 items are shared, just the threshold; the cut has merged five of them."""
+    same, common = np.zeros(200, int), list(range(2662))
+    a, b = ([*common, *range(k, k + 333)] for k in (10_000, 20_000))
+    assert later(spark, 3000, [a, b], [same, same]) == [(1, 2)]
+
+
+def test_allowance_follows_the_expected_merges(spark):
+    got = {r["n"]: r["m"] for r in spark.createDataFrame([(100,), (2000,), (100_000,), (1_000_000,)], "n bigint").select("n", near_dedup._merged(near_dedup.F.col("n")).alias("m")).collect()}
+    assert got[100] == got[2000] == 2
+    rng = np.random.default_rng(8)
+    for n in (100_000, 1_000_000):
+        lost = n - len(np.unique(rng.integers(0, 2**31, n)))
+        assert lost <= got[n] <= 4 * n * n / 2**32 + 25
