@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, language_model, near_dedup, quality, repeats, secrets, sentencepiece_codec, sharding, warc
+from . import byte_bpe, collocations, decontaminate, exact_dedup, fill_middle, language_model, near_dedup, quality, repeats, secrets, sentencepiece_codec, sharding, warc
 from .common import documents, whole_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,40 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
     """Quality and toxicity of every document: weak labels, their posterior, the scorer's score, toxic terms and the decision."""
     docs = documents(spark, root)
     return quality.score_quality(docs, toxic=quality.learn_terms(docs, documents(spark, root, "labels"))).withColumnRenamed("id", "doc_id")
+
+@query("op11_fill_in_middle", """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u,
+  sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+ k AS (SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS k1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS k2,
+  ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+ p AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(k1, k2)], '') AS a, array_to_string(u[least(k1, k2) + 1:greatest(k1, k2)], '') AS m, array_to_string(u[greatest(k1, k2) + 1:], '') AS s FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM p""")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with its middle at the end, and restored from that."""
+    return fill_middle.fill_in_middle(documents(spark, root), keep=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_byte_bpe_codec")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of the 50k byte-level vocabulary for every document, and the bytes that they decode to."""
+    return byte_bpe.encode_and_decode(documents(spark, root), tokenizer_file("byte_bpe_50k.tiktoken"), keep=False).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_collocations", """WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM d),
+ g AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) AS v(k) WHERE len(w) >= k),
+ f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase),
+ total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+ cand AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+ cut AS (SELECT c.*, j, array_to_string(s[1:j], ' ') AS h, array_to_string(s[j + 1:], ' ') AS t FROM (SELECT *, string_split(phrase, ' ') AS s FROM cand) c, (VALUES (1), (2)) AS v(j) WHERE j < k),
+ scored AS (SELECT cut.lang, cut.k, cut.phrase, cut.a, x.a AS l, y.a AS r, j, ((1000000::HUGEINT * cut.a * cut.a) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.h AND x.k = j JOIN f y ON y.lang = cut.lang AND y.phrase = cut.t AND y.k = cut.k - j),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ inner_ AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS phrase FROM (SELECT *, string_split(phrase, ' ') AS s FROM cand WHERE k = 3)) GROUP BY lang, phrase),
+ kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase AND b.k = 2 WHERE i.longer IS NULL OR 100 * i.longer < 50 * b.a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN total USING (lang)) WHERE rank <= 2000""")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    """Collocations of two and three words, by language."""
+    return collocations.collocations(documents(spark, root))
