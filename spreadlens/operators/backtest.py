@@ -1,17 +1,20 @@
 """Signals, positions, P&L, ledger and portfolio metrics on long ``(pair, ts)`` tables.
 
-Row groups here are one pair, or one pair inside one walk window; all have the same bounded length
-(bars of the calendar or of the window), so no group is hot.
+Windows here hold one pair, or one pair inside one walk window; all have the same bounded length
+(bars of the calendar or of the window), so no group is hot.  State machines run in chunks of bars.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..core.ordered import BLOCK_ROWS
+from ..core.scan import chunked_scan
+from .machines import BreakMachine, ClassMachine, ExitMachine
+
 c = F.col
 
 
@@ -65,107 +68,29 @@ def hysteresis(df: DataFrame, z: str, keys: Sequence[str], idx: str = "i", enter
     return d.withColumn(out, F.coalesce(F.first("_e", ignorenulls=True).over(g), F.lit(0.0))).drop("_x", "_e", "_g")
 
 
-# ---- state machines whose exits depend on the entry: an ordered scan per group -------------------
-
-def _scan(df: DataFrame, keys: Sequence[str], idx: str, cols: list[str], out: str, step) -> DataFrame:
-    """Apply an ordered scan to each group; ``step(arrays) -> positions``.  Only the key, the index and
-    the inputs travel to Python; the result comes back as one extra column."""
-    types = dict(df.dtypes)
-    keys = list(keys)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, idx]), f"`{out}` double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
-        res = pdf[[*keys, idx]].copy()
-        res[out] = step({x: pdf[x].to_numpy(dtype=float) if pdf[x].dtype != object else pdf[x].to_numpy() for x in cols})
-        return res
-
-    pos = df.select(*keys, idx, *cols).groupBy(*keys).applyInPandas(run, schema)
-    return df.join(pos, [*keys, idx])
-
+# ---- state machines whose exits depend on the entry: machines over chunks of bars -----------------
 
 def class_machine(df: DataFrame, keys: Sequence[str], entry_z: float = 1.5, exit_z: float = 0.5, idx: str = "i",
-                  out: str = "signal") -> DataFrame:
+                  out: str = "signal", chunk_rows: int = BLOCK_ROWS) -> DataFrame:
     """Open on a revert class at |z| >= entry; close on small |z|, a diverge class or a sign flip;
-    the exit bar itself never re-enters."""
-
-    def step(a):
-        z = np.nan_to_num(a["latest_spread_z"])
-        s = np.sign(np.nan_to_num(a["current_spread"]))
-        k = a["pred_class"].astype(int)
-        pos = np.zeros(len(z))
-        held, opened = 0.0, 0.0
-        for n in range(len(z)):
-            if held:
-                if abs(z[n]) <= exit_z or k[n] == 2 or (s[n] != 0 and s[n] != opened):
-                    held = 0.0
-            elif k[n] == 0 and abs(z[n]) >= entry_z and s[n] != 0:
-                held, opened = -s[n], s[n]
-            pos[n] = held
-        return pos
-
-    return _scan(df, keys, idx, ["latest_spread_z", "current_spread", "pred_class"], out, step)
+    the exit bar itself never re-enters.  A missing class opens and closes nothing."""
+    return chunked_scan(df, keys, ClassMachine(entry_z, exit_z, out), idx, chunk_rows)
 
 
 def exit_variants(df: DataFrame, keys: Sequence[str], idx: str = "i", out: str = "position", enter: float = 2.0,
-                  exit_z: float = 0.5) -> DataFrame:
-    """Positions under per-row settings ``stop, exit_mode ('z' | 'time' | 'conv'), max_hold``."""
-
-    def step(a):
-        z, mode = a["z"], a["exit_mode"][0] if len(a["exit_mode"]) else "z"
-        stop, cap = a["stop"][0], a["max_hold"][0]
-        pos = np.zeros(len(z))
-        held, age, side = 0.0, 0, 0.0
-        for n, v in enumerate(z):
-            if not np.isfinite(v):
-                held = 0.0
-            elif held:
-                age += 1
-                done = (abs(v) >= stop or (mode == "z" and abs(v) <= exit_z) or (mode == "time" and age >= cap)
-                        or (mode == "conv" and (np.sign(v) != side or age >= cap)))
-                if done:
-                    held = 0.0
-            elif enter <= abs(v) < stop:
-                side = np.sign(v)
-                held, age = -side, 1
-            pos[n] = held
-        return pos
-
-    return _scan(df, keys, idx, ["z", "exit_mode", "stop", "max_hold"], out, step)
+                  exit_z: float = 0.5, chunk_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Positions under per-key settings ``stop, exit_mode ('z' | 'time' | 'conv'), max_hold``."""
+    return chunked_scan(df, keys, ExitMachine(enter, exit_z, out), idx, chunk_rows)
 
 
 def break_stops(df: DataFrame, keys: Sequence[str], idx: str = "i", out: str = "position", enter: float = 2.0,
                 exit_z: float = 0.5, crash: float | None = None, adverse: float | None = None,
-                loss: float | None = None, halt: bool = False) -> DataFrame:
+                loss: float | None = None, halt: bool = False, chunk_rows: int = BLOCK_ROWS) -> DataFrame:
     """No z-stop, but break stops: long-leg crash, either leg adverse, or position loss; optionally the
     pair halts for the rest of the group after one fires."""
-    lc = -np.log1p(-crash) if crash else np.inf
-    la_ = -np.log1p(-adverse) if adverse else np.inf
-    cap = loss if loss else np.inf
-
-    def step(a):
-        z, la, lb = a["z"], a["la"], a["lb"]
-        ra = np.nan_to_num(np.diff(la, prepend=la[:1]))
-        rb = np.nan_to_num(np.diff(lb, prepend=lb[:1]))
-        pos = np.zeros(len(z))
-        held, a0, b0, pnl, stopped = 0.0, 0.0, 0.0, 0.0, False
-        for n, v in enumerate(z):
-            pnl += held * (ra[n] - rb[n])
-            if not np.isfinite(v):
-                held, pnl = 0.0, 0.0
-            elif held:
-                # moves in favour of the position: long leg up, short leg down
-                up, down = (la[n] - a0, lb[n] - b0) if held > 0 else (lb[n] - b0, la[n] - a0)
-                broke = abs(v) > exit_z and (up < -lc or up < -la_ or down > la_ or pnl < -cap)
-                if abs(v) <= exit_z or broke:
-                    held, pnl = 0.0, 0.0
-                    stopped = stopped or (broke and halt)
-            elif not stopped and abs(v) >= enter:
-                held, a0, b0, pnl = -np.sign(v), la[n], lb[n], 0.0
-            pos[n] = held
-        return pos
-
-    return _scan(df, keys, idx, ["z", "la", "lb"], out, step)
+    fall = -math.log1p(-crash) if crash else math.inf
+    rise = -math.log1p(-adverse) if adverse else math.inf
+    return chunked_scan(df, keys, BreakMachine(enter, exit_z, min(fall, rise), rise, loss or math.inf, halt, out), idx, chunk_rows)
 
 
 # ---- P&L -----------------------------------------------------------------------------------------

@@ -3,28 +3,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core.ordered import block_window, core_rows, halo_blocks
-from .backtest import _scan
+from ..core.ordered import BLOCK_ROWS, block_window, core_rows, halo_blocks
+from ..core.scan import chunked_scan
+from .machines import CooldownMachine
 
 c = F.col
 
 
-def cooldown(events: DataFrame, keys: Sequence[str], gap: int, idx: str = "i") -> DataFrame:
-    """Greedy thinning: an event counts when at least ``gap`` bars passed since the last counted one.
-    Only event rows are scanned, per pair."""
-
-    def step(a):
-        keep, last = np.zeros(len(a[idx + "_"])), -np.inf
-        for n, v in enumerate(a[idx + "_"]):
-            if v - last >= gap:
-                keep[n], last = 1.0, v
-        return keep
-
-    d = _scan(events.withColumn(idx + "_", c(idx)), keys, idx, [idx + "_"], "_keep", step)
-    return d.where("_keep = 1").drop("_keep", idx + "_")
+def cooldown(events: DataFrame, keys: Sequence[str], gap: int, idx: str = "i", chunk_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Greedy thinning: an event counts when at least ``gap`` bars passed since the last counted one."""
+    return chunked_scan(events, keys, CooldownMachine(gap, idx), idx, chunk_rows).where("_keep").drop("_keep")
 
 
 def reversion_events(z: DataFrame, keys: Sequence[str], horizon: int, gap: int, threshold: float = 2.0, idx: str = "i") -> DataFrame:
