@@ -1,8 +1,7 @@
 """Unit-root, whiteness and dynamic-hedge screens over many pairs.
 
 Tests reduce a series to a Gram matrix per block of bars, sum the blocks per pair, and solve one small
-system per pair.  The dynamic hedge is a true recursion, so it scans one pair's window per group;
-parallelism comes from the number of pairs and windows.
+system per pair.  The dynamic hedge is a recursion whose chunks combine like filtering elements of a scan.
 """
 from __future__ import annotations
 
@@ -12,8 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..core.ordered import block_window, core_rows, halo_blocks
+from ..core.ordered import BLOCK_ROWS, block_window, core_rows, halo_blocks
+from ..core.scan import chunked_scan
 from ..core.session import checkpointed
+from .filtering import FilterMachine, GridMachine
 from ..functions.tails import chi2_sf, unit_root_p
 
 c = F.col
@@ -93,97 +94,67 @@ def ljung_box(df: DataFrame, keys: Sequence[str], value: str, lags: int = 20, id
 
 # ---- dynamic hedge -------------------------------------------------------------------------------------
 
-def _filter(y, x, qa, qb, r, a, b, p):
-    """Scan one series for one or many parameter sets at once (arrays broadcast); returns paths and NLL."""
-    p00, p01, p11 = p
-    n = len(y)
-    A, B, E, V0, V1 = (np.empty((n,) + np.shape(qa)) for _ in range(5))
-    nll = np.zeros(np.shape(qa))
-    for t in range(n):
-        p00, p11 = p00 + qa, p11 + qb
-        e = y[t] - a - b * x[t]
-        s = p00 + 2 * x[t] * p01 + x[t] * x[t] * p11 + r
-        ok = np.isfinite(s) & (s > 0)
-        safe = np.where(ok, s, 1.0)
-        k0, k1 = np.where(ok, (p00 + x[t] * p01) / safe, 0.0), np.where(ok, (p01 + x[t] * p11) / safe, 0.0)
-        h0, h1 = p00 + x[t] * p01, p01 + x[t] * p11
-        nll = nll + np.where(ok, 0.5 * (np.log(2 * np.pi * safe) + e * e / safe), 1e12)
-        a, b = a + k0 * e, b + k1 * e
-        p00, p01, p11 = p00 - k0 * h0, p01 - k0 * h1, p11 - k1 * h1
-        A[t], B[t], E[t], V0[t], V1[t] = a, b, e, p00, p11
-    return A, B, E, V0, V1, nll, (a, b), (p00, p01, p11)
-
-
-PATH = "alpha_t double, beta_t double, innovation double, var_alpha double, var_beta double"
-
-
-def dynamic_hedge(legs: DataFrame, q_alpha: float = 1e-7, q_beta: float = 1e-5, p0: float = 1.0, keys: Sequence[str] = ("pair",)) -> DataFrame:
-    """Filtered intercept, slope, one-step residual and state variances with default noise; the prior and
-    the observation noise come from OLS over the group."""
-    keys = list(keys)
-    types = dict(legs.dtypes)
+_GRID = (np.linspace(-20, -2, 7), np.linspace(-20, -2, 7), np.linspace(-3, 1, 5))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        y, x = pdf["la"].to_numpy(), pdf["lb"].to_numpy()
-        b0 = np.cov(x, y)[0, 1] / max(np.var(x, ddof=1), 1e-300)
-        a0 = y.mean() - b0 * x.mean()
-        r = np.var(y - a0 - b0 * x, ddof=1)
-        A, B, E, V0, V1, *_ = _filter(y, x, q_alpha, q_beta, r if r > 0 else 1e-4, a0, b0, (p0, 0.0, p0))
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "i": pdf["i"], "alpha_t": A, "beta_t": B, "innovation": E, "var_alpha": V0, "var_beta": V1})
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "i bigint", PATH])
-    return legs.select(*keys, "i", "la", "lb").groupBy(*keys).applyInPandas(run, schema)
+def _ols(legs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Prior and residual variance per key, and its number of rows."""
+    x, y = c("lb"), c("la")
+    slope = F.covar_samp("lb", "la") / F.greatest(F.var_samp("lb"), F.lit(1e-300))
+    g = legs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), slope.alias("beta_ols"))
+    g = g.withColumn("alpha_ols", c("_my") - c("beta_ols") * c("_mx"))
+    v = legs.join(g, list(keys)).groupBy(*keys).agg(F.var_samp(y - c("alpha_ols") - c("beta_ols") * x).alias("_rv"))
+    return g.select(*keys, "_n", "alpha_ols", "beta_ols").join(v, list(keys))
 
 
-FIT = ["q_alpha", "q_beta", "r", "nll", "state_a", "state_b", "p00", "p01", "p11", "alpha_ols", "beta_ols"]
-_GRID = (np.linspace(-20, -2, 7), np.linspace(-20, -2, 7), np.linspace(-3, 1, 5))
+def dynamic_hedge(legs: DataFrame, q_alpha: float = 1e-7, q_beta: float = 1e-5, p0: float = 1.0, keys: Sequence[str] = ("pair",),
+                  chunk_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Filtered intercept, slope, one-step residual and state variances with default noise; the prior and
+    the observation noise come from OLS over the key."""
+    keys = list(keys)
+    d = legs.select(*keys, "i", "la", "lb").join(_ols(legs, keys), keys)
+    d = d.select(*keys, "i", "la", "lb", F.lit(q_alpha).alias("q_alpha"), F.lit(q_beta).alias("q_beta"), F.when(c("_rv") > 0, c("_rv")).otherwise(1e-4).alias("r"),
+                 c("alpha_ols").alias("state_a"), c("beta_ols").alias("state_b"), F.lit(p0).alias("p00"), F.lit(0.0).alias("p01"), F.lit(p0).alias("p11"))
+    return chunked_scan(d, keys, FilterMachine(), "i", chunk_rows).select(*keys, "i", *FilterMachine.shown)
+
 
+def fit_dynamic_hedge(train: DataFrame, keys: Sequence[str] = ("pair",), min_rows: int = 30, chunk_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Noise calibration by likelihood on the train rows: a log grid and one finer pass around its best cell.
 
-def fit_dynamic_hedge(train: DataFrame, keys: Sequence[str] = ("pair",), min_rows: int = 30) -> DataFrame:
-    """Noise calibration by likelihood on the train rows: a log grid and one finer pass around its best
-    cell, all cells of a pair in one array scan.  The observation noise is relative to the OLS residual."""
+    The observation noise is relative to the OLS residual.  A task scores all cells on one chunk; a key's cells are
+    sums over its chunks, and the smallest wins (of equal ones the first)."""
     keys = list(keys)
-    types = dict(train.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        y, x = pdf["la"].to_numpy(), pdf["lb"].to_numpy()
-        if len(y) < min_rows:
-            return pd.DataFrame(columns=[*keys, *FIT])
-        b0 = np.cov(x, y)[0, 1] / max(np.var(x, ddof=1), 1e-300)
-        a0 = y.mean() - b0 * x.mean()
-        lr = np.log(max(np.var(y - a0 - b0 * x, ddof=1), 1e-8))
-        axes = [_GRID[0], _GRID[1], lr + _GRID[2]]
-        best = None
-        for _ in range(2):
-            qa, qb, r = (np.exp(v) for v in (m.ravel() for m in np.meshgrid(*axes, indexing="ij")))
-            *_p, nll, _s, _c = _filter(y, x, qa, qb, r, a0, b0, (1.0, 0.0, 1.0))
-            k = int(np.argmin(nll))
-            best = (qa[k], qb[k], r[k], float(nll[k]))
-            axes = [np.log(v) + np.linspace(-1, 1, 5) * (ax[1] - ax[0]) for v, ax in zip(best[:3], axes)]
-        *_p, state, cov = _filter(y, x, best[0], best[1], best[2], a0, b0, (1.0, 0.0, 1.0))
-        vals = [*best, *map(float, state), *map(float, cov), a0, b0]
-        return pd.DataFrame([{**{q: pdf[q].iloc[0] for q in keys}, **dict(zip(FIT, vals))}])
-
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"{f} double" for f in FIT)])
-    return train.select(*keys, "i", "la", "lb").groupBy(*keys).applyInPandas(run, schema)
-
-
-def forward_hedge(test: DataFrame, fitted: DataFrame, keys: Sequence[str] = ("pair",), from_prior: bool = False) -> DataFrame:
+    legs = checkpointed(train.select(*keys, "i", "la", "lb"))
+    prior = _ols(legs, keys).where(c("_n") >= min_rows).select(*keys, "alpha_ols", "beta_ols", F.log(F.greatest("_rv", F.lit(1e-8))).alias("_lr"))
+    axes = [F.array(*[F.lit(float(v)) for v in _GRID[0]]), F.array(*[F.lit(float(v)) for v in _GRID[1]]), F.array(*[c("_lr") + float(v) for v in _GRID[2]])]
+    names = ["q_alpha", "q_beta", "r"]
+    grid = checkpointed(prior.select(*keys, "alpha_ols", "beta_ols", *[a.alias(f"_x_{n}") for a, n in zip(axes, names)]))
+    for last in (False, True):
+        cells = chunked_scan(legs.join(grid, keys), keys, GridMachine(), "i", chunk_rows, keep_rows=False)
+        best = cells.groupBy(*keys, "cell").agg(F.sum("nll").alias("nll")).groupBy(*keys).agg(F.min(F.struct("nll", "cell")).alias("b")).select(*keys, "b.*")
+        sizes = [F.size(f"_x_{n}") for n in names]
+        at = [F.floor(c("cell") / (sizes[1] * sizes[2])), F.floor(c("cell") / sizes[2]) % sizes[1], c("cell") % sizes[2]]
+        picked = best.join(grid, keys)
+        values = {n: F.element_at(f"_x_{n}", (k + 1).cast("int")) for n, k in zip(names, at)}
+        if last:
+            break
+        finer = {n: F.array(*[values[n] + float(v) * (c(f"_x_{n}")[1] - c(f"_x_{n}")[0]) for v in np.linspace(-1, 1, 5)]) for n in names}
+        grid = checkpointed(picked.select(*keys, "alpha_ols", "beta_ols", *[x.alias(f"_x_{n}") for n, x in finer.items()]))
+    fit = picked.select(*keys, *[F.exp(v).alias(n) for n, v in values.items()], "nll", "alpha_ols", "beta_ols")
+    start = {"state_a": c("alpha_ols"), "state_b": c("beta_ols"), "p00": F.lit(1.0), "p01": F.lit(0.0), "p11": F.lit(1.0)}
+    run = chunked_scan(legs.join(fit.drop("nll"), keys).withColumns(start), keys, FilterMachine(), "i", chunk_rows)
+    end = run.groupBy(*keys).agg(F.max_by(F.struct("alpha_t", "beta_t", "var_alpha", "cov_ab", "var_beta"), "i").alias("e"))
+    state = [c(f"e.{a}").alias(b) for a, b in zip(("alpha_t", "beta_t", "var_alpha", "cov_ab", "var_beta"), start)]
+    return fit.join(end, keys).select(*keys, "q_alpha", "q_beta", "r", "nll", *state, "alpha_ols", "beta_ols")
+
+
+def forward_hedge(test: DataFrame, fitted: DataFrame, keys: Sequence[str] = ("pair",), from_prior: bool = False, chunk_rows: int = BLOCK_ROWS) -> DataFrame:
     """Roll the fitted filter over later rows (or, ``from_prior``, over the train rows themselves)."""
     keys = list(keys)
-    types = dict(test.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        f = pdf.iloc[0]
-        start = (f["alpha_ols"], f["beta_ols"], (1.0, 0.0, 1.0)) if from_prior else (f["state_a"], f["state_b"], (f["p00"], f["p01"], f["p11"]))
-        A, B, E, V0, V1, *_ = _filter(pdf["la"].to_numpy(), pdf["lb"].to_numpy(), f["q_alpha"], f["q_beta"], f["r"], *start)
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "i": pdf["i"], "alpha_t": A, "beta_t": B, "innovation": E, "var_alpha": V0, "var_beta": V1})
-
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "i bigint", PATH])
-    return test.select(*keys, "i", "la", "lb").join(fitted, keys).groupBy(*keys).applyInPandas(run, schema)
+    d = test.select(*keys, "i", "la", "lb").join(fitted, keys)
+    if from_prior:
+        d = d.withColumns({"state_a": c("alpha_ols"), "state_b": c("beta_ols"), "p00": F.lit(1.0), "p01": F.lit(0.0), "p11": F.lit(1.0)})
+    return chunked_scan(d.select(*keys, "i", *FilterMachine.columns), keys, FilterMachine(), "i", chunk_rows).select(*keys, "i", *FilterMachine.shown)
 
 
 def train_test_screen(legs: DataFrame, cut, lags: int = 24, min_train: int = 200, min_test: int = 100, burn_in: int = 50) -> DataFrame:
