@@ -1,10 +1,9 @@
-"""Baselines, boosted trees, scoring and regimes on sample tables."""
+"""Baselines, boosted trees, scoring and regime masks on sample tables."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -96,17 +95,6 @@ def walk_forward(samples: DataFrame, windows: DataFrame, features: Sequence[str]
     return out
 
 
-def regimes(train: DataFrame, rows: DataFrame, features: Sequence[str], vol: str, k: int = 2) -> DataFrame:
-    """Mixture regimes fitted on the train part; the state with the lowest mean volatility is the
-    mean-reverting one."""
-    va = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip")
-    m = GaussianMixture(featuresCol="_x", k=k, seed=7, predictionCol="state").fit(va.transform(train))
-    states = m.transform(va.transform(train)).groupBy("state").agg(F.avg(vol).alias("v"))
-    calm = states.orderBy("v", "state").limit(1).select(c("state").alias("_calm"))
-    d = m.transform(va.transform(rows)).drop("_x", "probability")
-    return d.join(F.broadcast(calm)).withColumn("mean_reverting_state", c("state") == c("_calm")).drop("_calm")
-
-
 def mask_regime(pred: DataFrame) -> DataFrame:
     """Rows outside the mean-reverting state become class 1."""
     return pred.withColumn("pred_class", F.when(c("mean_reverting_state"), c("pred_class")).otherwise(1))

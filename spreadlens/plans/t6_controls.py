@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core.ordered import DAY_US, block_window, core_rows, halo_blocks
-from ..operators import backtest as T, controls as C, events as V, features as X, inference as I, ml as M, pairs as P, panel as N, screens as S, walk as W
+from ..operators import backtest as T, controls as C, events as V, features as X, inference as I, ml as M, pairs as P, panel as N, regimes as G, screens as S, walk as W
 from .base_tables import daily_panel, pair_legs, selected_pairs, spreads
 from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t1_sources import windows
@@ -326,10 +326,36 @@ def _(t):
     return M.importances(m, X.TABULAR, t.spark)
 
 
+REGIMES = G.RegimeConfig(iterations=20)
+
+
+def hidden_regimes(t):
+    """(states of all rows, models) of every pair; the models see rows before the cut alone."""
+    made = []
+
+    def once():
+        if not made:
+            made.extend(G.regimes(ready(t).withColumn("early", c("ts") < F.lit(CUT).cast("timestamp")), "early", cfg=REGIMES))
+        return made
+
+    return t.store("regime_states", lambda: once()[0]), t.store("regime_models", lambda: once()[1])
+
+
 @query("ml7_regimes")
 def _(t):
-    s, cut = ready(t), F.lit(CUT).cast("timestamp")
-    d = M.regimes(s.where(c("ts") < cut), s.where(c("ts") >= cut), ["spread_diff_1", "spread_vol_24"], "spread_vol_24")
+    """Raw and masked calls after the cut, per pair."""
+    s = ready(t).where(c("ts") >= F.lit(CUT).cast("timestamp")).withColumn("i", c("i").cast("bigint"))
+    d = s.join(hidden_regimes(t)[0], ["pair", "i"], "left").withColumn("mean_reverting_state", F.coalesce("mean_reverting_state", F.lit(False)))
     d = d.withColumn("pred_class", T.baseline_rule("spread_z")).withColumn("y_class", F.when(c("target_abs_change") < 0, 0).otherwise(2))
-    raw, masked = M.scores(d).withColumn("kind", F.lit("raw")), M.scores(M.mask_regime(d)).withColumn("kind", F.lit("filtered"))
+    raw, masked = M.scores(d, ["pair"]).withColumn("kind", F.lit("raw")), M.scores(M.mask_regime(d), ["pair"]).withColumn("kind", F.lit("filtered"))
     return raw.unionByName(masked)
+
+
+@query("ml7_transitions")
+def _(t):
+    return G.model_table(hidden_regimes(t)[1], ["pair"], REGIMES)
+
+
+@query("ml7_states")
+def _(t):
+    return hidden_regimes(t)[0]
