@@ -12,14 +12,14 @@ def daily_panel(t: Tables) -> DataFrame:
     return t.store("panel", lambda: N.close_panel(t.daily, DAY_US, min_coverage=0.5))
 
 
-def selected_pairs(t: Tables, top_n: int | None = 10) -> DataFrame:
+def selected_pairs(t: Tables, top_n: int | None = None) -> DataFrame:
     return t.store(f"pairs_{top_n}", lambda: P.score_candidates(P.pair_moments(daily_panel(t)), 0.2, top_n).select(
         "pair", "sym_a", "sym_b", "corr", "alpha", "beta", "spread_vol"))
 
 
-def pair_legs(t: Tables, top_n: int | None = 10) -> DataFrame:
+def pair_legs(t: Tables, top_n: int | None = None) -> DataFrame:
     return P.pair_legs(daily_panel(t), selected_pairs(t, top_n), ["close", "lp", "volume_usdt"])
 
 
-def spreads(t: Tables, top_n: int | None = 10) -> DataFrame:
+def spreads(t: Tables, top_n: int | None = None) -> DataFrame:
     return P.static_spread(pair_legs(t, top_n)).withColumnRenamed("lp_a", "la").withColumnRenamed("lp_b", "lb")

@@ -70,7 +70,7 @@ SELECT pair, sym_a, sym_b, corr(ra, rb) AS corr, regr_intercept(la, lb) AS alpha
        count(*) AS n
 FROM v_pair_rows GROUP BY pair, sym_a, sym_b"""
 
-VIEWS["v_pairs"] = "SELECT * FROM v_pair_fit WHERE corr >= 2e-1 ORDER BY corr DESC, pair LIMIT 10"
+VIEWS["v_pairs"] = "SELECT * FROM v_pair_fit WHERE corr >= 2e-1"
 
 VIEWS["v_spread"] = """
 SELECT r.pair, r.sym_a, r.sym_b, r.ts, r.i, r.close_a, r.close_b, r.la, r.lb, r.ra, r.rb, r.vol_a, r.vol_b,
