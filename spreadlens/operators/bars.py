@@ -81,11 +81,25 @@ def bars(book: DataFrame, trades: DataFrame | None, step_us: int, depth: int = 5
 
 def pair_bars(all_bars: DataFrame, pairs: DataFrame) -> DataFrame:
     """Both legs' bars on the shared bar times, suffixed ``_a`` / ``_b``."""
-    cols = [x for x in all_bars.columns if x not in ("symbol", "ts")]
-    a = all_bars.select(c("symbol").alias("sym_a"), "ts", *[c(x).alias(f"{x}_a") for x in cols])
-    b = all_bars.select(c("symbol").alias("sym_b"), "ts", *[c(x).alias(f"{x}_b") for x in cols])
-    p = pairs.select("pair", "sym_a", "sym_b")
-    return p.join(a, "sym_a").join(p.select("pair", "sym_b").join(b, "sym_b").drop("sym_b"), ["pair", "ts"])
+    return pair_legs(all_bars, pairs.select("pair", "sym_a", "sym_b"), "ts")
+
+
+SALTS = 16
+
+
+def fan_out(rows: DataFrame, pairs: DataFrame, leg: str, at: str) -> DataFrame:
+    """A leg's rows once for each pair it belongs to.  A busy symbol is dealt over ``SALTS`` join keys by time."""
+    salt = F.pmod(F.xxhash64(at), F.lit(SALTS)).cast("int")
+    p = pairs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumnRenamed("symbol", f"sym_{leg}").withColumn("_salt", salt).join(p, [f"sym_{leg}", "_salt"]).drop("_salt")
+
+
+def pair_legs(rows: DataFrame, pairs: DataFrame, at: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Both legs' rows of every pair where they share ``at`` (and ``keys``); other columns get ``_a`` / ``_b``."""
+    cols = [x for x in rows.columns if x not in ("symbol", at, *keys)]
+    leg = lambda x: rows.select("symbol", at, *keys, *[c(v).alias(f"{v}_{x}") for v in cols])
+    b = fan_out(leg("b"), pairs.select("pair", "sym_b"), "b", at).drop("sym_b")
+    return fan_out(leg("a"), pairs, "a", at).join(b, ["pair", *keys, at])
 
 
 def dense_mid(book: DataFrame, step_us: int, extra: dict[str, Column] | None = None) -> DataFrame:

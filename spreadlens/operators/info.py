@@ -232,18 +232,34 @@ def impact_decomposition(summary: DataFrame, last_h: int, keys: Sequence[str] =
             "transient": c("peak") - c("permanent"), "permanent_pct": 100 * c("permanent") / F.nullif(c("peak"), F.lit(0.0))})
 
 
-def two_leg_flow(a: DataFrame, b: DataFrame, beta: float, trail: int) -> DataFrame:
-    """Dense two-leg flow of a pair: per-bar normalised flow ``fa - beta fb`` and its trailing sum."""
-    leg = lambda d, x: d.select("day", "i", c("lm").alias(f"lm_{x}"), c("trade_ofi").alias(f"sv_{x}"), (c("buy") + c("sell")).alias(f"v_{x}"))
-    d = leg(a, "a").join(leg(b, "b"), ["day", "i"])
+def two_leg_flow(dense: DataFrame, pairs: DataFrame, trail: int, rows: int = 86_400) -> DataFrame:
+    """Dense two-leg flow of every pair in ``pairs`` (pair, sym_a, sym_b, beta): per-bar normalised flow
+    ``fa - beta fb`` and its trailing sum."""
+    from .bars import pair_legs
+    d = pair_legs(dense.select("symbol", "day", "i", "lm", c("trade_ofi").alias("sv"), (c("buy") + c("sell")).alias("v")), pairs, "i", ["day"])
+    beta = c("beta")
     norm = lambda x: F.when(c(f"v_{x}") > 0, c(f"sv_{x}") / c(f"v_{x}")).otherwise(0.0)
     d = d.withColumns({"spread": c("lm_a") - beta * c("lm_b"), "flow": norm("a") - beta * norm("b"),
                        "flow_raw": c("sv_a") - beta * c("sv_b")})
-    h = halo_blocks(d, "i", back=trail, rows=86_400)
-    w = block_window([], "i").rowsBetween(-(trail - 1), 0)
+    h = halo_blocks(d, "i", back=trail, rows=rows)
+    w = block_window(["pair"], "i").rowsBetween(-(trail - 1), 0)
     return core_rows(h.withColumns({"ofi": F.sum("flow").over(w), "ofi_raw": F.sum("flow_raw").over(w)}))
 
 
+def spread_return_on_flow(flow: DataFrame, horizons: Sequence[int], now_lag: int = 5, rows: int = 86_400) -> DataFrame:
+    """Spread returns in bps on trailing two-leg flow, per pair: the last bar's (``now``) and each horizon's, with
+    Newey-West t values whose lag is the horizon.  Returns pair, h, slope_bps, t, r2, n."""
+    from .inference import ols_hac
+    h = halo_blocks(flow.select("pair", "i", "spread", "ofi"), "i", back=1, fwd=max(horizons), rows=rows)
+    w = block_window(["pair"], "i")
+    d = core_rows(h.withColumns({"_now": (c("spread") - F.lag("spread").over(w)) * 1e4, **{f"_h{k}": (F.lead("spread", k).over(w) - c("spread")) * 1e4 for k in horizons}}))
+    out = None
+    for name, y, lag in [("now", "_now", now_lag), *[(f"h{k}", f"_h{k}", max(1, k)) for k in horizons]]:
+        r = ols_hac(d, ["pair"], y, ["ofi"], lag, standardise=False).select("pair", F.lit(name).alias("h"), c("b")[1].alias("slope_bps"), c("t")[1].alias("t"), "r2", "n")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def lead_lag(returns: DataFrame, leader: str, max_lag: int) -> DataFrame:
     """Correlation of the leader's return with each follower's return ``lag`` bars later; gap-aware because
     the join is on the bar number."""

@@ -1,10 +1,10 @@
 """Shared DataFrames of the registered queries (the Spark side of the oracle's common CTEs)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..core.ordered import DAY_US
-from ..operators import pairs as P, panel as N
+from ..operators import bars as B, pairs as P, panel as N
 from ..sources.adapters import Tables
 
 
@@ -21,5 +21,16 @@ def pair_legs(t: Tables, top_n: int | None = None) -> DataFrame:
     return P.pair_legs(daily_panel(t), selected_pairs(t, top_n), ["close", "lp", "volume_usdt"])
 
 
+def tape_pairs(t: Tables) -> DataFrame:
+    """Every unordered pair of the tape's symbols, with the hedge of their hourly closes."""
+    def build():
+        s = t.bars_1h.select("symbol").distinct()
+        p = s.select(F.col("symbol").alias("sym_a")).join(s.select(F.col("symbol").alias("sym_b")), F.col("sym_a") < F.col("sym_b"))
+        p = p.withColumn("pair", F.concat_ws("_", "sym_a", "sym_b"))
+        legs = B.pair_legs(t.bars_1h.select("symbol", "ts", F.log("close").alias("lc")), p, "ts")
+        return legs.groupBy("pair", "sym_a", "sym_b").agg(F.round(F.regr_slope("lc_a", "lc_b"), 6).alias("beta"))
+    return t.store("tape_pairs", build)
+
+
 def spreads(t: Tables, top_n: int | None = None) -> DataFrame:
     return P.static_spread(pair_legs(t, top_n)).withColumnRenamed("lp_a", "la").withColumnRenamed("lp_b", "lb")

@@ -267,13 +267,12 @@ def _(t):
 
 
 @query("pan9_wide_and_long", """
-SELECT ts, max(close) FILTER (symbol = 'S0') AS S0, max(close) FILTER (symbol = 'S1') AS S1, max(close) FILTER (symbol = 'S2') AS S2
-FROM v_bars_1h WHERE symbol IN ('S0', 'S1', 'S2') GROUP BY ts""")
+PIVOT (SELECT symbol, ts, close FROM v_bars_1h) ON symbol IN ('S0', 'S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7') USING max(close) GROUP BY ts""")
 def _(t):
-    long = t.bars_1h.where(F.col("symbol").isin("S0", "S1", "S2"))
-    wide = long.groupBy("ts").pivot("symbol", ["S0", "S1", "S2"]).agg(F.max("close"))
-    back = wide.unpivot("ts", ["S0", "S1", "S2"], "symbol", "close")
-    return back.groupBy("ts").pivot("symbol", ["S0", "S1", "S2"]).agg(F.max("close"))
+    wide = t.bars_1h.groupBy("ts").pivot("symbol").agg(F.max("close"))
+    symbols = wide.columns[1:]
+    back = wide.unpivot("ts", symbols, "symbol", "close")
+    return back.groupBy("ts").pivot("symbol", symbols).agg(F.max("close"))
 
 
 @query("pan10_dedupe", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..core.ordered import DAY_US, HOUR_US, MINUTE_US
 from ..operators import bars as B, book as K, tape as Q
-from .base_tables import daily_panel, selected_pairs  # noqa: F401
+from .base_tables import tape_pairs
 from .registry import query, rnd, rnd_sql as R, rounded
 
 c = F.col
@@ -259,10 +259,9 @@ def _(t):
 
 
 @query("bar5_pair_bars", f"""SELECT a.symbol || '_' || b.symbol AS pair, a.ts, {R('a.midprice')} AS mid_a, {R('b.midprice')} AS mid_b, {R('a.signed_notional', 2)} AS flow_a, {R('b.signed_notional', 2)} AS flow_b
-FROM v_bars15 a JOIN v_bars15 b ON a.ts = b.ts AND ((a.symbol = 'S0' AND b.symbol = 'S1') OR (a.symbol = 'S2' AND b.symbol = 'S5'))""")
+FROM v_bars15 a JOIN v_bars15 b ON a.ts = b.ts AND a.symbol < b.symbol""")
 def _(t):
-    pairs = t.spark.createDataFrame([("S0_S1", "S0", "S1"), ("S2_S5", "S2", "S5")], "pair string, sym_a string, sym_b string")
-    d = B.pair_bars(B.bars(t.book, t.trades, M15), pairs)
+    d = B.pair_bars(B.bars(t.book, t.trades, M15), tape_pairs(t))
     return d.select("pair", "ts", rnd("midprice_a").alias("mid_a"), rnd("midprice_b").alias("mid_b"),
                     rnd("signed_notional_a", 2).alias("flow_a"), rnd("signed_notional_b", 2).alias("flow_b"))
 
@@ -326,15 +325,14 @@ def _(t):
     return rounded(d, "ofi_norm")
 
 
-MIN_SPREAD = """WITH sm AS (SELECT a.symbol || '_' || b.symbol AS pair, a.i, a.ts, ln(a.mid) - 8e-1 * ln(b.mid) AS sp FROM v_minute a JOIN v_minute b ON a.i = b.i AND a.symbol = 'S0' AND b.symbol = 'S1' WHERE a.mid IS NOT NULL AND b.mid IS NOT NULL)"""
+MIN_SPREAD = """WITH sm AS (SELECT a.symbol || '_' || b.symbol AS pair, a.i, a.ts, ln(a.mid) - p.beta * ln(b.mid) AS sp FROM v_legs p JOIN v_minute a ON a.symbol = p.sym_a JOIN v_minute b ON b.symbol = p.sym_b AND a.i = b.i WHERE a.mid IS NOT NULL AND b.mid IS NOT NULL)"""
 
 
 def minute_spread(t):
-    """Minute spread of two symbols with a fixed hedge, on the dense day grid."""
+    """Minute spread of every pair with its hedge, on the dense day grid."""
     d = B.dense_mid(t.book, MINUTE_US).where("mid IS NOT NULL").select("symbol", "i", "ts", F.log("mid").alias("lm"))
-    a = d.where("symbol = 'S0'").select("i", "ts", c("lm").alias("la"))
-    b = d.where("symbol = 'S1'").select("i", c("lm").alias("lb"))
-    return a.join(b, "i").select(F.lit("S0_S1").alias("pair"), "i", "ts", (c("la") - 0.8 * c("lb")).alias("spread"))
+    d = B.pair_legs(d, tape_pairs(t), "i", ["ts"])
+    return d.select("pair", "i", "ts", (c("lm_a") - c("beta") * c("lm_b")).alias("spread"))
 
 
 @query("bar11_spread_targets", MIN_SPREAD + f""", d AS (SELECT *, CASE WHEN lag(i) OVER w = i - 1 OR true THEN sp - lag(sp) OVER w END AS d FROM sm WINDOW w AS (PARTITION BY pair ORDER BY i))

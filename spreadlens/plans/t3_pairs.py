@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..core.ordered import DAY_US, HOUR_US, block_window, core_rows, halo_blocks
-from ..operators import backtest as T, features as X, inference as I, pairs as P, panel as N
-from .base_tables import daily_panel, pair_legs, selected_pairs, spreads
+from ..operators import backtest as T, bars as B, features as X, inference as I, pairs as P, panel as N
+from .base_tables import daily_panel, pair_legs, selected_pairs, spreads, tape_pairs
 from .registry import query, rnd, rnd_sql as R, rounded
 from .t1_sources import win_sql, windows
 
@@ -237,11 +237,9 @@ def _(t):
     return t.book.select("seq", rnd(F.aggregate(F.slice(sz, 1, 3), F.lit(0.0), lambda a, x: a + x), 2).alias("top3"), rnd(gap[1], 4).alias("gap2"))
 
 
-@query("exp16_suffix_self_join", "SELECT a.ts, a.close AS close_a, b.close AS close_b FROM v_bars_1h a JOIN v_bars_1h b ON a.ts = b.ts WHERE a.symbol = 'S0' AND b.symbol = 'S4'")
+@query("exp16_suffix_self_join", "SELECT a.symbol || '_' || b.symbol AS pair, a.ts, a.close AS close_a, b.close AS close_b FROM v_bars_1h a JOIN v_bars_1h b ON a.ts = b.ts WHERE a.symbol < b.symbol")
 def _(t):
-    d = t.bars_1h
-    leg = lambda s, x: d.where(c("symbol") == s).select("ts", "close").withColumnsRenamed({"close": f"close_{x}"})
-    return leg("S0", "a").join(leg("S4", "b"), "ts")
+    return B.pair_legs(t.bars_1h.select("symbol", "ts", "close"), tape_pairs(t), "ts").select("pair", "ts", "close_a", "close_b")
 
 
 # ---- joins, aggregates, windows, sets ------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 from ..core.ordered import DAY_US, HOUR_US, MINUTE_US
 from ..operators import bars as B, book as K, execution as E, inference as I, info as N, tape as Q
 from ..operators.panel import bar_index
+from .base_tables import tape_pairs
 from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t2_book_tape import PRICE_FEATS, VAR_SQL, walk_sql
 
@@ -153,21 +154,16 @@ def _(t):
     return d.select("symbol", "ts", "volume_quote", "trade_intensity", "order_flow_imbalance", "vpin", "kyle_lambda", "quoted_spread_bps")
 
 
-def legs8(t):
-    return t.spark.createDataFrame([("S0_S1", "S0", "S1"), ("S2_S5", "S2", "S5")], "pair string, sym_a string, sym_b string")
-
-
-@query("inf8_enrich_pairs", _INFO + f""" SELECT a.symbol || '_' || b.symbol AS pair, a.ts, {R('ia.ofi')} AS ofi_a, {R('ib.vpin')} AS vpin_b FROM v_bars_1h a JOIN v_bars_1h b ON a.ts = b.ts AND a.symbol = 'S0' AND b.symbol = 'S1'
+@query("inf8_enrich_pairs", _INFO + f""" SELECT a.symbol || '_' || b.symbol AS pair, a.ts, {R('ia.ofi')} AS ofi_a, {R('ib.vpin')} AS vpin_b FROM v_bars_1h a JOIN v_bars_1h b ON a.ts = b.ts AND a.symbol < b.symbol
  LEFT JOIN inf ia ON ia.symbol = a.symbol AND ia.ts = a.ts LEFT JOIN inf ib ON ib.symbol = b.symbol AND ib.ts = b.ts""")
 def _(t):
-    p = legs8(t).where("pair = 'S0_S1'")
-    d = B.pair_bars(t.bars_1h.select("symbol", "ts", "close"), p)
+    d = B.pair_bars(t.bars_1h.select("symbol", "ts", "close"), tape_pairs(t))
     return N.enrich_pairs(d, info(t)).select("pair", "ts", rnd("micro_order_flow_imbalance_a").alias("ofi_a"), rnd("micro_vpin_b").alias("vpin_b"))
 
 
-@query("inf9_cross_leg", _INFO + f" SELECT a.symbol || '_' || b.symbol AS pair, a.ts, {R('a.ofi - b.ofi')} AS ofi_divergence, {R('greatest(a.vpin, b.vpin)')} AS vpin_max, {R('a.volume_quote / nullif(b.volume_quote, 0e0)')} AS volume_quote_ratio FROM inf a JOIN inf b ON a.ts = b.ts AND ((a.symbol = 'S0' AND b.symbol = 'S1') OR (a.symbol = 'S2' AND b.symbol = 'S5'))")
+@query("inf9_cross_leg", _INFO + f" SELECT a.symbol || '_' || b.symbol AS pair, a.ts, {R('a.ofi - b.ofi')} AS ofi_divergence, {R('greatest(a.vpin, b.vpin)')} AS vpin_max, {R('a.volume_quote / nullif(b.volume_quote, 0e0)')} AS volume_quote_ratio FROM inf a JOIN inf b ON a.ts = b.ts AND a.symbol < b.symbol")
 def _(t):
-    d = N.cross_leg_signals(info(t), legs8(t))
+    d = N.cross_leg_signals(info(t), tape_pairs(t))
     return rounded(d, "ofi_divergence", "vpin_max", "volume_quote_ratio").select("pair", "ts", "ofi_divergence", "vpin_max", "volume_quote_ratio")
 
 
@@ -185,33 +181,33 @@ def _(t):
     return d.select("symbol", "i", *[c(x).cast("long").alias(x) for x in ("book_ofi_tr", "trade_ofi_tr", "cancel_imb_tr")], rnd("fwd10", 9).alias("fwd10"))
 
 
-_TWO = """WITH tl AS (SELECT a.day, a.i, a.lm - 8e-1 * b.lm AS sp, coalesce(a.trade_ofi / nullif(a.buy + a.sell, 0), 0e0) - 8e-1 * coalesce(b.trade_ofi / nullif(b.buy + b.sell, 0), 0e0) AS flow FROM v_dense a JOIN v_dense b ON a.i = b.i AND a.symbol = 'S0' AND b.symbol = 'S1'),
-tw AS (SELECT *, sum(flow) OVER (ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ofi, lead(sp, 5) OVER (ORDER BY i) - sp AS fut5, sp - lag(sp) OVER (ORDER BY i) AS now FROM tl)"""
+_TWO = """WITH tl AS MATERIALIZED (SELECT p.pair, a.day, a.i, a.lm - p.beta * b.lm AS sp, coalesce(a.trade_ofi / nullif(a.buy + a.sell, 0), 0e0) - p.beta * coalesce(b.trade_ofi / nullif(b.buy + b.sell, 0), 0e0) AS flow FROM v_legs p JOIN v_dense a ON a.symbol = p.sym_a JOIN v_dense b ON b.symbol = p.sym_b AND a.i = b.i),
+tw AS MATERIALIZED (SELECT *, sum(flow) OVER (PARTITION BY pair ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS ofi, (sp - lag(sp) OVER w) * 1e4 AS y_now, (lead(sp, 1) OVER w - sp) * 1e4 AS y1, (lead(sp, 5) OVER w - sp) * 1e4 AS y5 FROM tl WINDOW w AS (PARTITION BY pair ORDER BY i))"""
 
 
 def two_leg(t):
-    d = dense(t)
-    return N.two_leg_flow(d.where("symbol = 'S0'"), d.where("symbol = 'S1'"), 0.8, 10)
+    return N.two_leg_flow(dense(t), tape_pairs(t), 10)
 
 
-@query("inf11_two_leg_flow", _TWO + f" SELECT i, {R('ofi')} AS ofi, {R('sp', 8)} AS spread FROM tw WHERE ofi <> 0")
+@query("inf11_two_leg_flow", _TWO + f" SELECT pair, i, {R('ofi')} AS ofi, {R('sp', 8)} AS spread FROM tw WHERE abs(ofi) > 1e-9")
 def _(t):
-    return rounded(rounded(two_leg(t), "ofi"), "spread", digits=8).where("ofi <> 0").select("i", "ofi", "spread")
+    return rounded(rounded(two_leg(t), "ofi"), "spread", digits=8).where(F.abs("ofi") > 1e-9).select("pair", "i", "ofi", "spread")
+
 
+def _hac_slope(name: str, y: str, lag: int) -> str:
+    """Slope, Newey-West t, R2 per pair; rows without a return keep their place with a zero score."""
+    auto = " + ".join(f"2 * {1 - j / (lag + 1)!r} * sum(u * u{j})" for j in range(1, lag + 1))
+    lags = ", ".join(f"lag(u, {j}) OVER w AS u{j}" for j in range(1, lag + 1))
+    return f"""SELECT pair, '{name}' AS h, {R('any_value(b)', 5)} AS slope_bps, {R(f'any_value(b) / sqrt((sum(u * u) + {auto}) / (any_value(sxx) * any_value(sxx)))', 4)} AS t, {R('any_value(r2)', 8)} AS r2, any_value(n) AS n
+ FROM (SELECT *, {lags} FROM (SELECT t.pair, i, b, sxx, r2, n, coalesce(({y} - my - b * (ofi - mx)) * (ofi - mx), 0e0) AS u FROM tw t
+  JOIN (SELECT pair, regr_slope({y}, ofi) AS b, regr_sxx({y}, ofi) AS sxx, regr_r2({y}, ofi) AS r2, regr_count({y}, ofi) AS n, regr_avgx({y}, ofi) AS mx, regr_avgy({y}, ofi) AS my FROM tw GROUP BY pair) f ON f.pair = t.pair)
+ WINDOW w AS (PARTITION BY pair ORDER BY i)) GROUP BY pair"""
 
-@query("inr24_spread_return_on_flow", _TWO + f""" SELECT 'h5' AS h, {R('regr_slope(fut5, ofi) * 1e4')} AS slope_bps, {R('corr(fut5, ofi) ** 2', 8)} AS r2, count(*) FILTER (fut5 IS NOT NULL AND ofi IS NOT NULL) AS n FROM tw
-UNION ALL SELECT 'now', {R('regr_slope(now, ofi) * 1e4')}, {R('corr(now, ofi) ** 2', 8)}, count(*) FILTER (now IS NOT NULL AND ofi IS NOT NULL) FROM tw""")
+
+@query("inr24_spread_return_on_flow", _TWO + " " + " UNION ALL ".join(_hac_slope(*x) for x in (("now", "y_now", 5), ("h1", "y1", 1), ("h5", "y5", 5))))
 def _(t):
-    from ..core.ordered import block_window, core_rows, halo_blocks
-    h = halo_blocks(two_leg(t), "i", back=1, fwd=5, rows=86_400)
-    w = block_window([], "i")
-    d = core_rows(h.withColumns({"fut5": F.lead("spread", 5).over(w) - c("spread"), "now": c("spread") - F.lag("spread").over(w)}))
-    out = None
-    for k, y in (("h5", "fut5"), ("now", "now")):
-        e = I.simple_ols(y, "ofi")
-        r = d.agg(rnd(e["slope"] * 1e4).alias("slope_bps"), rnd(e["r2"], 8).alias("r2"), e["n"].alias("n")).select(F.lit(k).alias("h"), "slope_bps", "r2", "n")
-        out = r if out is None else out.unionByName(r)
-    return out
+    d = N.spread_return_on_flow(two_leg(t), (1, 5))
+    return rounded(rounded(rounded(d, "slope_bps", digits=5), "t", digits=4), "r2", digits=8)
 
 
 @query("inf12_size_flow_corr", f"""WITH f AS (SELECT symbol, epoch_us(ts) // 3600000000 AS hour, coalesce(sum(CASE side WHEN 'buy' THEN notional WHEN 'sell' THEN -notional ELSE 0 END) FILTER (notional >= 1e5), 0) AS big,
@@ -380,12 +376,12 @@ def _(t):
 
 # ---- two-leg phase-2 features ------------------------------------------------------------------------------
 
-@query("pf7_leg_flow", f"""WITH j AS (SELECT a.ts, a.midprice - b.midprice AS spread, a.ib AS iba, a.isl AS isa, b.ib AS ibb, b.isl AS isb FROM v_bars15 a JOIN v_bars15 b ON a.ts = b.ts AND a.symbol = 'S0' AND b.symbol = 'S1')
-SELECT ts, {R('iba - isa', 2)} AS inst_signed_a, {R('coalesce((iba - isa) / nullif(iba + isa, 0), 0)')} AS inst_imb_a, {R('CASE WHEN spread > 0 THEN coalesce((iba - isa) / nullif(iba + isa, 0), 0) ELSE coalesce((ibb - isb) / nullif(ibb + isb, 0), 0) END')} AS over_leg_inst_imb FROM j""")
+@query("pf7_leg_flow", f"""WITH j AS (SELECT a.symbol || '_' || b.symbol AS pair, a.ts, a.midprice - b.midprice AS spread, a.ib AS iba, a.isl AS isa, b.ib AS ibb, b.isl AS isb FROM v_bars15 a JOIN v_bars15 b ON a.ts = b.ts AND a.symbol < b.symbol)
+SELECT pair, ts, {R('iba - isa', 2)} AS inst_signed_a, {R('coalesce((iba - isa) / nullif(iba + isa, 0), 0)')} AS inst_imb_a, {R('CASE WHEN spread > 0 THEN coalesce((iba - isa) / nullif(iba + isa, 0), 0) ELSE coalesce((ibb - isb) / nullif(ibb + isb, 0), 0) END')} AS over_leg_inst_imb FROM j""")
 def _(t):
     from ..operators.features import leg_flow_features
-    p = B.pair_bars(B.bars(t.book, t.trades, 15 * MINUTE_US), legs8(t).where("pair = 'S0_S1'")).withColumn("spread", c("midprice_a") - c("midprice_b"))
-    return leg_flow_features(p).select("ts", rnd("inst_signed_a", 2).alias("inst_signed_a"), rnd("inst_imb_a").alias("inst_imb_a"), rnd("over_leg_inst_imb").alias("over_leg_inst_imb"))
+    p = B.pair_bars(B.bars(t.book, t.trades, 15 * MINUTE_US), tape_pairs(t)).withColumn("spread", c("midprice_a") - c("midprice_b"))
+    return leg_flow_features(p).select("pair", "ts", rnd("inst_signed_a", 2).alias("inst_signed_a"), rnd("inst_imb_a").alias("inst_imb_a"), rnd("over_leg_inst_imb").alias("over_leg_inst_imb"))
 
 
 # ---- execution study -----------------------------------------------------------------------------------------

@@ -6,8 +6,8 @@ import math
 from pyspark.sql import functions as F
 
 from ..core.ordered import DAY_US
-from ..operators import backtest as T, events as V, features as X, inference as I, ml as M, pairs as P, panel as N, walk as W
-from .base_tables import daily_panel, pair_legs, spreads
+from ..operators import backtest as T, bars as B, events as V, features as X, inference as I, ml as M, pairs as P, panel as N, walk as W
+from .base_tables import daily_panel, pair_legs, spreads, tape_pairs
 from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t1_sources import windows
 from .t3_pairs import FCFG, SCFG, WSQL, hac_sql, preds, ready, zscored
@@ -258,22 +258,20 @@ def _(t):
 
 @query("bt14_book_costs")
 def _(t):
-    """Pair trades on hourly bars with book-walk costs per leg and the flat fallback."""
+    """Trades of every pair on hourly bars, by the causal z of its spread, with book-walk costs per leg and the flat fallback."""
     from ..operators import book as K
     from ..core.ordered import HOUR_US
-    b = t.bars_1h
-    a = b.where("symbol = 'S0'").select("ts", c("close").alias("close_a"))
-    d = a.join(b.where("symbol = 'S1'").select("ts", c("close").alias("close_b")), "ts")
-    d = d.withColumns({"pair": F.lit("S0_S1"), "sym_a": F.lit("S0"), "sym_b": F.lit("S1"), "beta": F.lit(0.8), "i": N.bar_index("ts", HOUR_US), "signal": (c("i") % 3 - 1).cast("double")})
+    d = B.pair_legs(t.bars_1h.select("symbol", "ts", "close"), tape_pairs(t), "ts").withColumns({"i": N.bar_index("ts", HOUR_US), "spread": F.log("close_a") - c("beta") * F.log("close_b")})
+    d = t.store("hourly_signals", lambda: T.hysteresis(V.causal_z(d, ["pair"], 24), "z", ["pair"], out="signal"))
     base = T.pair_pnl(d, T.Costs())
     side = F.when(c("signal") >= c("held"), "buy").otherwise("sell")
     q = F.abs(c("signal") - c("held")) * 1e4
-    legs = base.where(c("signal") != c("held")).select("ts", "i", F.explode(F.array(
+    legs = base.where(c("signal") != c("held")).select("pair", "ts", "i", F.explode(F.array(
         F.struct(c("sym_a").alias("symbol"), side.alias("side"), q.alias("q"), F.lit("a").alias("leg")),
-        F.struct(c("sym_b").alias("symbol"), F.when(side == "buy", "sell").otherwise("buy").alias("side"), (q * F.abs("beta")).alias("q"), F.lit("b").alias("leg")))).alias("s")).select("ts", "i", "s.*")
-    w = K.book_at(legs.withColumn("lid", c("i") * 2 + (c("leg") == "b").cast("int")), t.book, K.book_columns(), "lid").withColumn("bps", K.slippage_bps(c("q"), c("side")))
-    s = w.groupBy("i").agg(F.max(F.when(c("leg") == "a", c("bps"))).alias("sa"), F.max(F.when(c("leg") == "b", c("bps"))).alias("sb"))
-    out = T.pair_pnl(d.join(s, "i", "left"), T.Costs(), slip_a=F.coalesce("sa", F.lit(2.0)), slip_b=F.coalesce("sb", F.lit(2.0)))
+        F.struct(c("sym_b").alias("symbol"), F.when(side == "buy", "sell").otherwise("buy").alias("side"), (q * F.abs("beta")).alias("q"), F.lit("b").alias("leg")))).alias("s")).select("pair", "ts", "i", "s.*")
+    w = K.book_at(legs.withColumn("lid", F.xxhash64("pair", "i", "leg")), t.book, K.book_columns(), "lid").withColumn("bps", K.slippage_bps(c("q"), c("side")))
+    s = w.groupBy("pair", "i").agg(F.max(F.when(c("leg") == "a", c("bps"))).alias("sa"), F.max(F.when(c("leg") == "b", c("bps"))).alias("sb"))
+    out = T.pair_pnl(d.join(s, ["pair", "i"], "left"), T.Costs(), slip_a=F.coalesce("sa", F.lit(2.0)), slip_b=F.coalesce("sb", F.lit(2.0)))
     return out.select("pair", "ts", "signal", "turnover", rnd("cost", 5).alias("cost"), rnd("pnl", 5).alias("pnl"))
 
 

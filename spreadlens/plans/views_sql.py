@@ -34,6 +34,10 @@ SELECT symbol, date_trunc('hour', ts) AS ts,
        CAST(sum(amount) AS DOUBLE) AS volume
 FROM v_trades GROUP BY symbol, date_trunc('hour', ts)"""
 
+VIEWS["v_legs"] = """
+SELECT a.symbol || '_' || b.symbol AS pair, a.symbol AS sym_a, b.symbol AS sym_b, round(regr_slope(ln(a.close), ln(b.close)), 6) AS beta
+FROM v_bars_1h a JOIN v_bars_1h b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY ALL"""
+
 VIEWS["v_daily"] = """
 SELECT s.symbol, s.ts, exp(46e-1 + CAST(sum(s.r) OVER (PARTITION BY s.symbol ORDER BY s.ts) + d.c AS DOUBLE) / 1e4) AS close,
        CAST(s.volume AS DOUBLE) AS volume

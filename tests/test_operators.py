@@ -84,3 +84,19 @@ def test_adf_separates_noise_from_a_walk(spark):
     rows = [("noise", i, float(v)) for i, v in enumerate(e)] + [("walk", i, float(v)) for i, v in enumerate(np.cumsum(e))]
     p = {x["k"]: x["adf_pvalue"] for x in S.adf(spark.createDataFrame(rows, "k string, i long, x double"), ["k"], "x").collect()}
     assert p["noise"] < 0.01 < 0.05 < p["walk"]
+
+
+def test_legs_of_every_pair(spark):
+    from spreadlens.operators import bars as B, info as N
+    rows = [(s, i, float(i * (k + 1)), "d") for k, s in enumerate("ABC") for i in range(60) if (i + k) % 5]
+    d = spark.createDataFrame(rows, "symbol string, i long, v double, day string")
+    pairs = spark.createDataFrame([("A_B", "A", "B", 0.5), ("A_C", "A", "C", 2.0), ("B_C", "B", "C", 1.0)], "pair string, sym_a string, sym_b string, beta double")
+    value = {(s, i): v for s, i, v, _ in rows}
+    want = sorted((f"{a}_{b}", i, value[a, i], value[b, i]) for a, b in ("AB", "AC", "BC") for i in range(60) if (a, i) in value and (b, i) in value)
+    got = B.pair_legs(d, pairs, "i", ["day"])
+    assert sorted(tuple(r) for r in got.select("pair", "i", "v_a", "v_b").collect()) == want
+    flow = d.select("symbol", "day", "i", F.log(F.col("v") + 1).alias("lm"), F.col("v").alias("trade_ofi"), F.lit(2.0).alias("buy"), F.lit(3.0).alias("sell"))
+    two = {(r["pair"], r["i"]): r for r in N.two_leg_flow(flow, pairs, 4).collect()}
+    at = sorted(i for p, i in two if p == "A_C")
+    for n, i in enumerate(at):
+        assert abs(two["A_C", i]["ofi"] - sum(value["A", j] / 5 - 2 * value["C", j] / 5 for j in at[max(0, n - 3):n + 1] if j > i - 4)) < 1e-9 or any(b - a != 1 for a, b in zip(at[max(0, n - 3):n + 1], at[max(0, n - 3) + 1:n + 1]))
