@@ -6,7 +6,8 @@ symbol may own a third of the tape.  Two patterns avoid that:
 * **chunk and carry** (tape-like data, rows at any time): a symbol's time line is cut into chunks
   of fixed width.  The window runs inside ``(keys, chunk)``; each chunk is also reduced to one
   summary row, the summaries are scanned per key, and what must cross a chunk border is joined
-  back.  ``carry_forward``, ``previous_row`` and ``running_sum`` are built this way.
+  back.  ``carry_forward``, ``previous_row`` and ``running_sum`` are built this way; operators that need several of
+  them in a row make one pass of their own from ``chunked`` and ``chunk_ends``.
 * **blocks with a halo** (bars on a grid, one row per index): rows are cut into blocks of equal
   size and the few rows a frame needs from the neighbour are repeated.  See ``halo_blocks``.
 """
@@ -54,6 +55,34 @@ def _attach(df: DataFrame, prefix: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(prefix, [*keys, "_chunk"], "left")
 
 
+def chunked(df: DataFrame, keys: Sequence[str], width_us: int = DAY_US, ts: str = "ts") -> DataFrame:
+    """Rows dealt by ``(keys, _chunk)`` once, for windows and summaries that share this exchange."""
+    d = df.withColumn("_chunk", chunk_of(ts, width_us))
+    return d.repartition(*keys, "_chunk")
+
+
+def chunk_ends(local: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(keys, _chunk, _e): the last row of every chunk.
+
+    The row is kept whole, so that this branch reads the same columns as the rows do and both read one exchange; rows
+    that a window has sorted are not sorted again."""
+    return local.groupBy(*keys, "_chunk").agg(F.max_by(_struct(local.columns), _struct(order)).alias("_e"))
+
+
+def with_ends(local: DataFrame, ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``local`` with the columns that ``ends`` has for its chunk; a missing key finds none.
+
+    The ends' keys are made non-null, or the optimizer would filter nulls below their exchange, which then is not the rows' one."""
+    keys = list(keys)
+    kinds = dict(ends.dtypes)
+    right = ends.select(*[(F.coalesce(F.col(k), F.lit("")) if kinds[k] == "string" else F.col(k)).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_k_chunk"),
+                        *[x for x in ends.columns if x not in (*keys, "_chunk")])
+    on = F.col("_chunk") == F.col("_k_chunk")
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    return local.join(right, on, "left").drop("_k_chunk", *[f"_k_{k}" for k in keys])
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
                   width_us: int = DAY_US, ts: str = "ts") -> DataFrame:
     """Replace each of ``cols`` by its last non-null value at or before the row."""

@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core.ordered import DAY_US, HOUR_US, asof_backward, carry_forward, previous_row, running_sum
+from ..core.ordered import DAY_US, chunk_ends, chunked, running_sum, with_ends
 
 c = F.col
 
@@ -29,23 +29,47 @@ def size_class3(notional: str = "notional") -> Column:
     return F.when(c(notional) < 1_000.0, "retail").when(c(notional) >= 10_000.0, "institutional").otherwise("mid")
 
 
+def _signs(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width_us: int) -> DataFrame:
+    """``_tick`` (sign of the last price change, 0 before the first) and ``_mid`` (the last one) of rows with ``price``
+    on trades and ``_r`` (a struct with the mid) on quotes, in one pass; keeps ``_chunk`` and the rows' partitioning.
+
+    Inside a chunk only the first trade's change depends on earlier chunks: until a later change, all its prices are the
+    first one.  So a chunk's last row, with its running values, is all that the next chunks need."""
+    keys, order = list(keys), list(order)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    here, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    change = lambda now, then: F.nullif(F.signum(now - then).cast("int"), F.lit(0))
+    d = chunked(rows, keys, width_us)
+    d = d.withColumn("_t", change(c("price"), F.last("price", ignorenulls=True).over(before)))
+    d = d.withColumns({"_t": F.last("_t", ignorenulls=True).over(here), "_f": F.first("price", ignorenulls=True).over(here),
+                       "_l": F.last("price", ignorenulls=True).over(here), "_q": F.last("_r", ignorenulls=True).over(here)})
+    scan = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    e = chunk_ends(d, keys, order).withColumn("_pp", F.last("_e._l", ignorenulls=True).over(scan))
+    e = e.withColumn("_own", F.coalesce("_e._t", change(c("_e._f"), c("_pp"))))
+    e = e.select(*keys, "_chunk", "_pp", F.last("_own", ignorenulls=True).over(scan).alias("_pt"), F.last("_e._q", ignorenulls=True).over(scan).alias("_pq"))
+    d = with_ends(d, e, keys)
+    tick = F.coalesce("_t", change(c("_f"), c("_pp")), "_pt", F.lit(0))
+    return d.withColumns({"_tick": tick, "_mid": F.coalesce("_q", "_pq")["mid"]}).drop("_t", "_f", "_l", "_q", "_pp", "_pt", "_pq", "_r")
+
+
+_QUOTE = "struct<mid:double>"
+
+
 def tick_rule(trades: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts", "trade_id"),
               width_us: int = DAY_US, out: str = "tick_sign") -> DataFrame:
     """Sign of the last price change, carried over ties; 0 before the first change."""
-    keys, order = list(keys), list(order)
-    d = previous_row(trades, keys, order, {"_p": "price"}, width_us)
-    d = d.withColumn(out, F.nullif(F.signum(c("price") - c("_p")).cast("int"), F.lit(0))).drop("_p")
-    d = carry_forward(d, keys, order, [out], width_us)
-    return d.withColumn(out, F.coalesce(c(out), F.lit(0)))
+    d = _signs(trades.withColumn("_r", F.lit(None).cast(_QUOTE)), keys, order, width_us)
+    return d.drop("_mid", "_chunk").withColumnRenamed("_tick", out)
 
 
 def quote_rule(trades: DataFrame, book: DataFrame, width_us: int = DAY_US, out: str = "quote_sign") -> DataFrame:
-    """Price against the prevailing mid; at the mid or without a book the tick rule decides."""
-    t = tick_rule(trades, width_us=width_us, out="_tick")
-    b = book.select("symbol", "ts", "seq", ((c("bid_px_1") + c("ask_px_1")) / 2).alias("_mid"))
-    d = asof_backward(t, b, ["symbol"], ["_mid"], "ts", "trade_id", "seq", width_us)
+    """Price against the prevailing mid; at the mid or without a book the tick rule decides.  Quotes of the same time come first."""
+    mid = ((c("bid_px_1") + c("ask_px_1")) / 2).cast("double").alias("mid")
+    b = book.select("symbol", "ts", F.lit(0).alias("_kind"), c("seq").cast("long").alias("_ord"), F.struct(mid).alias("_r"))
+    t = trades.withColumns({"_kind": F.lit(1), "_ord": c("trade_id").cast("long"), "_r": F.lit(None).cast(_QUOTE)})
+    d = _signs(t.unionByName(b, allowMissingColumns=True), ["symbol"], ["ts", "_kind", "_ord"], width_us).where("_kind = 1")
     s = F.when(c("price") > c("_mid"), 1).when(c("price") < c("_mid"), -1).otherwise(c("_tick"))
-    return d.withColumn(out, s.cast("int")).drop("_tick", "_mid")
+    return d.withColumn(out, s.cast("int")).select(*trades.columns, out)
 
 
 def signed_trades(trades: DataFrame, book: DataFrame | None = None, width_us: int = DAY_US) -> DataFrame:
@@ -65,14 +89,25 @@ def marketable_orders(trades: DataFrame) -> DataFrame:
 
 
 def sweeps(trades: DataFrame, max_gap_ms: int = 50, width_us: int = DAY_US) -> DataFrame:
-    """Runs of same-sign trades with small gaps that touched at least two prices."""
-    d = tick_rule(trades, width_us=width_us, out="_tick")
+    """Runs of same-sign trades with small gaps that touched at least two prices.
+
+    Runs are numbered inside chunks first; a chunk's first run may be the last one of the chunk before it."""
+    keys, order = ["symbol"], ["ts", "trade_id"]
+    own = trades.select(*keys, *order, "price", "side", "notional", F.lit(None).cast(_QUOTE).alias("_r"))
+    d = _signs(own, keys, order, width_us).drop("_mid")
     d = d.withColumn("sign", F.when(aggressor_sign() != 0, aggressor_sign()).otherwise(c("_tick")).cast("int"))
-    d = previous_row(d, ["symbol"], ["ts", "trade_id"], {"_ps": "sign", "_pt": "ts"}, width_us)
-    gap_ms = F.floor((F.unix_micros("ts") - F.unix_micros("_pt")) / 1000)
-    fresh = c("_ps").isNull() | (c("sign") != c("_ps")) | (gap_ms > max_gap_ms)
-    d = running_sum(d.withColumn("_new", fresh.cast("long")), ["symbol"], ["ts", "trade_id"], {"run": "_new"}, width_us)
-    return (d.groupBy("symbol", "run").agg(
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    here = w.rowsBetween(Window.unboundedPreceding, 0)
+    gap_ms = lambda now, then: F.floor((F.unix_micros(now) - F.unix_micros(then)) / 1000)
+    goes_on = lambda sign, ts, old_sign, old_ts: F.coalesce((sign == old_sign) & (gap_ms(ts, old_ts) <= max_gap_ms), F.lit(False))
+    d = d.withColumn("_new", (~goes_on(c("sign"), c("ts"), F.lag("sign").over(w), F.lag("ts").over(w))).cast("long"))
+    d = d.withColumns({"_run": F.sum("_new").over(here), "_fs": F.first("sign").over(here), "_ft": F.first("ts").over(here)})
+    line = Window.partitionBy(*keys).orderBy("_chunk")
+    e = chunk_ends(d, keys, order).withColumn("_p", F.lag("_e").over(line))
+    e = e.withColumn("_on", goes_on(c("_e._fs"), c("_e._ft"), c("_p.sign"), c("_p.ts")).cast("long"))
+    since = F.sum(c("_e._run") - c("_on")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    d = with_ends(d, e.select(*keys, "_chunk", (F.coalesce(since, F.lit(0)) - c("_on")).alias("_base")), keys)
+    return (d.withColumn("run", c("_base") + c("_run")).groupBy("symbol", "run").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.first("sign").alias("side"),
         F.sum("notional").alias("notional"), F.count(F.lit(1)).alias("n_trades"),
         F.countDistinct("price").alias("levels_walked_est"))
@@ -91,7 +126,6 @@ def size_distribution(trades: DataFrame, thresholds: Sequence[float] = (1e3, 1e4
 
 def class_shares(trades: DataFrame) -> DataFrame:
     """Count and volume shares of the three size classes per symbol (window over 3 rows per symbol)."""
-    from pyspark.sql import Window
     w = Window.partitionBy("symbol")
     g = trades.groupBy("symbol", size_class3().alias("size_class")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("notional").alias("usd"))

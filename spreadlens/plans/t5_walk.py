@@ -250,7 +250,16 @@ def _(t):
     return W.vol_target(walk(t), 30, 10).select("split_id", "pair", "i", rnd("size", 5).alias("size"))
 
 
-@query("bt10_break_stops")
+_BREAK_ON = f"abs(b.z) > 5e-1 AND ((CASE WHEN r.held > 0 THEN b.la - r.a0 ELSE b.lb - r.b0 END) < -least({-math.log1p(-0.2)!r}, {-math.log1p(-0.3)!r}) OR (CASE WHEN r.held > 0 THEN b.lb - r.b0 ELSE b.la - r.a0 END) > {-math.log1p(-0.3)!r} OR r.gain + r.held * b.sr < -15e-2)"
+
+
+@query("bt10_break_stops", f"""WITH RECURSIVE base AS MATERIALIZED (SELECT split_id, pair, i, z, la, lb, sr, row_number() OVER (PARTITION BY split_id, pair ORDER BY i) AS rn FROM v_walk),
+rec AS (SELECT split_id, pair, rn, CASE WHEN abs(z) >= 2 THEN -sign(z) ELSE 0e0 END AS held, la AS a0, lb AS b0, 0e0 AS gain, false AS halted FROM base WHERE rn = 1
+UNION ALL SELECT b.split_id, b.pair, b.rn, CASE WHEN r.held <> 0 THEN CASE WHEN abs(b.z) <= 5e-1 OR ({_BREAK_ON}) THEN 0e0 ELSE r.held END WHEN NOT r.halted AND abs(b.z) >= 2 THEN -sign(b.z) ELSE 0e0 END,
+ CASE WHEN r.held = 0 THEN b.la ELSE r.a0 END, CASE WHEN r.held = 0 THEN b.lb ELSE r.b0 END, CASE WHEN r.held = 0 THEN 0e0 ELSE r.gain + r.held * b.sr END, r.halted OR (r.held <> 0 AND ({_BREAK_ON}))
+ FROM rec r JOIN base b ON b.split_id = r.split_id AND b.pair = r.pair AND b.rn = r.rn + 1),
+u AS (SELECT rec.split_id, rec.pair, held AS position, sr, coalesce(lag(held) OVER (PARTITION BY rec.split_id, rec.pair ORDER BY rec.rn), 0e0) AS h FROM rec JOIN base ON base.split_id = rec.split_id AND base.pair = rec.pair AND base.rn = rec.rn)
+SELECT split_id, pair, {R('sum(h * sr - abs(position - h) * 2e0 * 15e0 / 1e4)', 8)} AS net, count(*) FILTER (abs(position - h) > 0) AS changes FROM u GROUP BY split_id, pair""")
 def _(t):
     d = T.break_stops(walk(t), W.KEYS, crash=0.2, adverse=0.3, loss=0.15, halt=True)
     return T.unit_pnl(d, 15.0, W.KEYS).groupBy("split_id", "pair").agg(rnd(F.sum("net"), 8).alias("net"), F.count_if(c("dpos") > 0).alias("changes"))
@@ -290,11 +299,26 @@ def _(t):
 VARIANTS = [("z_stop4", "z", 4, 1e9), ("z_stop6", "z", 6, 1e9), ("z_nostop", "z", math.inf, 1e9), ("conv", "conv", 4, 1000), ("conv_nostop", "conv", math.inf, 1000), ("time", "time", math.inf, 0)]
 
 
-@query("bt23_variant_matrix")
+_VARIANT_ROWS = ", ".join(f"('{n}', '{m}', {'1e300' if math.isinf(s) else f'{s:.1e}'}, {h:.1e})" for n, m, s, h in VARIANTS)
+_ENTER = "CASE WHEN abs({0}z) >= 2 AND abs({0}z) < {0}stop THEN -sign({0}z) ELSE 0e0 END"
+
+
+@query("bt23_variant_matrix", f"""WITH RECURSIVE base AS MATERIALIZED (SELECT variant, mode, stop, CASE WHEN hold = 0 THEN greatest(2, round(2 * half_life)) ELSE hold END AS cap, split_id, pair, ts, i, z, sr, row_number() OVER (PARTITION BY variant, split_id, pair ORDER BY i) AS rn
+ FROM v_walk, (VALUES {_VARIANT_ROWS}) AS v(variant, mode, stop, hold)),
+rec AS (SELECT variant, split_id, pair, rn, {_ENTER.format('')} AS pos, 1 AS age FROM base WHERE rn = 1
+UNION ALL SELECT b.variant, b.split_id, b.pair, b.rn, CASE WHEN r.pos = 0 THEN {_ENTER.format('b.')} WHEN abs(b.z) >= b.stop OR (mode = 'z' AND abs(b.z) <= 5e-1) OR (mode = 'time' AND r.age + 1 >= cap) OR (mode = 'conv' AND (sign(b.z) <> -r.pos OR r.age + 1 >= cap)) THEN 0e0 ELSE r.pos END,
+ CASE WHEN r.pos = 0 THEN 1 ELSE r.age + 1 END FROM rec r JOIN base b ON b.variant = r.variant AND b.split_id = r.split_id AND b.pair = r.pair AND b.rn = r.rn + 1),
+h AS (SELECT b.variant, b.split_id, b.pair, b.ts, b.i, b.sr, pos, coalesce(lag(pos) OVER w, 0e0) AS held FROM rec JOIN base b ON b.variant = rec.variant AND b.split_id = rec.split_id AND b.pair = rec.pair AND b.rn = rec.rn WINDOW w AS (PARTITION BY b.variant, b.split_id, b.pair ORDER BY b.rn)),
+u AS (SELECT *, held * sr AS gross, abs(pos - held) AS dpos, held * sr - abs(pos - held) * 2e0 * 15e0 / 1e4 AS net, CASE WHEN pos <> 0 AND held = 0 THEN 1 ELSE 0 END AS st FROM h),
+port AS (SELECT variant, split_id, ts, i, avg(net) AS pnl, avg(gross) AS gross FROM u GROUP BY ALL), one AS (SELECT * FROM port QUALIFY row_number() OVER (PARTITION BY variant, ts ORDER BY split_id) = 1),
+g AS (SELECT *, sum(st) OVER (PARTITION BY variant, split_id, pair ORDER BY i) AS trip FROM u), rt AS (SELECT variant, split_id, pair, trip, sum(net) AS x FROM g WHERE pos <> 0 GROUP BY ALL)
+SELECT p.variant, {R('any_value(p.net_pnl)')} AS net_pnl, {R('any_value(p.gross_pnl)')} AS gross_pnl, any_value(p.bars) AS bars, any_value(t.trades) AS trades, any_value(t.turnover) AS turnover, count(*) FILTER (x > 0) AS wins, count(*) AS trips, {R('count(*) FILTER (x > 0) * 1e0 / count(*)')} AS win_rate
+ FROM (SELECT variant, sum(pnl) AS net_pnl, sum(gross) AS gross_pnl, count(*) AS bars FROM one GROUP BY variant) p JOIN (SELECT variant, count(*) FILTER (dpos > 0) AS trades, sum(dpos) AS turnover FROM u GROUP BY variant) t ON t.variant = p.variant JOIN rt ON rt.variant = p.variant GROUP BY p.variant""")
 def _(t):
     k = ["variant", *W.KEYS]
     d = T.exit_variants(W.with_variants(walk(t), VARIANTS), k)
-    return W.strategy_summary(T.unit_pnl(d, 15.0, k), ["variant"])
+    s = W.strategy_summary(T.unit_pnl(d, 15.0, k), ["variant"])
+    return rounded(s, "net_pnl", "gross_pnl", "win_rate").select("variant", "net_pnl", "gross_pnl", "bars", "trades", "turnover", "wins", "trips", "win_rate")
 
 
 @query("bt24_window_returns", f"SELECT split_id, {R('sum(pnl)', 8)} AS ret, count(*) AS bars FROM v_wport GROUP BY split_id")

@@ -52,9 +52,19 @@ def _(t):
     return S.ljung_box(spreads(t), ["pair"], "spread", 20)
 
 
-@query("st17_dynamic_hedge")
+_STEP = """SELECT b.pair, b.rn, b.i, r.al + (r.p0 + 1e-7 + b.x * r.pc) / s * d AS al, r.be + (r.pc + b.x * (r.p1 + 1e-5)) / s * d AS be,
+ r.p0 + 1e-7 - (r.p0 + 1e-7 + b.x * r.pc) * (r.p0 + 1e-7 + b.x * r.pc) / s AS p0, r.pc - (r.p0 + 1e-7 + b.x * r.pc) * (r.pc + b.x * (r.p1 + 1e-5)) / s AS pc, r.p1 + 1e-5 - (r.pc + b.x * (r.p1 + 1e-5)) * (r.pc + b.x * (r.p1 + 1e-5)) / s AS p1, d AS e"""
+
+
+@query("st17_dynamic_hedge", f"""WITH RECURSIVE f AS MATERIALIZED (SELECT pair, regr_intercept(la, lb) AS al, regr_slope(la, lb) AS be FROM v_spread GROUP BY pair),
+n AS MATERIALIZED (SELECT f.pair, any_value(f.al) AS al, any_value(f.be) AS be, CASE WHEN var_samp(la - f.al - f.be * lb) > 0 THEN var_samp(la - f.al - f.be * lb) ELSE 1e-4 END AS r FROM v_spread s JOIN f ON f.pair = s.pair GROUP BY f.pair),
+base AS MATERIALIZED (SELECT s.pair, i, la AS y, lb AS x, n.r AS noise, row_number() OVER (PARTITION BY s.pair ORDER BY i) AS rn FROM v_spread s JOIN n ON n.pair = s.pair),
+rec AS (SELECT pair, 0::BIGINT AS rn, 0::BIGINT AS i, al, be, 1e0 AS p0, 0e0 AS pc, 1e0 AS p1, 0e0 AS e FROM n
+UNION ALL {_STEP} FROM rec r JOIN (SELECT * FROM base) b ON b.pair = r.pair AND b.rn = r.rn + 1, LATERAL (SELECT b.y - r.al - b.x * r.be AS d, r.p0 + 1e-7 + 2 * b.x * r.pc + b.x * b.x * (r.p1 + 1e-5) + b.noise AS s))
+SELECT pair, i, {R('al', 4)} AS alpha_t, {R('be', 4)} AS beta_t, {R('e', 4)} AS innovation, {R('p0', 8)} AS var_alpha, {R('p1', 8)} AS var_beta FROM rec WHERE rn > 0""")
 def _(t):
-    return S.dynamic_hedge(spreads(t))
+    d = rounded(S.dynamic_hedge(spreads(t)), "alpha_t", "beta_t", "innovation", digits=4)
+    return rounded(d, "var_alpha", "var_beta", digits=8)
 
 
 def fitted(t):
