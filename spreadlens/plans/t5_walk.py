@@ -10,6 +10,7 @@ from ..operators import backtest as T, bars as B, events as V, features as X, in
 from .base_tables import daily_panel, pair_legs, spreads, tape_pairs
 from .registry import query, rnd, rnd_sql as R, rounded, unit_sql as U
 from .t1_sources import windows
+from .t2_book_tape import _WB, _WBB, _WU, _WUB
 from .t3_pairs import FCFG, SCFG, WSQL, hac_sql, preds, ready, zscored
 
 c = F.col
@@ -265,8 +266,23 @@ def _(t):
     return T.unit_pnl(d, 15.0, W.KEYS).groupBy("split_id", "pair").agg(rnd(F.sum("net"), 8).alias("net"), F.count_if(c("dpos") > 0).alias("changes"))
 
 
-@query("bt14_book_costs")
-def _(t):
+_SLIP = f"""greatest(CASE side WHEN 'buy' THEN 1 ELSE -1 END * ((usd + greatest(q - usd, 0e0)) / (base + greatest(q - usd, 0e0) / last) - mid) / mid * 1e4, 0e0)"""
+_BOOKED = f"""WITH hl AS MATERIALIZED (SELECT p.pair, p.sym_a, p.sym_b, p.beta, a.ts, a.close AS ca, b.close AS cb, ln(a.close) - p.beta * ln(b.close) AS spread FROM v_legs p JOIN v_bars_1h a ON a.symbol = p.sym_a JOIN v_bars_1h b ON b.symbol = p.sym_b AND a.ts = b.ts),
+hz AS (SELECT *, CASE WHEN count(spread) OVER w >= 24 THEN (spread - avg(spread) OVER w) / nullif(stddev_samp(spread) OVER w, 0e0) END AS z FROM hl WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+hx AS (SELECT *, (z IS NULL OR abs(z) <= 5e-1 OR abs(z) >= 4) AS x FROM hz),
+hg AS (SELECT *, sum(CASE WHEN x THEN 1 ELSE 0 END) OVER (PARTITION BY pair ORDER BY ts) AS g, CASE WHEN x THEN NULL WHEN z >= 2 THEN -1e0 WHEN z <= -2 THEN 1e0 END AS e FROM hx),
+hp AS (SELECT *, coalesce(first_value(e IGNORE NULLS) OVER (PARTITION BY pair, g ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0e0) AS signal FROM hg),
+hh AS MATERIALIZED (SELECT *, coalesce(lag(signal) OVER w, 0e0) AS held, coalesce(ca / lag(ca) OVER w - 1, 0e0) AS ret_a, coalesce(cb / lag(cb) OVER w - 1, 0e0) AS ret_b FROM hp WINDOW w AS (PARTITION BY pair ORDER BY ts)),
+ho AS (SELECT pair, ts, 'a' AS leg, sym_a AS symbol, CASE WHEN signal >= held THEN 'buy' ELSE 'sell' END AS side, abs(signal - held) * 1e4 AS q FROM hh WHERE signal <> held
+ UNION ALL SELECT pair, ts, 'b', sym_b, CASE WHEN signal >= held THEN 'sell' ELSE 'buy' END, abs(signal - held) * 1e4 * abs(beta) FROM hh WHERE signal <> held),
+hb AS (SELECT o.*, b.* EXCLUDE (symbol, ts, seq) FROM ho o ASOF JOIN v_book b ON o.symbol = b.symbol AND o.ts >= b.ts),
+hw AS (SELECT pair, ts, leg, {_SLIP} AS bps FROM (SELECT *, CASE WHEN side = 'buy' THEN {_WU} ELSE {_WUB} END AS usd, CASE WHEN side = 'buy' THEN {_WB} ELSE {_WBB} END AS base,
+ CASE WHEN side = 'buy' THEN ask_px_10 ELSE bid_px_10 END AS last, (bid_px_1 + ask_px_1) / 2e0 AS mid FROM hb)),
+hs AS (SELECT pair, ts, max(bps) FILTER (leg = 'a') AS sa, max(bps) FILTER (leg = 'b') AS sb FROM hw GROUP BY ALL),
+hc AS (SELECT *, na + nb AS turnover, (na * (5 + coalesce(sa, 2e0)) + nb * (5 + coalesce(sb, 2e0))) / 1e4 AS cost FROM (SELECT hh.*, sa, sb, abs(signal - held) * 1e4 AS na, abs(signal - held) * 1e4 * abs(beta) AS nb FROM hh LEFT JOIN hs ON hs.pair = hh.pair AND hs.ts = hh.ts))"""
+
+
+def booked(t):
     """Trades of every pair on hourly bars, by the causal z of its spread, with book-walk costs per leg and the flat fallback."""
     from ..operators import book as K
     from ..core.ordered import HOUR_US
@@ -280,8 +296,12 @@ def _(t):
         F.struct(c("sym_b").alias("symbol"), F.when(side == "buy", "sell").otherwise("buy").alias("side"), (q * F.abs("beta")).alias("q"), F.lit("b").alias("leg")))).alias("s")).select("pair", "ts", "i", "s.*")
     w = K.book_at(legs.withColumn("lid", F.xxhash64("pair", "i", "leg")), t.book, K.book_columns(), "lid").withColumn("bps", K.slippage_bps(c("q"), c("side")))
     s = w.groupBy("pair", "i").agg(F.max(F.when(c("leg") == "a", c("bps"))).alias("sa"), F.max(F.when(c("leg") == "b", c("bps"))).alias("sb"))
-    out = T.pair_pnl(d.join(s, ["pair", "i"], "left"), T.Costs(), slip_a=F.coalesce("sa", F.lit(2.0)), slip_b=F.coalesce("sb", F.lit(2.0)))
-    return out.select("pair", "ts", "signal", "turnover", rnd("cost", 5).alias("cost"), rnd("pnl", 5).alias("pnl"))
+    return T.pair_pnl(d.join(s, ["pair", "i"], "left"), T.Costs(), slip_a=F.coalesce("sa", F.lit(2.0)), slip_b=F.coalesce("sb", F.lit(2.0)))
+
+
+@query("bt14_book_costs", _BOOKED + f" SELECT pair, ts, signal, turnover, {R('cost', 5)} AS cost, {R('held * 1e4 * (ret_a - beta * ret_b) - cost', 5)} AS pnl FROM hc")
+def _(t):
+    return booked(t).select("pair", "ts", (c("signal") + F.lit(0.0)).alias("signal"), "turnover", rnd("cost", 5).alias("cost"), rnd("pnl", 5).alias("pnl"))
 
 
 @query("bt22_walk_forward", f"SELECT ts, split_id, {R('pnl', 8)} AS pnl, {R('gross', 8)} AS gross FROM v_wport")
@@ -433,13 +453,12 @@ def _(t):
     return rounded(I.cluster_bootstrap(s, "pair", 1000, 3), "point", "lo", "hi", "se", "p")
 
 
-@query("inr21_cost_saving", f"""WITH f AS (SELECT pair, sum(cost) AS c FROM v_pnl GROUP BY pair), g AS (SELECT pair, sum(abs(signal - held) * 1e4 * (1 + abs(beta)) * 55e-1 / 1e4) AS c FROM v_pnl GROUP BY pair)
-SELECT f.pair, {R('f.c', 4)} AS flat_cost, {R('g.c', 4)} AS book_cost, {R('f.c - g.c', 4)} AS saving FROM f JOIN g ON g.pair = f.pair""")
+@query("inr21_cost_saving", _BOOKED + f" SELECT pair, {R('sum(turnover) * 7 / 1e4', 4)} AS flat_cost, {R('sum(cost)', 4)} AS book_cost, {R('sum(turnover) * 7 / 1e4 - sum(cost)', 4)} AS saving FROM hc GROUP BY pair")
 def _(t):
-    s = preds(t).withColumn("signal", T.class_signal())
-    a = T.pair_pnl(s, T.Costs()).groupBy("pair").agg(F.sum("cost").alias("flat_cost"))
-    b = T.pair_pnl(s, T.Costs(slippage_bps=0.5)).groupBy("pair").agg(F.sum("cost").alias("book_cost"))
-    return rounded(a.join(b, "pair").withColumn("saving", c("flat_cost") - c("book_cost")), "flat_cost", "book_cost", "saving", digits=4)
+    """Costs of the same trades at the flat slippage and by walking the book."""
+    flat = T.Costs()
+    g = booked(t).groupBy("pair").agg((F.sum("turnover") * (flat.taker_fee_bps + flat.slippage_bps) / 1e4).alias("flat_cost"), F.sum("cost").alias("book_cost"))
+    return rounded(g.withColumn("saving", c("flat_cost") - c("book_cost")), "flat_cost", "book_cost", "saving", digits=4)
 
 
 @query("inr20_factor_r2")
