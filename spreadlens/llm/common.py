@@ -23,6 +23,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column begins with it (Spark's names ignore case)."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
 def documents(spark: SparkSession, root: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
