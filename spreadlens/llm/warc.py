@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pfs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..core.session import scratch_folder
 from .common import checkpointed
@@ -196,6 +196,13 @@ def _reader(folder: str, payload: bool):
     return run
 
 
+def located(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark itself gives it: that of the default file system where it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Write (page_id, url, html) to archives in ``folder``; the table of the files written."""
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
@@ -215,6 +222,5 @@ def read_archives(files: DataFrame, folder: str, payload: bool = True) -> DataFr
 
 def round_trip(pages: DataFrame, min_bytes: int = 0, payload: bool = False) -> DataFrame:
     """Write the pages to archives in the shared folder and read the records back."""
-    folder = scratch_folder(pages.sparkSession)
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = located(pages.sparkSession, scratch_folder(pages.sparkSession))
     return read_archives(write_archives(pages, folder, min_bytes), folder, payload)
