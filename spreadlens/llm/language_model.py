@@ -4,9 +4,10 @@ Tokens are words with A-Z in lower case, then one end. Counts: every block of do
 their places to the owners of the words; an owner adds up the training counts and answers with sums per document.
 The model's vocabulary is the ``CLASSES - 2`` most frequent training words, the end, and one class for all other words,
 inside which a word has its add-one share; so the probabilities of all words sum to 1.
-The model predicts a class from the two before: score = q_w . (c1 * r_u + c2 * r_v) + b_w. Each task counts the class
-triples of all its training documents and trains on all of them in numpy, a set of noise classes shared by a batch; the
-tasks' parameters are averaged by their tokens. Scoring computes each block's distinct contexts by matrix products with
+The model predicts a class from the two before: score = q_w . (c1 * r_u + c2 * r_v) + b_w. The class triples of all
+training documents are counted and dealt to parts by a hash, one part for ``OWNER_BYTES`` of text; a part trains on its
+triples in numpy, a set of noise classes shared by a batch, and the parts' parameters are averaged by their tokens. So
+scores do not depend on how the rows are spread over tasks. Scoring computes each block's distinct contexts by matrix products with
 a full softmax, and looks every token up.
 
 A document trains unless crc32(id as text) mod ``FOLDS`` is ``HELD_OUT``; a null id counts as an empty one. Null and
@@ -29,7 +30,7 @@ from .text_arrays import U, mix, slices, text_bytes, words_of
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, WIDTH, NOISE, BATCH, RATE = 512, 24, 64, 1024, 0.1
-#: Every task passes over its triples until it has made so many updates, once at least.
+#: Every part passes over its triples until it has made so many updates, once at least.
 UPDATES = 400
 CONTEXTS = 4096
 OTHER, END, START = 0, 1, CLASSES
@@ -117,7 +118,8 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
         sums.append(np.bincount(places, times * value[own], minlength=docs).tobytes())
         known.append(np.bincount(places, times * (total[own] > 0), minlength=docs).astype(np.int64).tobytes())
         at += len(w)
-    best = np.lexsort((distinct, -total))[:CLASSES]
+    plain = np.flatnonzero(distinct != END_WORD)
+    best = np.concatenate([plain[np.lexsort((distinct[plain], -total[plain]))[:CLASSES - 2]], np.flatnonzero(distinct == END_WORD)])
     top = [{"word": int(w), "n": int(c)} for w, c in zip(distinct[best].view(np.int64), total[best]) if c and distinct[best].size]
     out = pd.DataFrame({"block": group["block"].to_numpy(), "sums": sums, "known": known, "ids": None, "prints": None, "tokens": 0, "kinds": 0, "top": None})
     first = pd.DataFrame({"block": [""], "sums": None, "known": None, "ids": None, "prints": None, "tokens": int(total.sum()), "kinds": int((total > 0).sum()), "top": [top]})
@@ -248,7 +250,9 @@ class LogBilinear:
         return out / np.log(10)
 
 
-def _fit(vocabulary: Vocabulary):
+def _triples(vocabulary: Vocabulary, parts: int):
+    """Of every task: its class triples with their counts, dealt to parts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = [], []
         for _, _, train, words, at, _ in blocks(batches):
@@ -263,10 +267,24 @@ def _fit(vocabulary: Vocabulary):
         if codes:
             x, of = np.unique(np.concatenate(codes), return_inverse=True)
             n = np.bincount(of, np.concatenate(counts))
-            if len(x):
-                model = LogBilinear.fresh(vocabulary.frequencies())
-                model.train(x, n, vocabulary.frequencies(), TaskContext.get().partitionId())
-                yield pa.RecordBatch.from_pydict({"weight": pa.array([float(n.sum())]), "flat": pa.array([(model.flat * n.sum()).tobytes()], pa.binary())})
+            n = n.astype(np.int64)
+            part = ((mix(x.astype(np.uint64)) >> U(32)) * U(parts)) >> U(32)
+            for p in np.unique(part):
+                own = part == p
+                yield pa.RecordBatch.from_pydict({"part": pa.array([int(p)], pa.int32()), "codes": pa.array([x[own].astype(np.int64).tobytes()], pa.binary()),
+                                                  "counts": pa.array([n[own].tobytes()], pa.binary())})
+
+    return run
+
+
+def _fit(vocabulary: Vocabulary):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        codes, counts = (np.concatenate([np.frombuffer(x, np.int64) for x in group[c]]) for c in ("codes", "counts"))
+        codes, of = np.unique(codes, return_inverse=True)
+        n = np.bincount(of, counts)
+        model = LogBilinear.fresh(vocabulary.frequencies())
+        model.train(codes, n, vocabulary.frequencies(), int(group["part"].iloc[0]))
+        return pd.DataFrame({"weight": [float(n.sum())], "flat": [(model.flat * n.sum()).tobytes()]})
 
     return run
 
@@ -306,11 +324,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES))
     answers = checkpointed(own.mapInArrow(_send(owners), SENT).groupBy("owner").applyInPandas(_answer, ANSWER))
     totals = answers.filter("block = ''").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
-    top = answers.filter("block = ''").select(F.explode("top").alias("t")).select("t.*").orderBy(F.desc("n"), "word").limit(CLASSES).collect()
+    best = answers.filter("block = ''").select(F.explode("top").alias("t")).select("t.*")
+    end = F.col("word") == int(END_WORD)
+    top = best.filter(~end).orderBy(F.desc("n"), "word").limit(CLASSES - 2).collect() + best.filter(end).collect()
     tokens, kinds = totals["n"] or 0, totals["v"] or 0
     vocabulary = Vocabulary(np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in top], dtype=np.int64), tokens, kinds)
 
-    fitted = checkpointed(own.mapInArrow(_fit(vocabulary), "weight double, flat binary"))
+    parts = max(1, -(-size // OWNER_BYTES))
+    triples = own.mapInArrow(_triples(vocabulary, parts), "part int, codes binary, counts binary")
+    fitted = checkpointed(triples.groupBy("part").applyInPandas(_fit(vocabulary), "weight double, flat binary"))
     sums = fitted.repartition(64).mapInArrow(_added, "weight double, flat binary").collect()
     model = LogBilinear(sum(np.frombuffer(r["flat"]) for r in sums) / sum(r["weight"] for r in sums)) if sums else LogBilinear.fresh(vocabulary.frequencies())
 
