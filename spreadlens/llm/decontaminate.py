@@ -18,7 +18,7 @@ from math import comb
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 MISS = 1e-9
 #: Hash functions of a partition: so many at least, and so many more for each doubling of the size.
@@ -70,9 +70,10 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: i
     pairs = checkpointed(agreed.select("doc", "item"))
 
     suspects = pairs.select(F.col("doc").alias("of")).distinct()
-    texts = docs.join(suspects.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("of")), "left_semi")
+    whole = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    texts = whole.join(suspects.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("of")), "left_semi")
     sought = pairs.join(short.withColumnRenamed("item", "own"), F.col("item").eqNullSafe(F.col("own"))).select(F.col("doc").alias("of"), "item", F.col("g").alias("want"))
-    there = _exploded(texts, id_col, text_col, "doc", size)
+    there = _exploded(texts, "doc", "text", "doc", size)
     found = there.join(sought, F.col("of").eqNullSafe(F.col("doc")) & (F.col("want") == F.col("g"))).select("doc", "item", "g").distinct()
     found = found.groupBy("doc", "item").agg(F.count("*").alias("n_found"))
     sizes = short.groupBy(F.col("item").alias("own")).agg(F.count("*").alias("n_item"))
@@ -81,5 +82,6 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = 5, percent: i
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    gone = contained_items(docs, items, size, percent, id_col, text_col).select(F.col("doc").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    name = fresh(docs.columns, "_gone")
+    gone = contained_items(docs, items, size, percent, id_col, text_col).select(F.col("doc").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from . import golomb
-from .common import checkpointed, shares, whole_text
+from .common import checkpointed, fresh, shares, whole_text
 
 WHITE = " \t\n\x0b\x0c\r"
 BLOCK = "block string, ids array<bigint>, chars array<bigint>, sha array<binary>, codes array<binary>"
@@ -108,17 +108,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns. Of rows that repeat an id and a text one stays."""
+    prefix = fresh(docs.columns, "_copy_")
+    gone_id, gone_sha, nth = (f"{prefix}{c}" for c in ("id", "sha", "nth"))
     gone = checkpointed(exact_groups(docs, id_col, text_col).filter("not kept").select(
-        F.col("id").alias("_id"), F.unhex("text_sha256").alias("_sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("again")))
+        F.col("id").alias(gone_id), F.unhex("text_sha256").alias(gone_sha), F.col("id").eqNullSafe(F.col("keep_id")).alias("again")))
     sha = F.unhex(F.sha2(F.translate(whole_text(text_col), WHITE, ""), 256))
-    is_row = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    is_row = F.col(id_col).eqNullSafe(F.col(gone_id)) & (sha == F.col(gone_sha))
     moved = gone.filter("not again").distinct().hint("shuffle_hash")
     left = docs.join(moved, is_row, "left_anti")
-    again = gone.filter("again").select("_id", "_sha").distinct()
+    again = gone.filter("again").select(gone_id, gone_sha).distinct()
     if again.isEmpty():
         return left
     # identical rows apart: an id whose own text differs in white space alone keeps its longest text
     twice = left.join(again.hint("shuffle_hash"), is_row, "left_semi")
     longest = W.partitionBy(id_col, sha).orderBy(F.length(text_col).desc_nulls_last(), text_col)
-    once = twice.withColumn("_nth", F.row_number().over(longest)).filter("_nth = 1").drop("_nth")
+    once = twice.withColumn(nth, F.row_number().over(longest)).filter(F.col(nth) == 1).drop(nth)
     return left.join(again.hint("shuffle_hash"), is_row, "left_anti").unionByName(once)

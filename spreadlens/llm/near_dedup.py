@@ -12,7 +12,8 @@
 
 A pair at a Jaccard of 0.8 shares no band with a chance of (1 - 0.8^5)^40 = 1e-7. Null and empty texts and texts without
 words have no shingles and are linked with nothing. Rows that share an id count as one document. Rows with a null id
-take part in no link: their component is null and they are kept. An empty table gives an empty result.
+take part in no link: their component is null and they are kept. Texts are never cut: all their shingles count. Equal
+texts are linked with the smallest of their ids. An empty table gives an empty result; further columns are left alone.
 """
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
-from .common import checkpointed, discard
+from .common import checkpointed, discard, fresh
 from .components import connected_components
 from .text_arrays import U, each_text, mix, shingles_of
 
@@ -181,5 +182,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with all its columns."""
-    gone = near_duplicates(docs, size, percent, id_col, text_col).filter("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "_gone")
+    gone = near_duplicates(docs, size, percent, id_col, text_col).filter("not kept").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(name), "left_anti")
