@@ -12,8 +12,8 @@ from spreadlens.llm.queries import tokenizer_file
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return quality.keep_good(docs)
+    """Documents that the quality classifier keeps: good in form, and without toxic terms."""
+    return quality.keep_good(docs, toxic=quality.learn_terms(docs, documents(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
