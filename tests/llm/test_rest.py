@@ -131,7 +131,8 @@ def test_pipeline_against_brute_force(spark):
 
     docs = spark.read.parquet(f"{ROOT}/documents.parquet")
     rows = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    good = {r["id"] for r in quality.score_quality(docs).filter("kept").collect()}
+    terms = quality.learn_terms(docs, spark.read.parquet(f"{ROOT}/labels.parquet"))
+    good = {r["id"] for r in quality.score_quality(docs, toxic=terms).filter("kept").collect()}
     best = {}
     for i in sorted(good):
         s = re.sub("[\x20\x09-\x0D]", "", rows[i])
