@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..core.ordered import DAY_US, HOUR_US, YEAR_US
 from ..operators import bars as B, book as K, panel as N
-from ..sources import lake as L
+from ..sources import day_files as D, lake as L
 from .registry import query, rnd, rnd_sql as R, rounded
 
 
@@ -93,14 +93,39 @@ def _(t):
                                    F.sum("ask_sz_3").alias("s2"), F.count("bid_px_4").alias("n4"))
 
 
+def _vendor_trades(t):
+    """Trades as a vendor's file has them."""
+    return t.trades.select(F.lit("x").alias("exchange"), "symbol", F.unix_micros("ts").alias("timestamp"),
+                           F.unix_micros("ts").alias("local_timestamp"), F.col("trade_id").alias("id"),
+                           F.when(F.col("side") == "", "unknown").otherwise(F.upper("side")).alias("side"), "price", "amount", F.to_date("ts").alias("day"))
+
+
+def _ingest(t, raw, lake, days=None):
+    """Ingest the calendar of all trades, or the part of it that ``days`` keeps."""
+    first, last = t.trades.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    jobs = D.job_grid(t.trades, str(first), str(last))
+    return D.ingest_day_files(t.spark, raw, lake, jobs if days is None else jobs.where(days), D.TRADE_FILE, lambda d: L.canonical_trades(d, "day"))
+
+
+def _day_files(t):
+    path = L.scratch_folder(t.spark)
+    _vendor_trades(t).write.partitionBy("symbol", "day").option("header", True).option("compression", "gzip").csv(path)
+    return path
+
+
+def _trade_lake(t):
+    """The lake of all trades, from day files; built at first use."""
+    if "trade_lake" not in t.stored:
+        t.stored["trade_lake"] = L.scratch_folder(t.spark)
+        _ingest(t, _day_files(t), t.stored["trade_lake"])
+    return t.stored["trade_lake"]
+
+
 @query("src9_raw_trades_csv", f"""
 SELECT symbol, side, count(*) AS n, {R('sum(notional)', 2)} AS notional FROM v_trades GROUP BY symbol, side""")
 def _(t):
     path = L.scratch_folder(t.spark)
-    (t.trades.select(F.lit("x").alias("exchange"), "symbol", F.unix_micros("ts").alias("timestamp"),
-                     F.unix_micros("ts").alias("local_timestamp"), F.col("trade_id").alias("id"),
-                     F.when(F.col("side") == "", "unknown").otherwise(F.upper("side")).alias("side"), "price", "amount")
-     .write.option("header", True).csv(path))
+    _vendor_trades(t).drop("day").write.option("header", True).csv(path)
     return L.read_raw_trades(t.spark, path).groupBy("symbol", "side").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.sum("notional"), 2).alias("notional"))
 
@@ -115,16 +140,41 @@ def _(t):
     return t.spark.read.parquet(path).groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
+_DAY_JOBS = """
+j AS (SELECT s.symbol, CAST(d.day AS DATE) AS day FROM (SELECT DISTINCT symbol FROM v_trades) s,
+  (SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS day FROM v_trades) d),
+n AS (SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS rows FROM v_trades GROUP BY ALL),
+st AS (SELECT j.symbol, j.day, CASE WHEN n.rows IS NULL THEN 'missing' WHEN j.day < DATE '2024-01-12' THEN 'skipped' ELSE 'written' END AS status, n.rows
+  FROM j LEFT JOIN n ON n.symbol = j.symbol AND n.day = j.day)"""
+
+
+def _second_run(t):
+    """Status of the whole calendar when the days before the 12th are stored already."""
+    raw, lake = _day_files(t), L.scratch_folder(t.spark)
+    _ingest(t, raw, lake, F.col("day") < F.lit("2024-01-12").cast("date"))
+    return _ingest(t, raw, lake)
+
+
+@query("src10_day_status", f"WITH {_DAY_JOBS} SELECT symbol, day, status, CASE WHEN status = 'written' THEN rows END AS rows FROM st")
+def _(t):
+    return _second_run(t).drop("message")
+
+
+@query("src10_ingest_receipt", f"""WITH {_DAY_JOBS} SELECT count(*) AS requested, count(*) FILTER (status = 'skipped') AS skipped_existing,
+  count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'missing') AS missing, CAST(0 AS BIGINT) AS errors,
+  CAST(coalesce(sum(rows) FILTER (status = 'written'), 0) AS BIGINT) AS rows_written FROM st""")
+def _(t):
+    return D.receipt(_second_run(t))
+
+
 @query("src11_csv_to_lake", "SELECT symbol, year(ts) AS year, count(*) AS n FROM v_trades GROUP BY ALL")
 def _(t):
-    path = L.scratch_folder(t.spark)
-    L.write_store(t.trades.withColumn("year", F.year("ts")), path, by=("symbol", "year"))
-    return t.spark.read.parquet(path).groupBy("symbol", "year").agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(_trade_lake(t)).groupBy("symbol", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src12_load_day", "SELECT ts, price, amount FROM v_trades WHERE symbol = 'S1' AND ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10'")
 def _(t):
-    return L.load_range(t.trades, "2024-01-09", "2024-01-10", ["S1"]).select("ts", "price", "amount")
+    return D.lake_day(t.spark, _trade_lake(t), "S1", "2024-01-09").select("ts", "price", F.col("amount").cast("bigint").alias("amount"))
 
 
 @query("src13_daily_spread_vwap", f"""
@@ -137,7 +187,7 @@ def _(t):
     day = F.to_date("ts").alias("day")
     s = (K.valid(L.load_range(t.book, "2024-01-05", "2024-01-25", ["S2"])).groupBy(day)
          .agg(rnd(F.avg(K.quoted_spread_bps())).alias("avg_spread_bps")))
-    v = (L.load_range(t.trades, "2024-01-05", "2024-01-25", ["S2"]).groupBy(day)
+    v = (D.lake_range(t.spark, _trade_lake(t), "2024-01-05", "2024-01-25", ["S2"]).groupBy(day)
          .agg(rnd(F.sum("notional") / F.sum("amount")).alias("vwap"), F.count(F.lit(1)).alias("n_trades")))
     return s.join(v, "day")
 

@@ -137,10 +137,15 @@ def read_raw_book(spark: SparkSession, path: str, levels: int = 10) -> DataFrame
 
 
 def read_raw_trades(spark: SparkSession, path: str) -> DataFrame:
-    """trades CSV -> canonical ticks; unknown sides become blank, notional = price * amount."""
-    raw = spark.read.option("header", True).csv(path)
+    """trades CSV -> canonical ticks."""
+    return canonical_trades(spark.read.option("header", True).csv(path))
+
+
+def canonical_trades(raw: DataFrame, *more: str) -> DataFrame:
+    """Raw trades -> canonical ticks; unknown sides become blank, notional = price * amount."""
     side = F.lower("side")
     return raw.select(
+        *more,
         "symbol", F.timestamp_micros(F.col("timestamp").cast("long")).alias("ts"),
         F.timestamp_micros(F.col("local_timestamp").cast("long")).alias("local_ts"),
         F.col("id").alias("trade_id"), F.when(side.isin("buy", "sell"), side).otherwise("").alias("side"),
