@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..core.ordered import DAY_US, SECOND_US, int_div
 from ..core.session import checkpointed
 from . import book as K
-from .inference import hash_unit, safe_corr
+from .inference import exact_quantiles, hash_unit, safe_corr
 
 c = F.col
 
@@ -93,12 +93,15 @@ def policies(d: DataFrame) -> DataFrame:
 
 
 def cost_table(d: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean, median and tail costs, fill and post rates over every combination of ``keys`` and pooled."""
+    """Mean, median and tail costs, fill and post rates over the rollup of ``keys``; quantiles are exact and no group is one task."""
+    label = lambda k: F.coalesce(c(k).cast("string"), F.lit("ALL"))
+    levels = [F.struct(*[(label(k) if i < n else F.lit("ALL")).alias(k) for i, k in enumerate(keys)]) for n in range(len(keys) + 1)]
+    each = d.select("cost_passive", F.explode(F.array(*levels)).alias("_level")).select("cost_passive", "_level.*")
+    tails = exact_quantiles(each, "cost_passive", (0.5, 0.9, 0.95), keys, ("p50", "p90", "p95"))
     g = d.rollup(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(x) for x in ("cost_agg", "cost_passive", "cost_timed", "cost_flip", "cost_oracle", "cost_anti")],
-        F.median("cost_passive").alias("p50"), F.percentile("cost_passive", 0.9).alias("p90"), F.percentile("cost_passive", 0.95).alias("p95"),
         (F.avg(c("filled").cast("double")) * 100).alias("fill_pct"), (F.avg(c("posted").cast("double")) * 100).alias("post_pct"))
-    return g.withColumns({k: F.coalesce(c(k).cast("string"), F.lit("ALL")) for k in keys})
+    return g.withColumns({k: label(k) for k in keys}).join(tails, list(keys), "left")
 
 
 def signal_correlations(d: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..core.ordered import YEAR_US, block_window, core_rows, halo_blocks, row_index
 from ..core.session import checkpointed
+from .inference import exact_medians
 
 c = F.col
 
@@ -224,7 +225,7 @@ def chronological_split(samples_: DataFrame, test_days: int) -> DataFrame:
 def impute_and_scale(train: DataFrame, rows: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     """Median-impute and standardise with train-only statistics (one aggregate row per key)."""
     keys = list(keys or [])
-    med = train.groupBy(*keys).agg(*[F.coalesce(F.median(x), F.lit(0.0)).alias(f"_m_{x}") for x in cols])
+    med = exact_medians(train, cols, keys).select(*keys, *[F.coalesce(x, F.lit(0.0)).alias(f"_m_{x}") for x in cols])
     on = (lambda d, s: d.join(F.broadcast(s), keys)) if keys else (lambda d, s: d.join(F.broadcast(s)))
     fill = {x: F.coalesce(c(x), c(f"_m_{x}")) for x in cols}
     st = on(train, med).withColumns(fill).groupBy(*keys).agg(

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..core.ordered import BLOCK_ROWS, block_window, core_rows, halo_blocks
+from ..core.session import checkpointed
 from ..functions.tails import NORMAL, normal_cdf
 
 c = F.col
@@ -338,18 +339,24 @@ def average_rank(value: str, keys: Sequence[str]) -> Column:
     return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2.0
 
 
-def value_positions(df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int = 64) -> DataFrame:
-    """Per key and distinct value: its count ``_c`` and the number of rows below it ``_before``.
+def value_positions(df: DataFrame, value: str, keys: Sequence[str] = (), limit: int = 250_000) -> DataFrame:
+    """Per key and distinct value: its count ``_c`` and the number of rows below it ``_before``; null keys are left out.
 
-    Equal values collapse map-side first.  The distinct values of a key are then cut at approximate
-    quantiles into buckets, counted inside each bucket, and bucket totals are scanned; so neither a hot
-    key nor a hot value puts an ordering of many rows into one task.
+    Equal values collapse map-side first. While a bucket of distinct values (a key's at first) holds more than ``limit``, it
+    is cut at 64 approximate quantiles of its own, so 64^n times as many values take n passes more. Values are counted inside
+    each bucket and bucket totals are scanned: neither a hot key nor a hot value puts an ordering of many rows into one task.
     """
     keys = list(keys)
-    v = df.where(c(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = v.groupBy(*keys).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000).alias("_q"))
-    v = v.join(cuts, keys) if keys else v.join(F.broadcast(cuts))
-    v = v.withColumn("_b", F.size(F.filter("_q", lambda q: q < c(value)))).drop("_q")
+    known = df.where(c(value).isNotNull()).dropna(subset=keys) if keys else df.where(c(value).isNotNull())
+    v = checkpointed(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))).withColumn("_b", F.array().cast("array<int>"))
+    while True:
+        full = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m")).where(c("_m") > limit).drop("_m")
+        if full.isEmpty():
+            break
+        cuts = v.join(full, [*keys, "_b"], "left_semi").groupBy(*keys, "_b").agg(
+            F.percentile_approx(value, [k / 64 for k in range(1, 64)], 10_000).alias("_q"))
+        deeper = F.concat("_b", F.array(F.size(F.filter("_q", lambda q: q < c(value)))))
+        v = checkpointed(v.join(cuts, [*keys, "_b"], "left").withColumn("_b", F.when(c("_q").isNull(), c("_b")).otherwise(deeper)).drop("_q"))
     total = v.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
     part = [c(k) for k in keys] or [F.lit(0)]
     scan = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -382,6 +389,16 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     return g.select(*keys, *[(c(f"_l_{x}") + (c(f"_h_{x}") - c(f"_l_{x}")) * c(f"_f_{x}")).alias(x) for x in names])
 
 
+def exact_medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per key with the exact median of each column under its own name; null where a column is."""
+    keys = list(keys)
+    pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("_col"), c(x).cast("double").alias("_val")) for x in cols]))
+    long = df.select(*keys, pairs.alias("_x")).select(*keys, "_x._col", "_x._val")
+    q = exact_quantiles(long, "_val", [0.5], [*keys, "_col"], ["_q"])
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(c("_col") == x, c("_q"))).alias(x) for x in cols])
+    return df.select(*keys).distinct().join(wide, keys, "left") if keys else wide
+
+
 def standardise(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Population z-scores within keys; a constant column gives 0.  Statistics come from an aggregate
     joined back, so a large group is never one window."""

@@ -9,7 +9,7 @@ from ..core.ordered import (DAY_US, HOUR_US, SECOND_US, block_window, carry_forw
                             running_sum)
 from . import book as K
 from .bars import fill_days, left_edge, right_edge, sum_if
-from .inference import safe_corr
+from .inference import exact_quantiles, safe_corr
 from .panel import bar_index, index_ts
 
 c = F.col
@@ -299,8 +299,8 @@ def har_features(hourly: DataFrame, micro: Sequence[str] = ("qupd", "spr_m", "sp
 def vol_target_cv(df: DataFrame, actual: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
     """Coefficient of variation of realised risk under volatility targeting; forecasts floored at their 1 %
     quantile."""
-    q = df.groupBy(*keys).agg(F.percentile(pred, 0.01).alias("_q"))
-    d = (df.join(q, list(keys)) if keys else df.join(F.broadcast(q))).withColumn("_p", F.greatest(c(pred), c("_q")))
-    m = d.groupBy(*keys).agg(F.median("_p").alias("_m"))
-    d = (d.join(m, list(keys)) if keys else d.join(F.broadcast(m))).withColumn("_r", c("_m") / c("_p") * c(actual))
+    q = exact_quantiles(df, pred, [0.01], keys, ["_q"])
+    d = (df.join(q, list(keys), "left") if keys else df.join(F.broadcast(q))).withColumn("_p", F.greatest(c(pred), c("_q")))
+    m = exact_quantiles(d, "_p", [0.5], keys, ["_m"])
+    d = (d.join(m, list(keys), "left") if keys else d.join(F.broadcast(m))).withColumn("_r", c("_m") / c("_p") * c(actual))
     return d.groupBy(*keys).agg((F.stddev_pop("_r") / F.avg("_r")).alias("cv"), (F.stddev_pop(actual) / F.avg(actual)).alias("cv_flat"))

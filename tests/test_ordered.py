@@ -44,6 +44,23 @@ def test_positions_and_quantiles_with_a_hot_value(spark):
     assert a == rows(d.withColumn("r", I.average_rank("v", ["k"])), "r")
 
 
+def test_full_buckets_are_cut_again(spark):
+    table = lambda x, *cols: sorted(tuple(r) for r in x.select(*cols).collect())
+    d = spark.range(6000).withColumns({"k": F.when(F.col("id") % 5 == 0, "small").when(F.col("id") % 997 == 1, None).otherwise("large"),
+                                       "v": F.when(F.col("id") % 4 == 0, -1.0).otherwise(F.round(F.exp(F.pmod(F.xxhash64("id"), F.lit(2000)) / 150.0), 9))})
+    d = d.unionByName(d.limit(50).withColumns({"k": F.lit("none"), "v": F.lit(None).cast("double")}))
+    w = Window.partitionBy("k").orderBy("v")
+    known = d.where("k IS NOT NULL AND v IS NOT NULL")
+    want = known.groupBy("k", "v").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    for limit in (2, 40, 1000, 250_000):
+        assert table(I.value_positions(d, "v", ["k"], limit), "k", "v", "_c", "_before") == table(want, "k", "v", "_c", "_before")
+    whole = known.groupBy("v").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    assert table(I.value_positions(known, "v", (), 30), "v", "_c", "_before") == table(whole, "v", "_c", "_before")
+    m = {r["k"]: (r["v"], r["w"]) for r in I.exact_medians(d.withColumn("w", -F.col("v")), ["v", "w"], ["k"]).where("k IS NOT NULL").collect()}
+    e = {r["k"]: (r["v"], r["w"]) for r in d.where("k IS NOT NULL").groupBy("k").agg(F.median("v").alias("v"), F.median(-F.col("v")).alias("w")).collect()}
+    assert m == e and m["none"] == (None, None)
+
+
 def test_bartlett_equals_the_textbook_sum(spark):
     r = random.Random(2)
     x = [r.gauss(0, 1) for _ in range(300)]
