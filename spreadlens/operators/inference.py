@@ -296,7 +296,7 @@ def block_bootstrap(series: DataFrame, value: str, block: int, reps: int, seed:
     h = core_rows(h.withColumns({"_c": F.count("x").over(w), "_s": F.sum("x").over(w), "_q": F.sum(c("x") * c("x")).over(w)}))
     starts = h.where((c("_p") < c("n")) & (c("_c") == block)).select("_p", "_s", "_q", "n")
     span = F.when(F.lit(circular), c("n")).otherwise(c("n") - block + 1)
-    draws = (n.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    draws = (n.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).repartition("rep")  # a replicate's draws are made by its task
              .withColumn("_d", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(c("n") / block))))
              .withColumn("_p", F.floor(hash_unit("rep", "_d", F.lit(seed)) * span).cast("long")).select("rep", "_p"))
     g = draws.join(starts, "_p").groupBy("rep").agg(

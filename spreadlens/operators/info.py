@@ -3,10 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..core.ordered import (DAY_US, HOUR_US, SECOND_US, block_window, carry_forward, core_rows, halo_blocks, previous_row,
-                            running_sum)
+from ..core.ordered import (BLOCK_ROWS, DAY_US, HOUR_US, SECOND_US, block_window, carry_forward, core_rows, halo_blocks, int_div,
+                            previous_row, running_sum)
 from . import book as K
 from .bars import fill_days, left_edge, right_edge, sum_if
 from .inference import exact_quantiles, safe_corr
@@ -260,13 +263,61 @@ def spread_return_on_flow(flow: DataFrame, horizons: Sequence[int], now_lag: int
     return out
 
 
-def lead_lag(returns: DataFrame, leader: str, max_lag: int) -> DataFrame:
-    """Correlation of the leader's return with each follower's return ``lag`` bars later; gap-aware because
-    the join is on the bar number."""
-    l = returns.where(c("symbol") == leader).select("i", c("ret").alias("x"))
-    l = l.withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag)))).withColumn("i", c("i") + c("lag"))
-    f = returns.where(c("symbol") != leader).select("symbol", "i", c("ret").alias("y"))
-    return f.join(l, "i").groupBy("symbol", "lag").agg(safe_corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+def lead_lag(returns: DataFrame, leader: str, max_lag: int, rows: int = BLOCK_ROWS, symbols: int = 128) -> DataFrame:
+    """Correlation of the leader's return with each follower's return ``lag`` bars later, over the bars that both have.
+
+    A task holds about ``symbols`` followers over ``rows`` bars and the leader over these bars and ``max_lag`` to either
+    side; sums of all lags are matrix products with the leader's moving window."""
+    follow = returns.where(c("symbol") != leader).select("symbol", "i", c("ret").cast("double").alias("y"))
+    tiles = follow.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct("symbol") / symbols)).cast("int").alias("_tiles"))
+    rows = max(rows, max_lag)
+    follow = follow.join(F.broadcast(tiles)).select("symbol", c("i").cast("long").alias("at"), "y", int_div(c("i").cast("long"), rows).alias("_blk"), F.pmod(F.xxhash64("symbol"), c("_tiles")).cast("int").alias("_tile"))
+    lead = halo_blocks(returns.where(c("symbol") == leader).select("i", c("ret").cast("double").alias("x")), "i", back=max_lag, fwd=max_lag, rows=rows)
+    lead = lead.join(F.broadcast(tiles)).select(c("i").cast("long").alias("when"), "x", "_blk", F.explode(F.sequence(F.lit(0), c("_tiles") - 1)).alias("_tile"))
+
+    def run(f: pa.Table, l: pa.Table) -> pa.Table:
+        if not (f.num_rows and l.num_rows):
+            return LAG_SUMS.empty_table()
+        code = pc.dictionary_encode(f.column("symbol").combine_chunks())
+        at = f.column("at").to_numpy()
+        lo = int(at.min())
+        y = np.full((len(code.dictionary), int(at.max()) - lo + 1), np.nan)
+        y[code.indices.to_numpy(), at - lo] = f.column("y").to_numpy()
+        x = np.full(y.shape[1] + 2 * max_lag, np.nan)
+        when = l.column("when").to_numpy() - lo + max_lag
+        near = (when >= 0) & (when < len(x))
+        x[when[near]] = l.column("x").to_numpy()[near]
+        # column k of the window holds the leader max_lag - k bars before the follower's bar
+        sums = lag_products(x, y)
+        names = np.array(code.dictionary.to_pylist(), dtype=object)
+        out = {"symbol": pa.array(np.repeat(names, 2 * max_lag + 1)), "lag": pa.array(np.tile(np.arange(max_lag, -max_lag - 1, -1), len(names)).astype(np.int32))}
+        return pa.table({**out, **{k: pa.array(v.ravel()) for k, v in sums.items()}}).cast(LAG_SUMS)
+
+    d = follow.groupBy("_blk", "_tile").cogroup(lead.groupBy("_blk", "_tile")).applyInArrow(run, "symbol string, lag int, n double, x double, y double, xx double, yy double, xy double")
+    s = d.groupBy("symbol", "lag").agg(*[F.sum(k).alias(k) for k in ("n", "x", "y", "xx", "yy", "xy")]).where("n > 0")
+    # a side that doesn't vary leaves rounding errors alone
+    spread = lambda q, v: F.when(c(q) - c(v) * c(v) / c("n") > 1e-12 * c(q), c(q) - c(v) * c(v) / c("n"))
+    corr = (c("xy") - c("x") * c("y") / c("n")) / F.sqrt(spread("xx", "x") * spread("yy", "y"))
+    return s.select("symbol", "lag", corr.alias("corr"), c("n").cast("long").alias("n"))
+
+
+LAG_SUMS = pa.schema([("symbol", pa.string()), ("lag", pa.int32()), *((k, pa.float64()) for k in ("n", "x", "y", "xx", "yy", "xy"))])
+
+
+def lag_products(x: np.ndarray, y: np.ndarray, width: int = 256) -> dict[str, np.ndarray]:
+    """For every row of y (n long) and every shift k of x (n + lags - 1 long): sums over the t where y[t] and x[t + k] exist."""
+    ok = np.isfinite(y)
+    y0, here = np.where(ok, y, 0.0), ok.astype(float)
+    x0, there = np.where(np.isfinite(x), x, 0.0), np.isfinite(x).astype(float)
+    found: dict[str, list[np.ndarray]] = {k: [] for k in ("n", "x", "y", "xx", "yy", "xy")}
+    shifts, n = len(x) - y.shape[1] + 1, y.shape[1]
+    for k in range(0, shifts, width):
+        to = min(k + width, shifts)
+        view = lambda v: np.lib.stride_tricks.sliding_window_view(v[k:to + n - 1], to - k)
+        vx, vm = view(x0), view(there)
+        for name, part in (("n", here @ vm), ("x", here @ vx), ("y", y0 @ vm), ("xx", here @ view(x0 * x0)), ("yy", (y0 * y0) @ vm), ("xy", y0 @ vx)):
+            found[name].append(part)
+    return {k: np.concatenate(v, axis=1) for k, v in found.items()}
 
 
 def peak_lag(xc: DataFrame) -> DataFrame:

@@ -1,15 +1,19 @@
 """Pair statistics from moment matrices.
 
 All C(N,2) pairs need sums such as ``sum(x_a * x_b)``.  Joining the panel with itself would shuffle
-N*(N-1)/2 rows per bar; instead each block of bars becomes a small symbol-by-bar matrix inside one
-task and its products with itself are the moments of *all* pairs of that block.  What leaves the
-task is one row per pair and block, whatever the number of bars.
+N*(N-1)/2 rows per bar; instead each block of bars becomes small symbol-by-bar matrices, and a tile, two
+blocks of symbols over one block of bars, gives the moments of all its pairs as matrix products.  What leaves
+the task is one row per pair and block, whatever the number of bars.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..core.ordered import core_rows, halo_blocks, block_window  # noqa: F401
 
@@ -17,70 +21,95 @@ LEVEL = ["n", "sa", "sb", "saa", "sbb", "sab"]
 LAGGED = ["m", "la", "lb", "pa", "pb", "laa", "lbb", "lab", "paa", "pbb", "pab", "lapa", "lapb", "lbpa", "lbpb"]
 RETURN = ["ra", "rb", "raa", "rbb", "rab"]
 MOMENTS = LEVEL + LAGGED + RETURN
-
-
-def _block_moments(keys: list[str], idx: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        syms, code = np.unique(pdf["symbol"].to_numpy(dtype=str), return_inverse=True)
-        bars = pdf[idx].to_numpy()
-        lo = bars.min()
-        T = int(bars.max() - lo + 1)
-        x = np.full((len(syms), T), np.nan)
-        core = np.zeros(T, dtype=bool)
-        x[code, bars - lo] = pdf["x"].to_numpy(dtype=float)
-        core[(bars - lo)[pdf["_core"].to_numpy(dtype=bool)]] = True
-        L, P = x[:, 1:], x[:, :-1]
-        ok = np.isfinite(x) & core
-        ok2 = np.isfinite(L) & np.isfinite(P) & core[1:]
-
-        def products(u, mu, v, mv):
-            return np.where(mu, u, 0.0) @ np.where(mv, v, 0.0).T
-
-        def count(mu, mv):
-            return mu.astype(float) @ mv.astype(float).T
-
-        one, one2 = np.ones_like(x), np.ones_like(L)
-        R = L - P
-        out = {
-            "n": count(ok, ok), "sa": products(x, ok, one, ok), "sb": products(one, ok, x, ok),
-            "saa": products(x * x, ok, one, ok), "sbb": products(one, ok, x * x, ok), "sab": products(x, ok, x, ok),
-            "m": count(ok2, ok2), "la": products(L, ok2, one2, ok2), "lb": products(one2, ok2, L, ok2),
-            "pa": products(P, ok2, one2, ok2), "pb": products(one2, ok2, P, ok2),
-            "laa": products(L * L, ok2, one2, ok2), "lbb": products(one2, ok2, L * L, ok2),
-            "lab": products(L, ok2, L, ok2), "paa": products(P * P, ok2, one2, ok2),
-            "pbb": products(one2, ok2, P * P, ok2), "pab": products(P, ok2, P, ok2),
-            "lapa": products(L * P, ok2, one2, ok2), "lapb": products(L, ok2, P, ok2),
-            "lbpa": products(P, ok2, L, ok2), "lbpb": products(one2, ok2, L * P, ok2),
-            "ra": products(R, ok2, one2, ok2), "rb": products(one2, ok2, R, ok2),
-            "raa": products(R * R, ok2, one2, ok2), "rbb": products(one2, ok2, R * R, ok2),
-            "rab": products(R, ok2, R, ok2),
-        }
-        a, b = np.triu_indices(len(syms), 1)
-        frame = {k: pdf[k].iloc[0] for k in keys}
-        frame.update({"sym_a": syms[a], "sym_b": syms[b]})
-        frame.update({k: out[k][a, b] for k in MOMENTS})
-        return pd.DataFrame(frame, columns=[*keys, "sym_a", "sym_b", *MOMENTS])
+SWAPPED = {m: t if (t := m.translate(str.maketrans("ab", "ba"))) in MOMENTS else m for m in MOMENTS}
+TILE_SYMBOLS = 128
+
+
+def _matrix(t: pa.Table, idx: str, lo: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, values by symbol and bar, which bars are the block's own) of one side of a tile."""
+    code = pc.dictionary_encode(t.column("symbol").combine_chunks())
+    names = np.array(code.dictionary.to_pylist(), dtype=object)
+    bars, own = t.column(idx).to_numpy() - lo, t.column("_core").to_numpy(zero_copy_only=False).astype(bool)
+    x = np.full((len(names), width), np.nan)
+    x[code.indices.to_numpy(), bars] = t.column("x").to_numpy(zero_copy_only=False).astype(float)
+    core = np.zeros(width, dtype=bool)
+    core[bars[own]] = True
+    return names, x, core
+
+
+def _tile_moments(x: np.ndarray, y: np.ndarray, core: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums over the bars that both have, for every row of x (a) with every row of y (b)."""
+    def level(v):
+        ok = np.isfinite(v) & core
+        w = np.where(ok, v, 0.0)
+        return ok.astype(float), w, w * w
+
+    def moves(v):
+        ok = np.isfinite(v[:, 1:]) & np.isfinite(v[:, :-1]) & core[1:]
+        last, prior = np.where(ok, v[:, 1:], 0.0), np.where(ok, v[:, :-1], 0.0)
+        return ok.astype(float), last, prior
+
+    (ka, a, aa), (kb, b, bb) = level(x), level(y)
+    (ma, la, pa_), (mb, lb, pb) = moves(x), moves(y)
+    ra, rb = la - pa_, lb - pb
+    return {
+        "n": ka @ kb.T, "sa": a @ kb.T, "sb": ka @ b.T, "saa": aa @ kb.T, "sbb": ka @ bb.T, "sab": a @ b.T,
+        "m": ma @ mb.T, "la": la @ mb.T, "lb": ma @ lb.T, "pa": pa_ @ mb.T, "pb": ma @ pb.T,
+        "laa": (la * la) @ mb.T, "lbb": ma @ (lb * lb).T, "lab": la @ lb.T,
+        "paa": (pa_ * pa_) @ mb.T, "pbb": ma @ (pb * pb).T, "pab": pa_ @ pb.T,
+        "lapa": (la * pa_) @ mb.T, "lapb": la @ pb.T, "lbpa": pa_ @ lb.T, "lbpb": ma @ (lb * pb).T,
+        "ra": ra @ mb.T, "rb": ma @ rb.T, "raa": (ra * ra) @ mb.T, "rbb": ma @ (rb * rb).T, "rab": ra @ rb.T,
+    }
+
+
+def _block_moments(keys: list[str], idx: str, schema: pa.Schema):
+    def run(t: pa.Table) -> pa.Table:
+        down, across = t.column("_down")[0].as_py(), t.column("_across")[0].as_py()
+        bars = t.column(idx).to_numpy()
+        lo, width = int(bars.min()), int(bars.max() - bars.min() + 1)
+        if down == across:
+            names, x, core = _matrix(t, idx, lo, width)
+            found, (u, v) = _tile_moments(x, x, core), np.triu_indices(len(names), 1)
+            left, right = names[u], names[v]
+        else:
+            sides = [t.filter(pc.equal(t.column("_side"), k)) for k in (down, across)]
+            if not (sides[0].num_rows and sides[1].num_rows):
+                return schema.empty_table()
+            (left_names, x, cx), (right_names, y, cy) = (_matrix(s, idx, lo, width) for s in sides)
+            found = _tile_moments(x, y, cx | cy)
+            u, v = (k.ravel() for k in np.indices((len(left_names), len(right_names))))
+            left, right = left_names[u], right_names[v]
+        turned = (left > right).astype(bool)  # the pair's first symbol is the smaller one
+        cols = {k: pa.repeat(t.column(k)[0], len(left)) for k in keys}
+        cols["sym_a"], cols["sym_b"] = pa.array(np.where(turned, right, left)), pa.array(np.where(turned, left, right))
+        cols.update({m: pa.array(np.where(turned, found[SWAPPED[m]][u, v], found[m][u, v])) for m in MOMENTS})
+        return pa.table(cols).cast(schema)
 
     return run
 
 
 def pair_moments(panel: DataFrame, value: str = "lp", idx: str = "i", keys: list[str] | None = None,
-                 rows: int = 4096) -> DataFrame:
+                 rows: int = 4096, symbols: int = TILE_SYMBOLS) -> DataFrame:
     """Moments of every unordered symbol pair, per ``keys``: one row per (keys, pair).
 
-    ``panel`` is gridded on ``idx``.  Values are measured from the symbol's first value so that the
-    products stay small; slopes, residuals and correlations do not depend on it, the intercept is
-    restored by :func:`pair_fit`.
+    ``panel`` is gridded on ``idx``.  A task holds a tile: two blocks of about ``symbols`` symbols over ``rows`` bars,
+    so a row is sent once for each block of symbols and no task holds all symbols or all bars.  Values are measured
+    from the symbol's first value so that the products stay small; slopes, residuals and correlations do not depend
+    on it, the intercept is restored by :func:`pair_fit`.
     """
     keys = list(keys or [])
     base = panel.groupBy(*keys, "symbol").agg(F.min_by(value, idx).alias("x0"))
     d = (panel.select(*keys, "symbol", idx, value).join(base, [*keys, "symbol"])
          .select(*keys, "symbol", idx, (F.col(value) - F.col("x0")).alias("x")))
     d = halo_blocks(d, idx, back=1, rows=rows)
-    types = dict(panel.dtypes)
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "sym_a string", "sym_b string",
-                        *(f"{m} double" for m in MOMENTS)])
-    part = d.groupBy(*keys, "_blk").applyInPandas(_block_moments(keys, idx), schema)
+    blocks = base.agg(F.greatest(F.lit(1), F.ceil(F.count_distinct("symbol") / symbols)).cast("int").alias("_blocks"))
+    d = d.join(F.broadcast(blocks)).withColumn("_side", F.pmod(F.xxhash64("symbol"), F.col("_blocks")).cast("int"))
+    d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        *keys, "symbol", idx, "x", "_core", "_blk", "_side",
+        F.least("_side", "_other").alias("_down"), F.greatest("_side", "_other").alias("_across"))
+    shape = StructType([*(panel.schema[k] for k in keys), StructField("sym_a", StringType()), StructField("sym_b", StringType()),
+                        *(StructField(m, DoubleType()) for m in MOMENTS)])
+    part = d.groupBy(*keys, "_blk", "_down", "_across").applyInArrow(_block_moments(keys, idx, to_arrow_schema(shape)), shape)
     total = part.groupBy(*keys, "sym_a", "sym_b").agg(*[F.sum(m).alias(m) for m in MOMENTS])
     a = base.select(*keys, F.col("symbol").alias("sym_a"), F.col("x0").alias("a0"))
     b = base.select(*keys, F.col("symbol").alias("sym_b"), F.col("x0").alias("b0"))

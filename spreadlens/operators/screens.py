@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..core.ordered import BLOCK_ROWS, block_window, core_rows, halo_blocks
@@ -73,16 +74,34 @@ def engle_granger(legs: DataFrame, keys: Sequence[str] = ("pair",), lags: int =
     return adf(r, keys, "_res", lags=lags, constant=False, series=2, prefix="eg")
 
 
-def ljung_box(df: DataFrame, keys: Sequence[str], value: str, lags: int = 20, idx: str = "i") -> DataFrame:
+def ljung_box(df: DataFrame, keys: Sequence[str], value: str, lags: int = 20, idx: str = "i", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Ljung-Box statistic of each key. Sums of products at all lags come from one matrix product a block of ``rows`` bars;
+    a missing bar or value makes no product."""
+    from .info import lag_products
     keys = list(keys)
+    types = dict(df.dtypes)
     m = df.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.count(value).alias("n"))
-    d = df.join(m, keys).withColumn("_x", c(value) - c("_mu"))
-    h = halo_blocks(d, idx, back=lags)
-    w = block_window(keys, idx)
-    h = core_rows(h.withColumns({f"_p{k}": c("_x") * F.lag("_x", k).over(w) for k in range(1, lags + 1)}))
-    g = h.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(c("_x") * c("_x")).alias("_g0"), *[F.sum(f"_p{k}").alias(f"_p{k}") for k in range(1, lags + 1)])
-    q = sum((F.pow(c(f"_p{k}") / c("_g0"), F.lit(2.0)) / (c("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
-    s = g.select(*keys, "n", (c("n") * (c("n") + 2) * q).alias("lb_stat"))
+    h = halo_blocks(df.select(*keys, idx, value).join(m.select(*keys, "_mu"), keys), idx, back=lags, rows=rows)
+    h = h.select(*keys, c(idx).cast("long").alias("_i"), "_blk", "_core", (c(value) - c("_mu")).alias("_x"))
+
+    def products(t: pa.Table) -> pa.Table:
+        at, own = t.column("_i").to_numpy(), t.column("_core").to_numpy(zero_copy_only=False).astype(bool)
+        head = t.slice(0, 1).select(keys)
+        if not own.any():
+            return pa.table({**{k: head.column(k).slice(0, 0) for k in keys}, "_k": pa.array([], pa.int32()), "_p": pa.array([], pa.float64())})
+        values, lo = t.column("_x").to_numpy(zero_copy_only=False).astype(float), int(at[own].min())
+        x = np.full(int(at[own].max()) - lo + 1 + lags, np.nan)
+        near = at >= lo - lags
+        x[at[near] - lo + lags] = values[near]
+        sums = lag_products(x, x[None, lags:])["xy"][0][::-1]
+        return pa.table({**{k: pa.repeat(head.column(k)[0], lags + 1) for k in keys}, "_k": pa.array(np.arange(lags + 1, dtype=np.int32)), "_p": pa.array(sums)})
+
+    p = h.groupBy(*keys, "_blk").applyInArrow(products, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "_k int, _p double"]))
+    p = p.groupBy(*keys, "_k").agg(F.sum("_p").alias("_p"))
+    g = p.groupBy(*keys).agg(F.max(F.when(c("_k") == 0, c("_p"))).alias("_g0"), F.collect_list(F.when(c("_k") > 0, F.struct("_k", "_p"))).alias("_all"))
+    each = lambda v: F.pow(v["_p"] / c("_g0"), F.lit(2.0)) / (c("n") - v["_k"])
+    q = F.aggregate(F.array_sort("_all"), F.lit(0.0), lambda s, v: s + each(v))
+    s = g.join(m, keys).select(*keys, "n", (c("n") * (c("n") + 2) * q).alias("lb_stat"))
 
     def tail(batches):
         for pdf in batches:

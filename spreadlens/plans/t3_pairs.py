@@ -111,7 +111,7 @@ def _zs(x):
 @query("st9_composite_score", _SCORE + f" SELECT pair, {R('25e-2 * ' + _zs('hl') + ' + 20e-2 * ' + _zs('spread_vol') + ' + 10e-2 * ' + _zs('stab') + ' + 5e-2 * ' + _zs('corr'))} AS score FROM m")
 def _(t):
     panel = daily_panel(t)
-    fit = P.score_candidates(P.pair_moments(panel), 0.2, 10)
+    fit = P.score_candidates(P.pair_moments(panel), 0.2)
     inst = P.beta_segments(P.pair_legs(panel, fit.select("pair", "sym_a", "sym_b"), ["lp"]), 4)
     d = fit.join(inst, "pair").withColumn("hl", P.half_life_ar(c("ar_b"))).where("hl IS NOT NULL")
     parts = {"hl": (0.25, -F.abs(F.log(c("hl") / 48.0))), "vol": (0.20, c("spread_vol")),

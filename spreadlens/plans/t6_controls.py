@@ -37,7 +37,7 @@ def _(t):
 @query("st9_full_score")
 def _(t):
     """All five parts of the composite score, the unit-root statistic included."""
-    fit = P.score_candidates(P.pair_moments(daily_panel(t)), 0.2, 10)
+    fit = P.score_candidates(P.pair_moments(daily_panel(t)), 0.2)
     legs = P.pair_legs(daily_panel(t), fit.select("pair", "sym_a", "sym_b", "alpha", "beta"), ["lp"])
     d = (fit.join(P.beta_segments(legs, 4), "pair").join(S.adf(P.static_spread(legs), ["pair"], "spread").drop("n"), "pair")
          .withColumn("half_life_hours", P.half_life_ar(c("ar_b"))).where("half_life_hours IS NOT NULL"))
