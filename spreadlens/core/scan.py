@@ -38,6 +38,10 @@ class Machine:
         """The state after a chunk; a ``state`` of None is the one before the key's first row."""
         raise NotImplementedError
 
+    def after(self, a: Arrays, state: Any) -> Any:
+        """The state after the rows ``a``, which follow ``state``."""
+        return self.advance(state, self.summary(a))
+
     def rows(self, a: Arrays, state: Any) -> dict[str, Any]:
         """The made columns, one value a row, or whole result columns if the scan doesn't keep the rows."""
         raise NotImplementedError
