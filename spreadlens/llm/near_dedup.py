@@ -110,13 +110,22 @@ def _merged(n: Column) -> Column:
     return F.when(n <= 2000, 2.0).otherwise(F.ceil(mean + 7 * F.sqrt(mean) + 12))
 
 
+def _first_band(x: str, y: str) -> Column:
+    """The first band key that both have in one place, as one compiled expression that ends at it."""
+    out = F
+    for k in range(BANDS):
+        out = out.when(F.get(x, F.lit(k)) == F.get(y, F.lit(k)), F.get(x, F.lit(k)))
+    return out
+
+
 def _later_pairs(live: DataFrame, pivots: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
-    """Pairs of pivots with members of other components. A pair is made in one of the buckets that it shares, that of the
-    first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for those that the cut may have merged."""
+    """Pairs of pivots with members of other components, two pivots once. A pair is made in one of the buckets that it shares,
+    that of the first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for those that the cut may have merged."""
     p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
-    x = live.join(traits, "node")
-    allowed = (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
-    allowed = allowed & (F.get("bands", F.array_position(F.zip_with("bands", "bands_a", lambda a, b: a == b), True).cast("int") - 1) == _short(x["bucket"]))
+    chosen = pivots.select("bucket", "node", F.lit(True).alias("chosen"))
+    x = live.join(chosen, ["bucket", "node"], "left").join(traits, "node")
+    allowed = (F.col("chosen").isNull() | (x["node"] > F.col("a"))) & (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
+    allowed = allowed & (_first_band("bands", "bands_a") == _short(x["bucket"]))
     allowed = allowed & _agree("sig", "sig_a", percent)
     allowed = allowed & ((F.size(F.array_intersect("items", "items_a")) + _merged(F.least("n", "na"))) * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
     return x.join(p, (x["bucket"] == p["bucket"]) & allowed).select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
