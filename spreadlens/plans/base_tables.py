@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..core.ordered import DAY_US
 from ..operators import bars as B, pairs as P, panel as N
 from ..sources.adapters import Tables
+from .registry import rnd
 
 
 def daily_panel(t: Tables) -> DataFrame:
@@ -28,7 +29,7 @@ def tape_pairs(t: Tables) -> DataFrame:
         p = s.select(F.col("symbol").alias("sym_a")).join(s.select(F.col("symbol").alias("sym_b")), F.col("sym_a") < F.col("sym_b"))
         p = p.withColumn("pair", F.concat_ws("_", "sym_a", "sym_b"))
         legs = B.pair_legs(t.bars_1h.select("symbol", "ts", F.log("close").alias("lc")), p, "ts")
-        return legs.groupBy("pair", "sym_a", "sym_b").agg(F.round(F.regr_slope("lc_a", "lc_b"), 6).alias("beta"))
+        return legs.groupBy("pair", "sym_a", "sym_b").agg(rnd(F.regr_slope("lc_a", "lc_b")).alias("beta"))
     return t.store("tape_pairs", build)
 
 

@@ -43,8 +43,11 @@ def query(name: str, sql: str | None = None):
 
 
 def rnd(c: str | Column, digits: int = 6) -> Column:
-    """Round for comparison; adding zero turns -0.0 into 0.0."""
-    return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
+    """Round for comparison as the oracle does: halves of the scaled double away from zero; adding zero turns -0.0 into 0.0.
+
+    ``round(x, digits)`` would round x's shortest decimals instead: 9.797907499999999 down, though scaled it is 9797907.5."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.round(x * 10.0**digits) / 10.0**digits + F.lit(0.0)
 
 
 def rnd_sql(expr: str, digits: int = 6) -> str:

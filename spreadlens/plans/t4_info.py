@@ -191,7 +191,8 @@ def two_leg(t):
 
 @query("inf11_two_leg_flow", _TWO + f" SELECT pair, i, {R('ofi')} AS ofi, {R('sp', 8)} AS spread FROM tw WHERE abs(ofi) > 1e-9")
 def _(t):
-    return rounded(rounded(two_leg(t), "ofi"), "spread", digits=8).where(F.abs("ofi") > 1e-9).select("pair", "i", "ofi", "spread")
+    d = two_leg(t).where(F.abs("ofi") > 1e-9)     # before rounding: a small hedge leaves flows below the last digit
+    return rounded(rounded(d, "ofi"), "spread", digits=8).select("pair", "i", "ofi", "spread")
 
 
 def _hac_slope(name: str, y: str, lag: int) -> str:
