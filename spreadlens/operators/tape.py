@@ -137,16 +137,18 @@ def vpin_tape(trades: DataFrame, bucket_notional: float, window: int = 50, width
     """Toxicity over equal-notional buckets of the tape: |buys - sells| / size, trailing mean.
 
     Bucket of a trade = floor(running notional / size), the running sum crossing chunks through
-    summaries; the trailing mean runs over one row per bucket in index blocks.  Notionals are summed
-    as decimals of six places: a sum of doubles depends on the chunks, and a trade that ends exactly
-    on a border would fall on either side of it.
+    summaries; the trailing mean runs over one row per bucket in index blocks.  Running notionals are
+    decimals of six places: a sum of doubles depends on the chunks, and a trade that ends exactly on
+    a border would fall on either side of it.
     """
     from pyspark.sql import Window
-    d = trades.withColumn("_n", c("signed_notional").cast("decimal(20,6)")).withColumn("_abs", F.abs("_n"))
+    d = trades.withColumn("_abs", F.abs("signed_notional").cast("decimal(20,6)"))
     d = running_sum(d, ["symbol"], ["ts", "trade_id"], {"_cum": "_abs"}, width_us)
     g = (d.withColumn("bucket_no", F.floor(c("_cum").cast("double") / bucket_notional))
-         .groupBy("symbol", "bucket_no").agg(F.sum("_n").alias("_net"), F.max("ts").alias("end_ts"))
-         .withColumn("imbalance", F.abs("_net").cast("double") / bucket_notional))
+         .groupBy("symbol", "bucket_no").agg(
+             F.sum(F.greatest("signed_notional", F.lit(0.0))).alias("_b"),
+             F.sum(F.greatest(-c("signed_notional"), F.lit(0.0))).alias("_s"), F.max("ts").alias("end_ts"))
+         .withColumn("imbalance", F.abs(c("_b") - c("_s")) / bucket_notional))
     # empty buckets are possible when one trade jumps several, so number the buckets that exist
     from ..core.ordered import block_window, core_rows, halo_blocks, row_index
     g = row_index(g, ["symbol"], ["end_ts", "bucket_no"], "k", 30 * DAY_US, ts="end_ts")

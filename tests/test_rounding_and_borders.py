@@ -29,4 +29,4 @@ def test_a_trade_on_the_border_opens_the_next_bucket(spark, width):
     want = {}
     for n, i, us, v in rows:
         want.setdefault((i + 1) // 10, []).append((us, round(v * 10)))
-    assert got == {k: (max(us for us, _ in v), abs(sum(x for _, x in v)) / 10) for k, v in want.items()}
+    assert got == {k: (max(us for us, _ in v), pytest.approx(abs(sum(x for _, x in v)) / 10)) for k, v in want.items()}
