@@ -86,7 +86,8 @@ class Tables:
             F.concat(F.lit("P"), F.pmod("l_suppkey", F.lit(12)).cast("string")).alias("symbol"),
             F.col("l_shipdate").cast("timestamp").alias("ts"),
             (_cents("l_extendedprice") % 201 - 100).alias("r"), F.col("l_quantity").cast("long").alias("q"))
-        own = l.groupBy("symbol", "ts").agg(F.sum("r").alias("r"), F.sum("q").alias("volume"))
+        # stored, or each of the sums below would read all line items again
+        own = checkpointed(l.groupBy("symbol", "ts").agg(F.sum("r").alias("r"), F.sum("q").alias("volume")))
         common = own.groupBy("ts").agg(F.sum("r").alias("rc"))
         own = running_sum(own, ["symbol"], ["ts"], {"cum": "r"}, width_us=YEAR_US)
         common = running_sum(common, [], ["ts"], {"cumc": "rc"}, width_us=YEAR_US)
