@@ -3,9 +3,9 @@
 1. Per text: distinct word shingles, ``BANDS * ROWS`` universal hash minima, one key per band.
 2. Texts of equal words are one class; only its smallest id goes on.
 3. A bucket is a band key shared by two classes or more. It is compared with its smallest member first, never all
-   against all. Members that end in one component need no more comparing; while a bucket still holds several
-   components, further members are taken as pivots, 64 times as many each time and those of its largest component
-   first, until every pair of different components has been compared, in one of the buckets that it shares. So no
+   against all. Members that end in one component need no more comparing. While a bucket holds several components, those
+   outside its largest are compared with all others; where that is too much work for the round, some members of the largest
+   component first. Either is done in tiles, a block of members against another, so no task gets a bucket whole; no
    bucket is capped and no pair that shares a bucket is lost.
 4. A pair goes on if its sizes and its signatures allow the similarity, and is a link if its full shingle sets do.
 5. Components by alternating large-star and small-star.
@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, discard, fresh
+from .common import checkpointed, fresh
 from .components import connected_components
 from .text_arrays import U, each_text, mix, shingles_of
 
@@ -34,6 +34,10 @@ MUL = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * U(2) + U(1)
 ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 #: A pair is dropped unverified if fewer minima agree than at this many standard deviations below the threshold.
 SIGMAS = 5
+#: Rows of a side of a tile. Sets of more shingles than LONG are not sent to tiles: their pairs go by signature to the exact comparison.
+TILE, LONG = 1024, 4096
+#: Comparisons that a bucket may take in the first round of tiles; each round takes 64 times as many.
+WORK = 2**26
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -87,15 +91,18 @@ def _sets(size: int):
 
 def _first_pairs(live: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs of each bucket's smallest member with the others, if their sizes allow the similarity."""
-    pivots = live.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p")).select("bucket", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-    both = live.join(pivots, "bucket").filter("node <> a").filter(F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
-    return both.select("a", F.col("node").alias("b")).distinct()
+    both = live.filter("node <> first.node").filter(F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent)
+    return both.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _least_agreeing(percent: int) -> int:
+    k, s = BANDS * ROWS, percent / 100
+    return int(k * s - SIGMAS * (k * s * (1 - s)) ** 0.5)
 
 
 def _agree(x: str, y: str, percent: int) -> Column:
     """Whether enough minima of two signatures agree."""
-    k, s = BANDS * ROWS, percent / 100
-    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same)) >= int(k * s - SIGMAS * (k * s * (1 - s)) ** 0.5)
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda same: same)) >= _least_agreeing(percent)
 
 
 def _short(key: Column) -> Column:
@@ -110,25 +117,89 @@ def _merged(n: Column) -> Column:
     return F.when(n <= 2000, 2.0).otherwise(F.ceil(mean + 7 * F.sqrt(mean) + 12))
 
 
-def _first_band(x: str, y: str) -> Column:
-    """The first band key that both have in one place, as one compiled expression that ends at it."""
-    out = F
-    for k in range(BANDS):
-        out = out.when(F.get(x, F.lit(k)) == F.get(y, F.lit(k)), F.get(x, F.lit(k)))
-    return out
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile, from batches that are sorted by tile."""
+    held, at = [], None
+    for b in batches:
+        keys = np.stack([b.column(c).to_numpy() for c in ("bucket", "p", "x")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:]):
+            if i == j:
+                continue
+            if held and tuple(keys[i]) != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = tuple(keys[i])
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column end to end, and where each row's begin (n + 1 numbers); nulls are empty."""
+    column = table.column(name).combine_chunks()
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _tile(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's pivots with its members of other components."""
+    get = lambda c: table.column(c).to_numpy()
+    node, n, component, chosen, slack = (get(c) for c in ("node", "n", "component", "chosen", "slack"))
+    pivots, others = np.flatnonzero(get("pivot")), np.flatnonzero(~get("pivot"))
+    bands, sig = (_lists(table, c)[0].reshape(len(node), -1) for c in ("bands", "sig"))
+    items, at = _lists(table, "items")
+    kinds, items = np.unique(items, return_inverse=True)
+    length, in_pivot = np.diff(at), np.zeros(len(kinds), dtype=bool)
+    bucket, enough, a, b = int(table.column("bucket")[0].as_py()) & (2**31 - 1), _least_agreeing(percent), [], []
+    by_place = np.ascontiguousarray(sig[others].T)
+    for i in pivots:
+        like = (by_place == sig[i][:, None]).sum(axis=0, dtype=np.uint16) >= enough
+        like &= (component[others] != component[i]) & (~chosen[others] | (node[others] > node[i]))
+        like &= np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * percent
+        x = others[like]
+        same = bands[x] == bands[i]
+        x = x[same.any(axis=1) & (bands[i][same.argmax(axis=1)] == bucket)]
+        if len(x) and length[i]:
+            own = items[at[i]:at[i + 1]]
+            in_pivot[own] = True
+            row = np.repeat(np.arange(len(x)), length[x])
+            place = np.arange(len(row)) + np.repeat(at[x] - np.cumsum(length[x]) + length[x], length[x])
+            shared = np.bincount(row[in_pivot[items[place]]], minlength=len(x))
+            in_pivot[own] = False
+            x = x[(length[x] == 0) | ((shared + np.minimum(slack[x], slack[i])) * (100 + percent) >= (n[x] + n[i]) * percent)]
+        a.append(np.minimum(node[x], node[i]))
+        b.append(np.maximum(node[x], node[i]))
+    return np.concatenate([node[:0], *a]), np.concatenate([node[:0], *b])
+
+
+def _tiles(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_tiles(batches):
+            a, b = _tile(table, percent)
+            if len(a):
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+
+    return run
 
 
 def _later_pairs(live: DataFrame, pivots: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Pairs of pivots with members of other components, two pivots once. A pair is made in one of the buckets that it shares,
-    that of the first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for those that the cut may have merged."""
-    p = pivots.join(traits, "node").select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("bands").alias("bands_a"), F.col("sig").alias("sig_a"), F.col("items").alias("items_a"))
-    chosen = pivots.select("bucket", "node", F.lit(True).alias("chosen"))
-    x = live.join(chosen, ["bucket", "node"], "left").join(traits, "node")
-    allowed = (F.col("chosen").isNull() | (x["node"] > F.col("a"))) & (F.col("component") != F.col("ca")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
-    allowed = allowed & (_first_band("bands", "bands_a") == _short(x["bucket"]))
-    allowed = allowed & _agree("sig", "sig_a", percent)
-    allowed = allowed & ((F.size(F.array_intersect("items", "items_a")) + _merged(F.least("n", "na"))) * (100 + percent) >= (F.col("n") + F.col("na")) * percent)
-    return x.join(p, (x["bucket"] == p["bucket"]) & allowed).select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+    that of the first band, and only if its signatures allow the similarity and its shingles, cut to 31 bits, agree but for those that the cut may have merged.
+
+    Pivots and members of a bucket are dealt into blocks by hash; each block of pivots meets each block of members in a tile."""
+    blocks = lambda count: F.ceil(count / TILE).cast("int")
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    rows = live.select("bucket", "node", "n", "component").join(pivots.select("bucket", "node", F.lit(True).alias("chosen")), ["bucket", "node"], "left")
+    rows = rows.withColumn("chosen", F.coalesce("chosen", F.lit(False)))
+    counts = rows.groupBy("bucket").agg(blocks(F.count_if("chosen")).alias("ps"), blocks(F.count("*")).alias("xs")).filter("ps > 0")
+    rows = rows.join(counts, "bucket")
+    members = rows.withColumns({"pivot": F.lit(False), "x": own("xs")}).withColumn("p", each("ps"))
+    chosen = rows.filter("chosen").withColumns({"pivot": F.lit(True), "p": own("ps")}).withColumn("x", each("xs"))
+    dealt = members.unionByName(chosen).drop("ps", "xs").join(traits.withColumn("items", F.when(F.size("items") <= LONG, F.col("items"))), "node")
+    dealt = dealt.withColumn("slack", _merged(F.col("n")).cast("double")).repartition("bucket", "p", "x").sortWithinPartitions("bucket", "p", "x")
+    return dealt.mapInArrow(_tiles(percent), "a bigint, b bigint")
 
 
 def _side(table: DataFrame, column: str, key: str) -> DataFrame:
@@ -150,8 +221,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     classes = checkpointed(known.groupBy("cls").agg(F.min("id").alias("node")))
     heads = known.join(classes, "cls").filter("id = node").dropDuplicates(["cls"])
     banded = heads.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    live = checkpointed(banded.join(shared, "bucket").select("bucket", "node", "n"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("first")).filter("m > 1")
+    live = checkpointed(banded.join(shared, "bucket").select("bucket", "node", "n", "first"))
     members = checkpointed(live.select("node").distinct())
     traits = checkpointed(heads.join(members, "node", "left_semi").select(
         "node", F.transform("bands", _short).alias("bands"), "sig"))
@@ -161,27 +232,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     first = _first_pairs(live, percent).join(_side(traits, "sig", "a"), "a").join(_side(traits, "sig", "b"), "b").filter(_agree("sig_a", "sig_b", percent))
     links = checkpointed(_verified(first.select("a", "b"), sets, percent))
     labels = connected_components(links)
-    pivots, many, short = live.groupBy("bucket").agg(F.min("node").alias("node")), 1, None
+    live, work, short = live.filter("node <> first.node").select("bucket", "node", "n"), WORK, None
     while True:
-        rest = live.select("bucket", "node", "n").join(pivots.select("bucket", "node"), ["bucket", "node"], "left_anti").join(
-            labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        before, live = live, checkpointed(rest.join(several, "bucket").select("bucket", "node", "n", "component"))
-        discard(before)
-        if live.isEmpty():
+        rest = live.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("m")).groupBy("bucket").agg(
+            F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+        rest = checkpointed(rest.join(sizes, "bucket").select("bucket", "node", "n", "component", "m", "main"))
+        if rest.isEmpty():
             break
         if short is None:
-            shared_nodes = live.select("node").distinct()
-            short = checkpointed(traits.join(sets, "node").join(shared_nodes, "node", "left_semi").select(
+            short = checkpointed(traits.join(sets, "node").join(rest.select("node").distinct(), "node", "left_semi").select(
                 "node", "bands", "sig", F.transform("items", _short).alias("items")))
-        # members of the bucket's largest component first: those that are left have few others to be compared with
-        many *= 64
-        sizes = live.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-        order = W.partitionBy("bucket").orderBy(F.desc("m"), "component", F.xxhash64("node"), "node")
-        ranked = live.join(sizes, ["bucket", "component"]).withColumn("rank", F.row_number().over(order))
-        pivots = checkpointed(ranked.filter(F.col("rank") <= many).select("bucket", "node", "n", "component"))
-        found = checkpointed(_verified(_later_pairs(live, pivots, short, percent), sets, percent).union(labels.select("node", "component")))
+        # a bucket ends once what is outside its largest component has met all; where that is too much, members of the largest are
+        # taken first, as those that they link need no more comparing
+        ends = F.col("m") * (F.col("m") - F.col("main.m")) <= work
+        some = (F.col("component") == F.col("main.component")) & (F.pmod(F.xxhash64("node"), F.col("main.m")) < TILE)
+        pivot = F.when(ends, F.col("component") != F.col("main.component")).otherwise(some)
+        found = checkpointed(_verified(_later_pairs(rest, rest.filter(pivot), short, percent), sets, percent).union(labels.select("node", "component")))
         labels = connected_components(found)
+        live, work = rest.filter(~ends & ~some).select("bucket", "node", "n"), work * 64
 
     named = rows.select("id", "n", "cls").join(classes, "cls", "left").join(labels, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))

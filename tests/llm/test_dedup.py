@@ -116,3 +116,32 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)]
     got = components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert {r["node"]: r["component"] for r in got} == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 140)}
+
+
+def threshold_group():
+    """Eighty copies of one text whose similarities spread around the threshold, and one that is like few of them as the smallest."""
+    rng, base, rows = np.random.default_rng(11), [f"t{i}" for i in range(70)], []
+    for i in range(80):
+        text = list(base)
+        for k in rng.integers(0, 70, 3 if i == 0 else rng.integers(0, 4)):
+            text[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_a_large_bucket_takes_one_round_of_tiles(make_docs, monkeypatch):
+    calls, components_of = [], near_dedup.connected_components
+    monkeypatch.setattr(near_dedup, "connected_components", lambda links: calls.append(1) or components_of(links))
+    rows = threshold_group()
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(make_docs(rows), size=5).collect()}
+    assert got == brute_components(rows, 5)
+    assert len(set(got.values())) > 5 and len(calls) == 2
+
+
+def test_tiles_and_rounds_reach_every_pair(make_docs, monkeypatch):
+    """Blocks of nine members, and so little work a round that members of the largest component go first."""
+    monkeypatch.setattr(near_dedup, "TILE", 9)
+    monkeypatch.setattr(near_dedup, "WORK", 20)
+    rows = threshold_group()
+    got = {r["id"]: r["component_id"] for r in near_dedup.near_duplicates(make_docs(rows), size=5).collect()}
+    assert got == brute_components(rows, 5)

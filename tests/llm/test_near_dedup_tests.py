@@ -39,3 +39,13 @@ def test_allowance_follows_the_expected_merges(spark):
     for n in (100_000, 1_000_000):
         lost = n - len(np.unique(rng.integers(0, 2**31, n)))
         assert lost <= got[n] <= 4 * n * n / 2**32 + 25
+
+
+def test_tiles_make_each_pair_once_in_whatever_blocks(spark, monkeypatch):
+    """Forty members in forty components, all alike; every fourth is a pivot; sets too long for a tile go by signature."""
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    live = spark.createDataFrame([(1, k, 100, k) for k in range(40)], LIVE)
+    for items in (list(range(100)), list(range(5000))):
+        traits = spark.createDataFrame([(k, [1], [0] * 200, items) for k in range(40)], TRAITS)
+        got = sorted(tuple(r) for r in near_dedup._later_pairs(live, live.filter("node % 4 = 0"), traits, 80).collect())
+        assert got == [(a, b) for a in range(40) for b in range(a + 1, 40) if a % 4 == 0 or b % 4 == 0]
