@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,6 +24,8 @@ MARK = "▁"
 TABLE = 300_000
 #: Longer chunks are segmented without being kept.
 KEEP_CHARS = 64
+#: Rows that are encoded before they leave the task: ids and decoded texts of a whole Arrow batch are never held at once.
+ROWS_OUT = 256
 _RUNS = re.compile(" *[^ ]+| +")
 
 
@@ -83,7 +86,7 @@ def _codec(model: str, keep: bool):
         processor = load(model)
         assert_chunks(processor)
         table = ChunkTable(processor)
-        for b in batches:
+        for b in (whole.slice(i, ROWS_OUT) for whole in batches for i in range(0, max(1, len(whole)), ROWS_OUT)):
             sizes, sha, back, ids_out, text_out = [], [], [], [], []
             for t in b.column("_text"):
                 ids, n, decoded = encode_with(table, t.as_py() or "")
@@ -91,7 +94,7 @@ def _codec(model: str, keep: bool):
                 sha.append(hashlib.sha256(ids.encode()).hexdigest())
                 back.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if keep:
-                    ids_out.append([int(i) for i in ids.split(",")] if ids else [])
+                    ids_out.append(np.fromstring(ids, dtype=np.int32, sep=","))
                     text_out.append(decoded)
             columns = {n: b.column(n) for n in b.schema.names if n != "_text"}
             columns |= {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(back, pa.string())}

@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +79,16 @@ def test_pieces(make_docs, odd_rows):
     assert codec.encode_and_decode(make_docs([]), model).count() == 0
 
 
+def test_ids_leave_the_task_in_small_batches():
+    model, texts = tokenizer_file("piece_bpe_32k.model"), ["a word or two " * 9, "", None] * 400
+    library, whole = codec.load(model), pa.RecordBatch.from_pydict({"id": list(range(1200)), "_text": texts})
+    out = list(codec._codec(model, True)(iter([whole])))
+    assert len(out) > 4 and max(map(len, out)) <= 300
+    got = pa.Table.from_batches(out).to_pylist()
+    assert [r["id"] for r in got] == list(range(1200))
+    assert [r["ids"] for r in got[:3]] == [library.encode(texts[0]), [], []]
+
+
 def test_a_full_table_starts_anew(monkeypatch):
     monkeypatch.setattr(codec, "TABLE", 3)
     library = codec.load(tokenizer_file("piece_bpe_32k.model"))
