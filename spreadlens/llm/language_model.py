@@ -1,7 +1,9 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, over exact corpus counts.
 
-Tokens are words with A-Z in lower case, then one end. Counts: every block of documents sends its distinct words with
-their places to the owners of the words; an owner adds up the training counts and answers with sums per document.
+Tokens are words with A-Z in lower case, then one end. Counts: every block of documents sends its distinct words, each
+once, to the owners of the words; an owner adds up the training counts and answers with one total for each word sent.
+In which documents the words stand stays in a row of the block, which meets the answers and makes sums per document. So
+what is sent follows the blocks' distinct words, whatever the number of owners, and a block's step holds one block.
 The model's vocabulary is the ``CLASSES - 2`` most frequent training words, the end, and one class for all other words,
 inside which a word has its add-one share; so the probabilities of all words sum to 1.
 The model predicts a class from the two before: score = q_w . (c1 * r_u + c2 * r_v) + b_w. The class triples of all
@@ -35,8 +37,11 @@ UPDATES = 400
 CONTEXTS = 4096
 OTHER, END, START = 0, 1, CLASSES
 END_WORD = U(0x454E44)
-BLOCK_ROWS = 4000
+#: A block ends after so many rows or bytes of text; one longer text is a block.
+BLOCK_ROWS, BLOCK_BYTES = 4000, 8 << 20
 OWNER_BYTES = 16 << 20
+#: A task that holds so many class triples adds up equal ones; if half of them differ, it sends them.
+TRIPLES = 1 << 20
 
 
 def held_out(key) -> bool:
@@ -48,9 +53,11 @@ def blocks(batches: Iterator[pa.RecordBatch]):
     task = TaskContext.get().partitionId() if TaskContext.get() else 0
     k = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, BLOCK_ROWS):
-            b = batch.slice(at, BLOCK_ROWS)
-            data, offsets = text_bytes(b.column("text"))
+        data, starts = text_bytes(batch.column("text"))
+        first = 0
+        while first < batch.num_rows:
+            last = min(batch.num_rows, first + BLOCK_ROWS, max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK_BYTES, side="right")) - 1))
+            offsets = starts[first:last + 1]
             parts, sizes, prints = [], [], []
             for i, j in slices(offsets):
                 words, where = words_of(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
@@ -59,18 +66,19 @@ def blocks(batches: Iterator[pa.RecordBatch]):
                     parts += [w, END_WORD[None]]
                     sizes.append(len(w) + 1)
                     prints.append(int(mix(np.array([(w * np.arange(1, 2 * len(w), 2, dtype=np.uint64)).sum(dtype=np.uint64) + U(len(w))]))[0]))
-            ids = b.column("id").to_pylist()
+            ids = batch.column("id").slice(first, last - first).to_pylist()
             train = np.array([not held_out(x) for x in ids], dtype=bool)
             words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
             yield f"{task}-{k}", ids, train, words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(prints, dtype=np.uint64).view(np.int64)
             k += 1
+            first = last
 
 
-SENT = "owner int, block string, docs int, words binary, counts binary, entries binary, places binary, times binary, ids array<bigint>, prints array<bigint>"
+SENT = "owner int, block string, words binary, counts binary, entries binary, places binary, times binary, ids array<bigint>, prints array<bigint>"
 
 
 def _send(owners: int):
-    """To negative owners: blocks' documents. To the others: words, training counts, and in which documents they stand how often."""
+    """To owners: words and training counts. Owner -1: a block's documents, and in which of them its words, in order, stand how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, train, words, at, prints in blocks(batches):
@@ -79,63 +87,53 @@ def _send(owners: int):
             distinct, code = np.unique(words, return_inverse=True)
             pair, times = np.unique(code.astype(np.int64) * n + doc, return_counts=True)
             word, place = pair // n, pair % n
-            trained = np.bincount(word, times * train[place], minlength=len(distinct)).astype(np.int64)
-            entries = np.bincount(word, minlength=len(distinct)).astype(np.uint32)
+            trained = np.bincount(word, times * train[place], minlength=len(distinct)).astype(np.uint32)
+            entries = np.bincount(word, minlength=len(distinct)).astype(np.uint16)
             of = ((distinct >> U(32)) * U(owners)) >> U(32)
             cut = np.searchsorted(of, np.arange(owners + 1, dtype=np.uint64))
-            first = np.concatenate([[0], np.cumsum(entries, dtype=np.int64)])
-            rows = {c: [] for c in ("owner", "words", "counts", "entries", "places", "times")}
-            for o in np.flatnonzero(np.diff(cut)):
-                i, j = cut[o], cut[o + 1]
-                for c, x in (("owner", int(o)), ("words", distinct[i:j].tobytes()), ("counts", trained[i:j].astype(np.uint32).tobytes()), ("entries", entries[i:j].tobytes()),
-                             ("places", place[first[i]:first[j]].astype(np.uint16).tobytes()), ("times", times[first[i]:first[j]].astype(np.uint32).tobytes())):
-                    rows[c].append(x)
-            m = len(rows["owner"])
+            to = np.flatnonzero(np.diff(cut))
+            m = len(to)
             lists = pa.list_(pa.int64())
+            own = {"entries": entries, "places": place.astype(np.uint16), "times": times.astype(np.uint32)}
             yield pa.RecordBatch.from_pydict({
-                "owner": pa.array(rows["owner"] + [-1 - zlib.crc32(name.encode()) % owners], pa.int32()), "block": pa.array([name] * (m + 1)), "docs": pa.array([n] * (m + 1), pa.int32()),
-                **{c: pa.array(rows[c] + [None], pa.binary()) for c in ("words", "counts", "entries", "places", "times")},
+                "owner": pa.array([*to, -1], pa.int32()), "block": pa.array([name] * (m + 1)),
+                **{c: pa.array([x[cut[o]:cut[o + 1]].tobytes() for o in to] + [None], pa.binary()) for c, x in (("words", distinct), ("counts", trained))},
+                **{c: pa.array([None] * m + [x.tobytes()], pa.binary()) for c, x in own.items()},
                 "ids": pa.array([None] * m + [ids], lists), "prints": pa.array([None] * m + [prints], lists)})
 
     return run
 
 
-ANSWER = "block string, sums binary, known binary, ids array<bigint>, prints array<bigint>, tokens bigint, kinds bigint, top array<struct<word:bigint,n:bigint>>"
+ANSWER = "owner int, block string, totals binary, tokens bigint, kinds bigint, top array<struct<word:bigint,n:bigint>>"
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
-    """An owner: training counts of its words; per document the sum of log10(c + 1) and the number of known tokens."""
-    if group["owner"].iloc[0] < 0:
-        return pd.DataFrame({"block": group["block"], "sums": None, "known": None, "ids": group["ids"], "prints": group["prints"], "tokens": 0, "kinds": 0, "top": None})
-    read = lambda c, kind: [np.frombuffer(x, kind) for x in group[c]]
-    words, counts = read("words", np.uint64), read("counts", np.uint32)
+    """An owner: training counts of its words; to every block those of the words it sent."""
+    words, counts = ([np.frombuffer(x, kind) for x in group[c]] for c, kind in (("words", np.uint64), ("counts", np.uint32)))
     distinct, code = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(code, np.concatenate(counts)).astype(np.int64)
-    value = np.log10(total + 1.0)
-    sums, known, at = [], [], 0
-    for w, entries, places, times, docs in zip(words, read("entries", np.uint32), read("places", np.uint16), read("times", np.uint32), group["docs"]):
-        own = np.repeat(code[at:at + len(w)], entries)
-        sums.append(np.bincount(places, times * value[own], minlength=docs).tobytes())
-        known.append(np.bincount(places, times * (total[own] > 0), minlength=docs).astype(np.int64).tobytes())
-        at += len(w)
+    ends = np.cumsum([len(w) for w in words])
     plain = np.flatnonzero(distinct != END_WORD)
     best = np.concatenate([plain[np.lexsort((distinct[plain], -total[plain]))[:CLASSES - 2]], np.flatnonzero(distinct == END_WORD)])
     top = [{"word": int(w), "n": int(c)} for w, c in zip(distinct[best].view(np.int64), total[best]) if c and distinct[best].size]
-    out = pd.DataFrame({"block": group["block"].to_numpy(), "sums": sums, "known": known, "ids": None, "prints": None, "tokens": 0, "kinds": 0, "top": None})
-    first = pd.DataFrame({"block": [""], "sums": None, "known": None, "ids": None, "prints": None, "tokens": int(total.sum()), "kinds": int((total > 0).sum()), "top": [top]})
+    totals = [total[code[end - len(w):end]].tobytes() for w, end in zip(words, ends)]
+    out = pd.DataFrame({"owner": group["owner"].to_numpy(), "block": group["block"].to_numpy(), "totals": totals, "tokens": 0, "kinds": 0, "top": None})
+    first = pd.DataFrame({"owner": [group["owner"].iloc[0]], "block": [""], "totals": None, "tokens": int(total.sum()), "kinds": int((total > 0).sum()), "top": [top]})
     return pd.concat([first, out], ignore_index=True)
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block's answers: a row for each document with its sums."""
-    for b in batches:
-        for r in b.to_pylist():
-            n = len(r["ids"])
-            sums, known = np.zeros(n), np.zeros(n, dtype=np.int64)
-            for x in sorted(r["answers"], key=lambda x: (x["sums"], x["known"])):
-                sums += np.frombuffer(x["sums"])
-                known += np.frombuffer(x["known"], np.int64)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(r["ids"], pa.int64()), "print": pa.array(r["prints"], pa.int64()), "logs": pa.array(sums), "known": pa.array(known)})
+def _totals(block: pa.Table) -> pa.Table:
+    """A block's row and its answers: a row for each document, with the sum of log10(c + 1) and the number of known tokens."""
+    owner = block.column("owner").to_numpy()
+    (row,) = block.filter(pa.array(owner < 0)).select(["entries", "places", "times"]).to_pylist()
+    ids, prints = (block.column(c).filter(pa.array(owner < 0)).combine_chunks().flatten() for c in ("ids", "prints"))
+    answers = block.column("totals").to_pylist()
+    total = np.concatenate([np.frombuffer(answers[k], np.int64) for k in np.argsort(owner) if owner[k] >= 0])
+    word = np.repeat(np.arange(len(total)), np.frombuffer(row["entries"], np.uint16))
+    places, times = np.frombuffer(row["places"], np.uint16), np.frombuffer(row["times"], np.uint32)
+    logs = np.bincount(places, times * np.log10(total + 1.0)[word], minlength=len(ids))
+    known = np.bincount(places, times * (total > 0)[word], minlength=len(ids)).astype(np.int64)
+    return pa.table({"id": ids, "print": prints, "logs": logs, "known": known})
 
 
 class Vocabulary:
@@ -254,25 +252,30 @@ def _triples(vocabulary: Vocabulary, parts: int):
     """Of every task: its class triples with their counts, dealt to parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = [], []
+        held = []
         for _, _, train, words, at, _ in blocks(batches):
             classes = vocabulary.classes(words)
             own = np.repeat(train, np.diff(at))
-            x, n = np.unique((contexts(classes, at) * CLASSES + classes)[own], return_counts=True)
-            codes.append(x)
-            counts.append(n)
-            if len(codes) == 16:
-                x, of = np.unique(np.concatenate(codes), return_inverse=True)
-                codes, counts = [x], [np.bincount(of, np.concatenate(counts))]
-        if codes:
-            x, of = np.unique(np.concatenate(codes), return_inverse=True)
-            n = np.bincount(of, np.concatenate(counts))
-            n = n.astype(np.int64)
-            part = ((mix(x.astype(np.uint64)) >> U(32)) * U(parts)) >> U(32)
-            for p in np.unique(part):
-                own = part == p
-                yield pa.RecordBatch.from_pydict({"part": pa.array([int(p)], pa.int32()), "codes": pa.array([x[own].astype(np.int64).tobytes()], pa.binary()),
-                                                  "counts": pa.array([n[own].tobytes()], pa.binary())})
+            held.append(np.unique((contexts(classes, at) * CLASSES + classes)[own], return_counts=True))
+            if sum(len(x) for x, _ in held) > TRIPLES:
+                held = [added(held)]
+                if len(held[0][0]) > TRIPLES // 2:
+                    yield from sent(*held.pop())
+        if held:
+            yield from sent(*added(held))
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        x, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        return x, np.bincount(of, np.concatenate([n for _, n in held]), minlength=len(x)).astype(np.int64)
+
+    def sent(x: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        part = ((mix(x.astype(np.uint64)) >> U(32)) * U(parts)) >> U(32)
+        order = np.argsort(part, kind="stable")
+        to, at = np.unique(part[order], return_index=True)
+        ends = [*at[1:], len(x)]
+        if len(to):
+            yield pa.RecordBatch.from_pydict({"part": pa.array(to.astype(np.int32)), **{
+                name: pa.array([v[order[i:j]].tobytes() for i, j in zip(at, ends)], pa.binary()) for name, v in (("codes", x), ("counts", n))}})
 
     return run
 
@@ -322,7 +325,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // OWNER_BYTES))
-    answers = checkpointed(own.mapInArrow(_send(owners), SENT).groupBy("owner").applyInPandas(_answer, ANSWER))
+    sent = checkpointed(own.mapInArrow(_send(owners), SENT))
+    answers = checkpointed(sent.filter("owner >= 0").select("owner", "block", "words", "counts").groupBy("owner").applyInPandas(_answer, ANSWER))
     totals = answers.filter("block = ''").agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
     best = answers.filter("block = ''").select(F.explode("top").alias("t")).select("t.*")
     end = F.col("word") == int(END_WORD)
@@ -336,9 +340,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sums = fitted.repartition(64).mapInArrow(_added, "weight double, flat binary").collect()
     model = LogBilinear(sum(np.frombuffer(r["flat"]) for r in sums) / sum(r["weight"] for r in sums)) if sums else LogBilinear.fresh(vocabulary.frequencies())
 
-    places = answers.filter("ids is not null").select("block", "ids", "prints")
-    found = answers.filter("sums is not null").groupBy("block").agg(F.collect_list(F.struct("sums", "known")).alias("answers"))
-    logs = places.join(found, "block").mapInArrow(_totals, "id bigint, print bigint, logs double, known bigint")
+    rows = sent.filter("owner < 0").drop("words", "counts")
+    gathered = rows.unionByName(answers.filter("totals is not null").select("owner", "block", "totals"), allowMissingColumns=True)
+    logs = gathered.groupBy("block").applyInArrow(_totals, "id bigint, print bigint, logs double, known bigint")
     logs = logs.groupBy("id", "print").agg(F.first("logs").alias("logs"), F.first("known").alias("known"))
     scored = own.mapInArrow(_score(vocabulary, model), "id bigint, print bigint, held_out boolean, n_tokens bigint, others bigint, class_logs double, class_score double")
     both = scored.alias("s").join(logs.alias("l"), F.col("s.id").eqNullSafe(F.col("l.id")) & (F.col("s.print") == F.col("l.print")))

@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,63 @@ def test_scores_do_not_follow_the_layout(spark):
     assert one.keys() == other.keys() and all(abs(one[i] - other[i]) < 1e-6 for i in one)
 
 
+def test_what_owners_exchange_does_not_grow_with_their_number(make_docs, monkeypatch):
+    """Sums for every document of a block from every owner of a word made it grow with documents times owners."""
+    tables, cut = [], lm.checkpointed
+    monkeypatch.setattr(lm, "checkpointed", lambda df: tables.append(cut(df)) or tables[-1])
+    rng = np.random.default_rng(9)
+    docs = make_docs([(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 20))) for i in range(600)])
+    sizes, scores = [], []
+    for part in (1 << 30, 150):  # bytes of text for each owner: 4 owners, more than 500
+        monkeypatch.setattr(lm, "OWNER_BYTES", part)
+        del tables[:]
+        scores.append({r["id"]: (r["n_known"], round(r["base_score"], 9)) for r in lm.score_documents(docs).collect()})
+        exchanged = [t for t in tables if "block" in t.columns]
+        sizes.append([t.agg(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c, kind in t.dtypes if kind == "binary"), F.lit(0)))).first()[0] for t in exchanged])
+    assert scores[0] == scores[1] and len(scores[0]) == 600
+    assert sum(sizes[1]) < 1.2 * sum(sizes[0])
+
+
+def test_a_word_of_every_document_costs_its_owner_one_entry_a_block(spark):
+    sent = lm._send(64)(iter([pa.RecordBatch.from_pydict({"id": pa.array(range(3000)), "text": pa.array(["the"] * 3000)})]))
+    received = [r for b in sent for r in b.to_pylist() if r["owner"] >= 0]
+    assert sum(len(v) for r in received for v in r.values() if isinstance(v, bytes)) < 100
+
+
+def test_blocks_end_by_rows_and_by_bytes():
+    for texts in (["a b"] * 9001, ["word " * 200_000] * 20, ["word " * 3_000_000, None, "", "x"]):
+        batch = pa.RecordBatch.from_pydict({"id": pa.array([2**62 + 1 + i for i in range(len(texts))]), "text": pa.array(texts)}).slice(1)
+        got = list(lm.blocks(iter([batch])))
+        assert [i for b in got for i in b[1]] == batch.column("id").to_pylist()
+        assert [n for b in got for n in np.diff(b[4])] == [len((t or "").split()) + 1 for t in texts[1:]]
+        assert all(len(b[1]) == 1 or len(b[1]) <= lm.BLOCK_ROWS and 5 * len(b[3]) <= lm.BLOCK_BYTES + 5 * len(b[1]) for b in got)
+        assert len({b[0] for b in got}) == len(got)
+
+
+def test_ids_of_a_block_with_a_null_id_stay_exact(make_docs):
+    rows = [(2**62 + 1 + i, "same words here") for i in range(6)] + [(None, "same words here")]
+    got = lm.score_documents(make_docs(rows).coalesce(1)).collect()
+    assert sorted((r["id"] or 0 for r in got)) == sorted(i or 0 for i, _ in rows)
+
+
+def test_triples_sent_in_pieces_are_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 400)) for _ in range(200)]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(range(i, i + 20)), "text": pa.array(texts[i:i + 20])}) for i in range(0, 200, 20)]
+    words = np.array([int(w) for w in np.unique(np.concatenate([b[3] for b in lm.blocks(iter(batches))])) if w != lm.END_WORD], dtype=np.uint64)
+    vocabulary = lm.Vocabulary(words, np.arange(len(words))[::-1] + 1, 10**6, len(words))
+
+    def counted():
+        rows, total = [r for b in lm._triples(vocabulary, 5)(iter(batches)) for r in b.to_pylist()], {}
+        for r in rows:
+            for x, n in zip(np.frombuffer(r["codes"], np.int64).tolist(), np.frombuffer(r["counts"], np.int64).tolist()):
+                total[r["part"], x] = total.get((r["part"], x), 0) + n
+        return len(rows), total
+
+    whole, small = counted(), (monkeypatch.setattr(lm, "TRIPLES", 9000), counted())[1]
+    assert whole[1] == small[1] and whole[0] == 5 < small[0]
+
+
 def test_folders_take_the_scheme_of_the_file_system(spark):
     assert {warc.located(spark, f"{p}/tmp/a b") for p in ("", "file:", "file://")} == {"file:///tmp/a b"}
 
